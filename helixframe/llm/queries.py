@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bpe, chat, line_rules, quality, warc
+from helixframe.llm import bpe, chat, line_rules, packing, quality, warc
 from helixframe.llm.common import read_table
 
 
@@ -30,13 +30,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read_table(spark, sf_dir, "pages"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.hostile_conversation(spark))
     return chat.read_back(chat.format_turns(turns))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op7_line_rules, op8_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op7_line_rules, op8_warc, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
