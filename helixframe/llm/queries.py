@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bpe, chat, line_rules, packing, quality, warc
+from helixframe.llm import bpe, chat, line_rules, near_dedup, packing, quality, warc
 from helixframe.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op7_line_rules, op8_warc, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op7_line_rules, op8_warc, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
