@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import bpe, chat, line_rules, near_dedup, packing, quality, warc
+from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, packing, pii, quality, warc
 from helixframe.llm.common import read_table
 
 
@@ -26,6 +26,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, counts=True)
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(read_table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op7_line_rules, op8_warc, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
