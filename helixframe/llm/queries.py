@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, packing, pii, quality, warc
+from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, warc
 from helixframe.llm.common import read_table
 
 
@@ -26,6 +27,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id")), k=20)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -53,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
