@@ -58,8 +58,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
