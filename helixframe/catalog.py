@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.plans.matrix import QUERIES as MATRIX
+from helixframe.plans.statistics import QUERIES as STATISTICS
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: name -> (query, SQL or None)
-REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX}
+REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX, **STATISTICS}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:

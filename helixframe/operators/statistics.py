@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,9 +280,6 @@ def prerank(ranking: DataFrame, sets: DataFrame, weight: float = 1.0, min_size:
 
 def rank_set_test(ranking: DataFrame, sets: DataFrame, permutations: int = 200, seed: int = 42) -> DataFrame:
     """Mean rank of each set against that of all genes, with a seeded permutation p of (c + 1) / (n + 1)."""
-    import numpy as np
-    import pandas as pd
-
     ranked = ranking.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
     totals = ranked.agg(F.count("*").alias("n")).first()["n"]
     rows = sets.select("pathway", "gene").distinct().join(ranked, "gene").groupBy("pathway").agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("size"))
