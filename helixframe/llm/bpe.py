@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import by_rows
 
-#: Entries of a worker's table of pre-tokens; it is emptied when full.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's table of pre-tokens before it becomes the older one.
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens are encoded but not kept.
 CACHE_LENGTH = 64
 
@@ -48,8 +48,6 @@ _LETTER, _NUMBER = _class("L"), _class("N")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD_PATTERN = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _BYTE_PATTERN = re.compile(f"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: White space and what follows it up to the next white space; no pre-token crosses such a border.
-_CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 class ForcedBoundaryEncoder:
@@ -79,7 +77,6 @@ class ForcedBoundaryEncoder:
         self._byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.inside = self._pairs()
         self._core = tiktoken.Encoding("fragments", pat_str=".", mergeable_ranks=self._ranks(), special_tokens={})._core_bpe
-        self._kept: dict[str, tuple[int, ...]] = {}
 
     def _ranks(self) -> dict[bytes, int]:
         """The vocabulary as ranks: ids rise in the order of the merges. The word end stands as byte 255, which UTF-8 never holds.
@@ -108,19 +105,13 @@ class ForcedBoundaryEncoder:
         cuts = [i for i, pair in enumerate(zip(data, data[1:]), 1) if pair not in inside]
         return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
 
-    def encode_pretoken(self, pretoken: str) -> tuple[int, ...]:
+    def encode_pretoken(self, pretoken: str) -> list[int]:
         """Ids of one pre-token (not yet in the byte alphabet)."""
-        if (known := self._kept.get(pretoken)) is not None:
-            return known
         parts = self.fragments(pretoken.encode())
         if self.suffix:
             parts[-1] += _END
-        found = tuple([i for part in parts for i in self._core.encode_single_piece(part)])
-        if len(pretoken) <= CACHE_LENGTH:
-            if len(self._kept) >= CACHE_ENTRIES:
-                self._kept.clear()
-            self._kept[pretoken] = found
-        return found
+        encode = self._core.encode_single_piece
+        return encode(parts[0]) if len(parts) == 1 else [i for part in parts for i in encode(part)]
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens, normalised."""
@@ -132,18 +123,6 @@ class ForcedBoundaryEncoder:
         back = self._byte_of
         return [bytes(back[c] for c in piece).decode("utf-8") for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of a plain text whose ids do not depend on each other; none holds a special token.
-
-        A chunk is worth looking up as a whole: most words of a corpus are met again and again.
-        """
-        if _RARE.search(text):
-            return [text]
-        return text.lower().split() if self.kind == "word" else _CHUNKS.findall(text)
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        return [i for p in (self.pretokens(chunk) if not chunk.isalpha() or _RARE.search(chunk) else [chunk]) for i in self.encode_pretoken(p)]
-
     def segments(self, text: str) -> list[str]:
         """The text, split at special tokens; these stand alone."""
         return [s for s in self._added.split(text) if s] if self._added and self._added.search(text) else [text]
@@ -154,10 +133,20 @@ class ForcedBoundaryEncoder:
             if segment in self.added:
                 ids.append(self.added[segment])
             else:
-                for chunk in self.chunks(segment):
-                    ids += self.encode_chunk(chunk)
+                for pretoken in self.pretokens(segment):
+                    ids += self.encode_pretoken(pretoken)
         return ids
 
+    def looked_up(self, text: str, memo: Memo) -> list:
+        """What `memo` has for the pre-tokens and special tokens of a text, in order; specials are asked for as 1-tuples."""
+        if self._added is None or not self._added.search(text):
+            return list(map(memo.__getitem__, self.pretokens(text)))
+        return [x for s in self.segments(text) for x in ([memo[(s,)]] if s in self.added else map(memo.__getitem__, self.pretokens(s)))]
+
+    def ids_for(self, key: str | tuple[str]) -> list[int]:
+        """Ids of a pre-token, or of a special token given as a 1-tuple."""
+        return [self.added[key[0]]] if isinstance(key, tuple) else self.encode_pretoken(key)
+
     def decode(self, ids) -> str:
         """Text of the ids, special tokens included; unknown ids are left out, as the library does."""
         tokens = [self.tokens[i] for i in ids if i in self.tokens]
@@ -169,18 +158,21 @@ class ForcedBoundaryEncoder:
 
 
 class Memo(dict):
-    """What `make` gives for a chunk; emptied when full, so that a worker's memory stays bounded."""
+    """What `make` gives for a pre-token. The last one or two times CACHE_ENTRIES that were asked for are kept, so that a worker's memory stays bounded."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= CACHE_LENGTH:
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.older = self.copy()
                 self.clear()
-            self[chunk] = value
+            self[key] = value
         return value
 
 
@@ -191,11 +183,11 @@ def encoder(path: str, specials: bool = True) -> ForcedBoundaryEncoder:
 
 @lru_cache(maxsize=4)
 def _texts(path: str, specials: bool) -> Memo:
-    """Of each chunk: number of ids, the ids in decimal, the decoded tokens."""
+    """Of each pre-token: number of ids, the ids in decimal, the decoded tokens."""
     enc = encoder(path, specials)
 
-    def make(chunk: str) -> tuple[int, str, str]:
-        ids = [enc.added[chunk]] if chunk in enc.added else enc.encode_chunk(chunk)
+    def make(key: str | tuple[str]) -> tuple[int, str, str]:
+        ids = enc.ids_for(key)
         return len(ids), " ".join(map(str, ids)), enc.decode(ids)
 
     return Memo(make)
@@ -215,8 +207,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
         glue = " " if enc.joined_by_blank else ""
         out: list[tuple] = []
         for value in columns[1]:
-            got = [memo[chunk] for segment in enc.segments(value or "") for chunk in ([segment] if segment in enc.added else enc.chunks(segment))]
-            got = [x for x in got if x[0]]
+            got = enc.looked_up(value or "", memo)
             joined, back = " ".join([x[1] for x in got]), glue.join([x[2] for x in got])
             row = (sum([x[0] for x in got]), sha256(joined.encode()).hexdigest(), sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
             out.append(row + (([int(i) for i in joined.split()], back) if ids else ()))

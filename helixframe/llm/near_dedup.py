@@ -85,14 +85,15 @@ _SIGNED = [StructField("uid", LongType()), StructField("node", BinaryType()), *(
 
 
 def signed(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` with a row number, the multiset's 128-bit digest (null: no words), one-bit signature (3 longs) and band hashes."""
+    """(row, uid, node, s0, s1, s2, bands): each row whole as `row`, its number, the multiset's 128-bit digest (null: no words), one-bit signature (3 longs), band hashes."""
     place = docs.columns.index(text)
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = StructType([*docs.schema.fields, *_SIGNED])
 
     def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in arrow_batches:
-            values = [(t or "").encode() for t in batch.column(place).to_pylist()]
+            values = [(t or "").encode() for t in batch.column(0).field(place).to_pylist()]
             for a, b in batches(values):
                 owner, hashes, count = cells(values[a:b])
                 n = b - a
@@ -174,17 +175,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Groups of near duplicates: (documents, links).
 
-    documents: all columns of `docs` and uid (row number), node, class (the component's smallest node; null without words).
+    documents: row (a struct of all columns of `docs`), uid (row number), node, class (the component's smallest node; null without words).
     links: the verified pairs (a, b, similarity) of nodes that joined the components; equal texts need none.
     Texts without words are each their own class. Repeated rows share their class. An empty table gives empty results.
     """
     table = stored(signed(docs, text), "signed")
     buckets = _buckets(table)
     wanted = table.where("node IS NOT NULL").groupBy("node").agg(F.min("uid").alias("uid")).join(buckets.select("node").distinct(), "node")
-    texts = stored(table.select("uid", F.col(text).alias("text")).join(wanted, "uid").select("node", "text"), "texts")
+    texts = stored(table.select("uid", F.col(f"row.`{text}`").alias("text")).join(wanted, "uid").select("node", "text"), "texts")
     labels = stored(wanted.select("node", F.col("node").alias("label")), "labels")
     links = tested = None
     round_ = 0
@@ -223,15 +224,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size; a row per row of `docs`."""
-    found, _ = near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "doc_id", threshold)
-    found = found.select("doc_id", "class")
+    found, _ = near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", threshold)
+    found = found.select("row.doc_id", "class")
     sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return found.join(sizes, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row of `docs` for each class, that with the smallest id (then row number); texts without words all stay. Columns unchanged."""
-    found, _ = near_duplicates(docs, text, key, threshold)
-    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col(key), "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
+    found, _ = near_duplicates(docs, text, threshold)
+    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col(f"row.`{key}`"), "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
     kept = found.where("class IS NULL").select("uid").unionAll(first)
-    return found.join(kept, "uid", "left_semi").select(*docs.columns)
+    return found.join(kept, "uid", "left_semi").select("row.*")

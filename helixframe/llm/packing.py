@@ -11,7 +11,9 @@ the next island. In the end poorly filled bins of all blocks are dissolved and p
 from __future__ import annotations
 
 import random
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,14 +40,20 @@ _PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32
 @lru_cache(maxsize=2)
 def _bytes(path: str) -> Memo:
     enc = encoder(path)
-    return Memo(lambda chunk: np.array([enc.added[chunk]] if chunk in enc.added else enc.encode_chunk(chunk), dtype="<u4").tobytes())
+    swap = sys.byteorder != "little"
+
+    def make(key: str | tuple[str]) -> bytes:
+        ids = array("I", enc.ids_for(key))
+        if swap:
+            ids.byteswap()
+        return ids.tobytes()
+
+    return Memo(make)
 
 
 def ids_of(text: str, path: str) -> bytes:
     """The document's ids with the closing one, as little-endian unsigned 32-bit numbers."""
-    enc, memo = encoder(path), _bytes(path)
-    parts = [memo[chunk] for segment in enc.segments(text) for chunk in ([segment] if segment in enc.added else enc.chunks(segment))]
-    return b"".join(parts) + END_ID.to_bytes(4, "little")
+    return b"".join(encoder(path).looked_up(text, _bytes(path))) + END_ID.to_bytes(4, "little")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
