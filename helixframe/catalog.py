@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.plans.intervals import QUERIES as INTERVALS
 from helixframe.plans.matrix import QUERIES as MATRIX
+from helixframe.plans.networks import QUERIES as NETWORKS
 from helixframe.plans.sequences import QUERIES as SEQUENCES
 from helixframe.plans.statistics import QUERIES as STATISTICS
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: name -> (query, SQL or None)
-REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX, **STATISTICS, **SEQUENCES, **INTERVALS}
+REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX, **STATISTICS, **SEQUENCES, **INTERVALS, **NETWORKS}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
