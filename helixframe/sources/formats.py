@@ -35,8 +35,8 @@ def _fields(rows: DataFrame, *names: str) -> DataFrame:
 
 def key_values(column: Column, pair: str = ";", key: str = "=") -> Column:
     """Map of `k=v;k=v`; entries without value are "true"."""
-    entries = F.filter(F.transform(F.split(column, pair), F.trim), lambda x: F.length(x) > 0)
-    return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.substring_index(x, key, 1).alias("k"), F.when(x.contains(key), x.substr(F.length(F.substring_index(x, key, 1)) + len(key) + 1, F.length(x))).otherwise(F.lit("true")).alias("v"))))
+    entries = F.filter(F.transform(F.split(column, pair), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.substring_index(x, key, 1).alias("k"), F.when(x.contains(key), F.regexp_replace(x, f"^[^{key}]*{key}", "")).otherwise(F.lit("true")).alias("v"))))
 
 
 # --- sequences ------------------------------------------------------------------------------------------------------
@@ -265,7 +265,7 @@ def parse_genbank(record: str) -> dict:
         for q in rest:
             k, _, v = q.partition("=")
             found.setdefault(k.strip(), []).append(re.sub(r"\n\s+", " ", v).strip().strip('"'))
-        features.append({"type": m[1], "location": re.sub(r"\s+", "", head), "qualifiers": list(found.items())})
+        features.append({"type": m[1], "location": re.sub(r"\s+", "", head), "qualifiers": found})
     origin = re.search(r"^ORIGIN[^\n]*\n(.*)", record, re.M | re.S)
     return {"name": section("LOCUS").split(" ")[0], "definition": section("DEFINITION"), "accession": section("ACCESSION"), "features": features, "seq": re.sub(r"[^A-Za-z]", "", origin[1] if origin else "").upper()}
 
