@@ -128,7 +128,7 @@ def _started(codes: DataFrame, dimension: int, tasks: int) -> DataFrame:
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Old lists (kind 0) and offers (kind 1) of a block of nodes to new lists. Entries that stay are old now."""
+    """The starting lists of a block of nodes, from those of all windows."""
     n = _sizes(rows["ids"], 8)
     owner = np.repeat(rows["id"].to_numpy(), n)
     ids, scores = _join(rows["ids"], "<i8"), _join(rows["scores"], "<f4")
@@ -136,10 +136,34 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     return _lists(owner, ids, scores, new, LIST, 0)
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block of centres with their members: offers of better partners to members."""
+def _block(column: str, blocks: int) -> F.Column:
+    """The block of a node: its id with higher bits folded in, modulo the number of blocks. The same as `_blocks_of`."""
+    c = F.col(column)
+    return F.pmod(c.bitwiseXOR(F.shiftright(c, 11)).bitwiseXOR(F.shiftright(c, 23)), F.lit(blocks)).cast("int")
+
+
+def _blocks_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (ids ^ (ids >> 11) ^ (ids >> 23)) % blocks
+
+
+def _merge_offers(lists: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
+    """A block's lists and the offers to its nodes to new lists. Entries that stay are old now."""
+    n = _sizes(lists["ids"], 8)
+    owner = np.r_[np.repeat(lists["id"].to_numpy(), n), _join(offers["owners"], "<i8")]
+    ids = np.r_[_join(lists["ids"], "<i8"), _join(offers["ids"], "<i8")]
+    scores = np.r_[_join(lists["scores"], "<f4"), _join(offers["scores"], "<f4")]
+    new = np.zeros(len(ids), np.int8)
+    new[n.sum() :] = 1
+    return _lists(owner, ids, scores, new, LIST, 0)
+
+
+_OFFERS = "to int, owners binary, ids binary, scores binary"
+
+
+def _compare(rows: pd.DataFrame, blocks: int) -> pd.DataFrame:
+    """A block of centres with their members: offers of better partners to members, packed by the members' blocks."""
     if not len(rows):
-        return pd.DataFrame({"id": [], "ids": [], "scores": [], "fresh": [], "kind": []})
+        return pd.DataFrame({"to": [], "owners": [], "ids": [], "scores": []})
     centre, member = rows["centre"].to_numpy(), rows["member"].to_numpy()
     lottery = (member * 0x9E3779B1 + centre * 0x85EBCA77) & 0xFFFFFF
     order = np.lexsort((np.where(rows["back"].to_numpy() > 0, 1 + lottery, 0), centre))
@@ -163,7 +187,12 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         c, i, j = np.nonzero(wanted)
         offers.append((member[k[c, i]], member[k[c, j]], scores[c, i, j]))
     owner, ids, scores = (np.concatenate(o) for o in zip(*offers))
-    return _lists(owner, ids, scores, np.ones(len(ids), np.int8), LIST, 1)
+    best = _best(owner, ids, scores, np.ones(len(ids), np.int8), LIST)
+    to = _blocks_of(owner[best], blocks)
+    order = np.argsort(to, kind="stable")
+    best, (found, starts) = best[order], np.unique(to[order], return_index=True)
+    ends = np.r_[starts[1:], len(best)].astype(np.int64) if len(found) else np.empty(0, np.int64)
+    return pd.DataFrame({"to": found, "owners": _split(owner[best].astype("<i8"), ends), "ids": _split(ids[best].astype("<i8"), ends), "scores": _split(scores[best].astype("<f4"), ends)})
 
 
 def _exploded(graph: DataFrame) -> DataFrame:
@@ -192,7 +221,7 @@ def build_graph(codes: DataFrame, dimension: int) -> DataFrame:
     spark = codes.sparkSession
     n = codes.count()
     blocks = max(1, -(-n // NODES_PER_BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    block = _block("id", blocks).alias("block")
     graph = stored(_started(codes, dimension, blocks).groupBy(block).applyInPandas(_merge, _LISTS), "graph")
     for round_ in range(ROUNDS):
         # entries that came in the last round are new; in the first round all are
@@ -202,8 +231,8 @@ def build_graph(codes: DataFrame, dimension: int) -> DataFrame:
         nodes = codes.join(_bounds(graph), "id", "left").select(F.col("id").alias("member"), "code", "scale", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
         back = edges.select(F.col("other").alias("centre"), F.col("id").alias("member"), "fresh", F.lit(1).alias("back")).where(F.pmod(F.xxhash64("centre", "member", F.lit(round_)), F.lit(LIST)) < REVERSE)
         meet = edges.select(F.col("id").alias("centre"), F.col("other").alias("member"), "fresh", F.lit(0).alias("back")).unionAll(back).join(nodes, "member")
-        offers = meet.groupBy(F.pmod(F.xxhash64("centre"), F.lit(blocks)).alias("block")).applyInPandas(_compare, _LISTS)
-        merged = stored(graph.unionAll(offers).groupBy(block).applyInPandas(_merge, _LISTS), "graph")
+        offers = meet.groupBy(_block("centre", blocks).alias("block")).applyInPandas(lambda rows: _compare(rows, blocks), _OFFERS)
+        merged = stored(graph.groupBy(block).cogroup(offers.groupBy(F.col("to").alias("block"))).applyInPandas(_merge_offers, _LISTS), "graph")
         drop_stored(graph)
         graph = merged
         changed = graph.select(F.sum(_ones("fresh")).alias("new"), F.sum(F.length("fresh")).alias("all")).first()
