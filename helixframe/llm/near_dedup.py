@@ -8,8 +8,9 @@ are surely hit (it is raised for the texts where it was not).
 
 Search. Texts with equal multisets are one node. Bands of `ROWS` components give the buckets. Pairs are not enumerated: in
 each round every node meets the leader of its buckets, candidates are verified on whole texts, and links join their
-components; buckets whose nodes are in one component are done. What star rounds leave over, pairs of different components
-in the same bucket that were not yet compared, is compared exhaustively, so no link between components is lost.
+components; buckets whose nodes are in one component are done. Nodes of the buckets that star rounds leave open are compared
+exhaustively, in blocks: common shingles come from products of incidence matrices and only links that join components leave
+a task, so no link between components is lost and no pairs are enumerated.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +33,9 @@ M, ROWS, THRESHOLD = 160, 5, 0.8
 BANDS = M // ROWS
 #: Bits in which two signatures may differ (one bit a component): at similarity 0.8 a tenth of them does, and this is six deviations more.
 MAX_BITS = math.ceil(M * 0.1 + 6 * math.sqrt(M * 0.09))
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Nodes and bytes of text of a block of the exhaustive comparison, and shingles taken at a time.
+BLOCK_NODES, BLOCK_BYTES, COLUMNS = 200, 4 << 20, 8192
 
 
 def _step(k: int) -> np.uint64:
@@ -160,6 +164,61 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return joined.select("a", "b", "one", "other").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links that join different labels among the texts of one block or of two, as a forest. Common shingles are counted by products of incidence matrices."""
+    owner, hashes, count = cells([t.encode() for t in rows["text"]])
+    # a shingle counted c times is c elements, so that common elements are the smaller counts
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner, hashes = np.repeat(owner, count), mix(np.repeat(hashes, count) + level.astype(np.uint64) * _step(3))
+    n = len(rows)
+    total = np.bincount(owner, minlength=n).astype(np.float64)
+    _, element, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = often[element] > 1
+    owner, element = owner[shared], np.unique(element[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    edges = np.searchsorted(element, np.arange(0, (element[-1] + 1 if len(element) else 0) + COLUMNS, COLUMNS))
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            part = np.zeros((n, COLUMNS), dtype=np.float32)
+            part[owner[a:b], element[a:b] - element[a] // COLUMNS * COLUMNS] = 1
+            both += part @ part.T
+    union = total[:, None] + total[None, :] - both
+    value = np.divide(both, union, out=np.zeros((n, n)), where=union > 0)
+    label = rows["label"].tolist()
+    i, j = np.nonzero(np.triu(value >= threshold, 1))
+    root: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    node, out = rows["node"].tolist(), []
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = top(label[x]), top(label[y])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((min(node[x], node[y]), max(node[x], node[y]), float(value[x, y])))
+    return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def exhaustive(members: DataFrame, heads: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links between different components among all nodes that share an open bucket: (a, b, similarity), enough of them to join the components.
+
+    Nodes gather by the smallest label of their buckets, once each however many buckets they share. A gathering is cut into
+    blocks of at most about BLOCK_NODES nodes and BLOCK_BYTES of text, and every two blocks meet in one task.
+    """
+    met = members.join(heads.select("value", F.col("label").alias("head")), "value").select("head", "node", "label").distinct()
+    met = stored(met.join(texts, "node"), "open")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int")
+    placed = met.join(met.groupBy("head").agg(blocks.alias("k")), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    copies = copies.select("head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", "text")
+    return copies.groupBy("head", "low", "high").applyInPandas(lambda rows: _block_links(rows, threshold), "a binary, b binary, similarity double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of the edges (a, b). Labels spread to neighbours and along labels until none changes."""
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b"), F.col("a"))).where("x <> y").distinct(), "edges")
@@ -187,39 +246,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     wanted = table.where("node IS NOT NULL").groupBy("node").agg(F.min("uid").alias("uid")).join(buckets.select("node").distinct(), "node")
     texts = stored(table.select("uid", F.col(f"row.`{text}`").alias("text")).join(wanted, "uid").select("node", "text"), "texts")
     labels = stored(wanted.select("node", F.col("node").alias("label")), "labels")
-    links = tested = None
-    round_ = 0
-    while True:
+    links = None
+    for round_ in range(STAR_ROUNDS + 1):
         members = buckets.join(labels, "node")
         heads = members.groupBy("value").agg(F.min(F.struct("label", "node", "s0", "s1", "s2")).alias("head"), F.max("label").alias("last")).where("head.label <> last").select("value", "head.*")
-        star = round_ < STAR_ROUNDS
-        if star:  # the bucket's leader is that of the smallest label
-            others = heads.alias("h")
-        else:  # every node of another component
-            others = members.join(heads.select("value"), "value", "left_semi").alias("h")
-        apart = (F.col("m.value") == F.col("h.value")) & (F.col("h.label") < F.col("m.label")) & (_differ("m", "h") <= MAX_BITS)
-        pairs = members.alias("m").join(others, apart).select(F.col("h.node").alias("a"), F.col("m.node").alias("b"))
-        # in the first round each node meets one leader only: most groups are joined by that
-        pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if round_ == 0 else pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.limit(1).count():
+        if round_ < STAR_ROUNDS:  # the bucket's leader is the node of the smallest label
+            apart = (F.col("m.value") == F.col("h.value")) & (F.col("h.label") < F.col("m.label")) & (_differ("m", "h") <= MAX_BITS)
+            pairs = members.alias("m").join(heads.alias("h"), apart).select(F.col("h.node").alias("a"), F.col("m.node").alias("b"))
+            # in the first round each node meets one leader only: most groups are joined by that
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if round_ == 0 else pairs.distinct()
             found = stored(verify(pairs, texts, threshold), "links")
-            links = found if links is None else links.unionAll(found)
-            tested = pairs if tested is None else tested.unionAll(pairs)
-            if found.limit(1).count():
-                of = labels.select(F.col("node"), F.col("label"))
-                between = found.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-                merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-                labels = stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        elif not star:
-            break
-        if not star:
-            break
-        round_ = round_ + 1 if pairs.limit(1).count() else STAR_ROUNDS
+        else:
+            found = stored(exhaustive(members, heads, texts, threshold), "links")
+        links = found if links is None else links.unionAll(found)
+        if found.limit(1).count():
+            between = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
     classed = table.drop("s0", "s1", "s2", "bands").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
-    return classed, links if links is not None else pairs.withColumn("similarity", F.lit(0.0))
+    return classed, links
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

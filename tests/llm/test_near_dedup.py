@@ -87,3 +87,19 @@ def test_keep_first_and_repeated_rows(spark):
     rows = near_dedup.keep_first(df).collect()
     assert sorted((r.doc_id or 0, r["class"]) for r in rows) == [(0, "d"), (3, "b"), (9, "c"), (9, "c")]
     assert near_dedup.classes(df.limit(0)).collect() == []
+
+
+def test_copies_around_the_threshold(spark, monkeypatch):
+    """A group in which many copies are linked to some others and not to the first, cut into several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 20)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        copy = list(words)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(120)] = f"x{rng.randint(0, 30)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == dict(enumerate(brute_classes(texts)))
