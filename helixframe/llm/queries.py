@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, warc
-from helixframe.llm.common import read_table
+from helixframe.llm.common import LOWER, UPPER, read_table
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,5 +68,52 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, pipeline)}
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+     best AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN best USING (html)
+"""
+
+# the lengths are those of the template's marks; every sign that is escaped adds one character
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     c AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+                  19 + length(role) + length(text) + len(regexp_extract_all(text, '<</SYS>>|\[/INST\]|<<SYS>>|\[INST\]|</s>|<s>|<\||\\')) AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, sum(length(learnt))::BIGINT AS loss_chars,
+       sha256(string_agg(learnt, '' ORDER BY turn)) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def licenses_sql() -> str:
+    """Every block against every template, by sets of words."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {_sql_list(p.split())} AS parts" for p, label in licenses.PHRASES.items())
+    sets = [(label, licenses.tokens_of(t)) for label, t in licenses.TEMPLATES]
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {_sql_list(own)} AS tokens, {licenses.needed(len(own), licenses.CONTAINMENT)} AS o" for label, own in sets)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS uid, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+     w AS (SELECT doc_id, uid, t, regexp_extract_all(t, {word}) AS ws FROM d),
+     phrases AS ({phrases}), templates AS ({templates}),
+     places AS (SELECT uid, label, i - 1 AS pos FROM (SELECT uid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), phrases WHERE ws[i] = parts[1] AND ws[i:i + len(parts) - 1] = parts),
+     base AS (SELECT uid, count(*) AS n, min(pos) AS first, max(pos) AS last, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY uid),
+     blocks AS (SELECT DISTINCT uid, block FROM (SELECT uid, unnest(string_split(t, chr(10))) AS block FROM d UNION ALL SELECT uid, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d)),
+     own AS (SELECT uid, list_distinct(regexp_extract_all(block, {word})) AS tokens FROM blocks ),
+     shared AS (SELECT uid, label, len(list_intersect(own.tokens, templates.tokens)) AS c, len(templates.tokens) AS size, o FROM own, templates),
+     more AS (SELECT uid, list(DISTINCT label) AS labels, max(c / size) AS contained FROM shared WHERE c >= o GROUP BY uid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, more.labels))), ','), '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(contained, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (uid) LEFT JOIN more USING (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries whose rows SQL can express."""
+    return {"op5_licenses": licenses_sql(), "op8_warc": WARC_SQL, "op10_chat": CHAT_SQL}
