@@ -1 +1 @@
-"""Spark-native multi-omics analytics: DataFrame, SQL and Structured Streaming operators."""
+"""Spark-native omics analytics: DataFrame, SQL and Structured Streaming operators."""
