@@ -3,8 +3,8 @@
 Equal vectors are one node; of its rows the smallest ids are kept, as many as an answer can need. The graph's lists start
 from windows of vectors sorted by random projections. Then, again and again, each node brings together its neighbours and
 some of those that list it (a join of edges with nodes), every pair of which is compared where at least one is new, and
-better partners go to the nodes' lists. Nodes travel as one byte a component; found answers are scored on the original
-vectors in double precision. A query starts at its own node and expands the best nodes of its beam, many queries in one
+better partners go to the nodes' lists. All scores, of lists and beams, are those of the original vectors in double
+precision, so near copies keep their order; a vector goes to each block that compares it once, not once an edge. A query starts at its own node and expands the best nodes of its beam, many queries in one
 join a round, until the beam holds no node that is not expanded.
 
 Blocks have a fixed number of nodes or queries, so tasks do not grow with the corpus.
@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from helixframe.llm.common import drop_stored, stored
 
@@ -25,7 +26,9 @@ from helixframe.llm.common import drop_stored, stored
 LIST, REVERSE, ROUNDS, SETTLED = 32, 20, 8, 0.02
 #: Projections of the start, their windows; beam, nodes expanded a round, rounds at most.
 PROJECTIONS, WINDOW, BEAM, EXPAND, SEARCH_ROUNDS = 3, 128, 192, 48, 40
-NODES_PER_BLOCK, QUERIES_PER_BLOCK = 2000, 500
+NODES_PER_BLOCK, QUERIES_PER_BLOCK = 5000, 500
+#: Offers that a task holds before it drops all but the best of each node.
+HELD = 500_000
 _LISTS = "id long, ids binary, scores binary, fresh binary, kind int"
 
 
@@ -57,18 +60,20 @@ def nodes_of(rows: DataFrame, members: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("members")).select(F.element_at("members", 1).alias("id"), "vec", "members")
 
 
-def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One byte a component and the scale that restores it."""
-    for batch in batches:
-        if len(batch):
-            x = np.array(batch["vec"].tolist(), dtype=np.float64)
-            scale = np.abs(x).max(axis=1) / 127
-            codes = np.rint(x / scale[:, None]).astype(np.int8)
-            yield pd.DataFrame({"id": batch["id"], "code": [c.tobytes() for c in codes], "scale": scale})
+def _codes(nodes: DataFrame, exact: str) -> DataFrame:
+    """(id, code): the components as bytes of the numpy type `exact`, which holds them without loss."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "code": [np.asarray(v, dtype=exact).tobytes() for v in batch["vec"]]})
+
+    return nodes.select("id", "vec").mapInPandas(run, "id long, code binary")
 
 
-def _decoded(codes: pd.Series, scales: pd.Series) -> np.ndarray:
-    return (_join(codes, "i1").reshape(len(codes), -1).astype(np.float32)) * scales.to_numpy(np.float32)[:, None]
+def _decoded(codes: pd.Series, dimension: int) -> np.ndarray:
+    """A row a vector, in the type that it is kept in."""
+    width = len(codes.iloc[0]) // dimension if len(codes) else 8
+    return _join(codes, f"<f{width}").reshape(len(codes), dimension)
 
 
 def _best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.ndarray, keep: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def _lists(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.nda
     best = _best(owner, ids, scores, fresh, keep)
     own, starts = np.unique(owner[best], return_index=True)
     ends = np.r_[starts[1:], len(best)].astype(np.int64) if len(own) else np.empty(0, np.int64)
-    return pd.DataFrame({"id": own, "ids": _split(ids[best].astype("<i8"), ends), "scores": _split(scores[best].astype("<f4"), ends), "fresh": _split(fresh[best].astype("i1"), ends), "kind": kind})
+    return pd.DataFrame({"id": own, "ids": _split(ids[best].astype("<i8"), ends), "scores": _split(scores[best].astype("<f8"), ends), "fresh": _split(fresh[best].astype("i1"), ends), "kind": kind})
 
 
 def _started(codes: DataFrame, dimension: int, tasks: int) -> DataFrame:
@@ -99,7 +104,7 @@ def _started(codes: DataFrame, dimension: int, tasks: int) -> DataFrame:
         def project(batches: Iterator[pd.DataFrame], direction: np.ndarray = direction) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    yield batch.assign(p=_decoded(batch["code"], batch["scale"]) @ direction)
+                    yield batch.assign(p=_decoded(batch["code"], dimension) @ direction)
 
         def window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = []
@@ -115,13 +120,13 @@ def _started(codes: DataFrame, dimension: int, tasks: int) -> DataFrame:
             out = []
             for a in range(0, len(rows), WINDOW):
                 part = rows.iloc[a : a + WINDOW]
-                x, own = _decoded(part["code"], part["scale"]), part["id"].to_numpy()
+                x, own = _decoded(part["code"], dimension).astype(np.float64), part["id"].to_numpy()
                 scores = x @ x.T
                 i, j = np.nonzero(~np.eye(len(part), dtype=bool))
                 out.append(_lists(own[i], own[j], scores[i, j], np.ones(len(i), np.int8), LIST // 2, 1))
             return pd.concat(out)
 
-        sorted_rows = codes.mapInPandas(project, "id long, code binary, scale double, p double").repartitionByRange(tasks, "p").sortWithinPartitions("p")
+        sorted_rows = codes.mapInPandas(project, "id long, code binary, p double").repartitionByRange(tasks, "p").sortWithinPartitions("p")
         part = sorted_rows.mapInPandas(window, _LISTS)
         made = part if made is None else made.unionAll(part)
     return made
@@ -131,7 +136,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     """The starting lists of a block of nodes, from those of all windows."""
     n = _sizes(rows["ids"], 8)
     owner = np.repeat(rows["id"].to_numpy(), n)
-    ids, scores = _join(rows["ids"], "<i8"), _join(rows["scores"], "<f4")
+    ids, scores = _join(rows["ids"], "<i8"), _join(rows["scores"], "<f8")
     new = np.repeat(rows["kind"].to_numpy(), n).astype(np.int8)
     return _lists(owner, ids, scores, new, LIST, 0)
 
@@ -151,7 +156,7 @@ def _merge_offers(lists: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
     n = _sizes(lists["ids"], 8)
     owner = np.r_[np.repeat(lists["id"].to_numpy(), n), _join(offers["owners"], "<i8")]
     ids = np.r_[_join(lists["ids"], "<i8"), _join(offers["ids"], "<i8")]
-    scores = np.r_[_join(lists["scores"], "<f4"), _join(offers["scores"], "<f4")]
+    scores = np.r_[_join(lists["scores"], "<f8"), _join(offers["scores"], "<f8")]
     new = np.zeros(len(ids), np.int8)
     new[n.sum() :] = 1
     return _lists(owner, ids, scores, new, LIST, 0)
@@ -160,50 +165,89 @@ def _merge_offers(lists: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
 _OFFERS = "to int, owners binary, ids binary, scores binary"
 
 
-def _compare(rows: pd.DataFrame, blocks: int) -> pd.DataFrame:
-    """A block of centres with their members: offers of better partners to members, packed by the members' blocks."""
-    if not len(rows):
+_EDGES = "block int, centres binary, members binary, fresh binary, back int"
+
+
+def _meetings(graph: DataFrame, blocks: int, round_: int) -> DataFrame:
+    """The members that each centre brings together, packed by the centres' blocks: entries of its list and (back) sampled nodes that list it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, other = np.repeat(batch["id"].to_numpy(), _sizes(batch["ids"], 8)), _join(batch["ids"], "<i8")
+            # entries that came in the last round are new; in the first round all are
+            fresh = _join(batch["fresh"], "i1") if round_ else np.ones(len(own), np.int8)
+            drawn = ((other * 0x9E3779B1 + own * 0x85EBCA77 + round_ * 0xC2B2AE3D) >> 13) % LIST < REVERSE
+            for back, centre, member, new in ((0, own, other, fresh), (1, other[drawn], own[drawn], fresh[drawn])):
+                to = _blocks_of(centre, blocks)
+                order = np.argsort(to, kind="stable")
+                found, starts = np.unique(to[order], return_index=True)
+                ends = np.r_[starts[1:], len(order)].astype(np.int64) if len(found) else np.empty(0, np.int64)
+                yield pd.DataFrame({"block": found, "centres": _split(centre[order].astype("<i8"), ends), "members": _split(member[order].astype("<i8"), ends), "fresh": _split(new[order].astype("i1"), ends), "back": back})
+
+    return graph.select("id", "ids", "fresh").mapInPandas(run, _EDGES)
+
+
+def _asked(edges: DataFrame) -> DataFrame:
+    """(block, member): the nodes that each block needs, once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, part in batch.groupby("block")["members"]:
+                yield pd.DataFrame({"block": block, "member": np.unique(_join(part, "<i8"))})
+
+    return edges.select("block", "members").mapInPandas(run, "block int, member long").distinct()
+
+
+def _compare(edges: pd.DataFrame, nodes: pd.DataFrame, blocks: int, dimension: int) -> pd.DataFrame:
+    """A block of centres and the nodes they bring together: offers of better partners to members, packed by the members' blocks."""
+    if not len(edges) or not len(nodes):
         return pd.DataFrame({"to": [], "owners": [], "ids": [], "scores": []})
-    centre, member = rows["centre"].to_numpy(), rows["member"].to_numpy()
+    centre, member, fresh = _join(edges["centres"], "<i8"), _join(edges["members"], "<i8"), _join(edges["fresh"], "i1") > 0
+    back = np.repeat(edges["back"].to_numpy(), _sizes(edges["centres"], 8))
     lottery = (member * 0x9E3779B1 + centre * 0x85EBCA77) & 0xFFFFFF
-    order = np.lexsort((np.where(rows["back"].to_numpy() > 0, 1 + lottery, 0), centre))
+    order = np.lexsort((np.where(back > 0, 1 + lottery, 0), centre))
     sorted_centre = centre[order]
     rank = np.arange(len(order)) - np.searchsorted(sorted_centre, sorted_centre)
     order, rank = order[rank < LIST + REVERSE], rank[rank < LIST + REVERSE]
-    rows = rows.iloc[order]
-    _, row = np.unique(rows["centre"].to_numpy(), return_inverse=True)
-    x = _decoded(rows["code"], rows["scale"])
+    _, row = np.unique(centre[order], return_inverse=True)
+    by_id = np.argsort(nodes["member"].to_numpy())
+    own, bound, x = nodes["member"].to_numpy()[by_id], nodes["bound"].to_numpy(np.float64)[by_id], _decoded(nodes["code"], dimension)[by_id]
     width, count = LIST + REVERSE, row.max() + 1
-    at = np.full((count, width), -1, dtype=np.int64)
-    at[row, rank] = np.arange(len(rows))
-    member, bound, fresh = rows["member"].to_numpy(), rows["bound"].to_numpy(np.float32), rows["fresh"].to_numpy() > 0
-    x = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
-    member, bound, fresh = np.r_[member, -1], np.r_[bound, np.float32(np.inf)], np.r_[fresh, False]
-    offers = []
-    for a in range(0, count, 256):
-        k = at[a : a + 256]
-        scores = x[k] @ x[k].transpose(0, 2, 1)
-        wanted = (scores > bound[k][:, :, None]) & (k >= 0)[:, None, :] & (member[k][:, :, None] != member[k][:, None, :]) & (fresh[k][:, :, None] | fresh[k][:, None, :])
+    # places in `own`; -1, which is the row put behind the others, where a centre has fewer
+    at, new = np.full((count, width), -1, dtype=np.int64), np.zeros((count, width), dtype=bool)
+    at[row, rank], new[row, rank] = np.searchsorted(own, member[order]), fresh[order]
+    x, own, bound = np.vstack([x, np.zeros((1, dimension), x.dtype)]), np.r_[own, -1], np.r_[bound, np.inf]
+    offers, held = [], 0
+
+    def best_of(offers: list[tuple]) -> tuple:
+        owner, ids, scores = (np.concatenate(o) for o in zip(*offers))
+        best = _best(owner, ids, scores, np.ones(len(ids), np.int8), LIST)
+        return owner[best], ids[best], scores[best]
+
+    for a in range(0, count, 128):
+        k, f = at[a : a + 128], new[a : a + 128]
+        y = x[k].astype(np.float64)
+        scores = y @ y.transpose(0, 2, 1)
+        wanted = (scores > bound[k][:, :, None]) & (k >= 0)[:, None, :] & (k[:, :, None] != k[:, None, :]) & (f[:, :, None] | f[:, None, :])
         c, i, j = np.nonzero(wanted)
-        offers.append((member[k[c, i]], member[k[c, j]], scores[c, i, j]))
-    owner, ids, scores = (np.concatenate(o) for o in zip(*offers))
-    best = _best(owner, ids, scores, np.ones(len(ids), np.int8), LIST)
-    to = _blocks_of(owner[best], blocks)
+        offers.append((own[k[c, i]], own[k[c, j]], scores[c, i, j]))
+        held += len(c)
+        if held > HELD:
+            offers, held = [best_of(offers)], 0
+            # no later offer to a node counts that does not beat a full list of them
+            owner, _, scores = offers[0]
+            last = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True])
+            full = last[np.diff(np.r_[-1, last]) == LIST]
+            place = np.searchsorted(own[:-1], owner[full])
+            bound[place] = np.maximum(bound[place], scores[full])
+    owner, ids, scores = best_of(offers)
+    to = _blocks_of(owner, blocks)
     order = np.argsort(to, kind="stable")
-    best, (found, starts) = best[order], np.unique(to[order], return_index=True)
-    ends = np.r_[starts[1:], len(best)].astype(np.int64) if len(found) else np.empty(0, np.int64)
-    return pd.DataFrame({"to": found, "owners": _split(owner[best].astype("<i8"), ends), "ids": _split(ids[best].astype("<i8"), ends), "scores": _split(scores[best].astype("<f4"), ends)})
-
-
-def _exploded(graph: DataFrame) -> DataFrame:
-    """(id, other, fresh) of every entry of the lists."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), _sizes(batch["ids"], 8)), "other": _join(batch["ids"], "<i8"), "fresh": _join(batch["fresh"], "i1").astype(np.int32)})
-
-    return graph.select("id", "ids", "fresh").mapInPandas(run, "id long, other long, fresh int")
+    found, starts = np.unique(to[order], return_index=True)
+    ends = np.r_[starts[1:], len(order)].astype(np.int64) if len(found) else np.empty(0, np.int64)
+    return pd.DataFrame({"to": found, "owners": _split(owner[order].astype("<i8"), ends), "ids": _split(ids[order].astype("<i8"), ends), "scores": _split(scores[order].astype("<f8"), ends)})
 
 
 def _bounds(graph: DataFrame) -> DataFrame:
@@ -211,27 +255,23 @@ def _bounds(graph: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "bound": [float(np.frombuffer(s, "<f4")[-1]) if len(s) == 4 * LIST else float("-inf") for s in batch["scores"]]})
+            yield pd.DataFrame({"id": batch["id"], "bound": [float(np.frombuffer(s, "<f8")[-1]) if len(s) == 8 * LIST else float("-inf") for s in batch["scores"]]})
 
     return graph.select("id", "scores").mapInPandas(run, "id long, bound double")
 
 
 def build_graph(codes: DataFrame, dimension: int) -> DataFrame:
-    """NN-descent over (id, code, scale): each node's list of its best partners found (ids and scores as binary)."""
+    """NN-descent over (id, code): each node's list of its best partners found (ids and scores as binary)."""
     spark = codes.sparkSession
     n = codes.count()
     blocks = max(1, -(-n // NODES_PER_BLOCK))
     block = _block("id", blocks).alias("block")
     graph = stored(_started(codes, dimension, blocks).groupBy(block).applyInPandas(_merge, _LISTS), "graph")
     for round_ in range(ROUNDS):
-        # entries that came in the last round are new; in the first round all are
-        edges = _exploded(graph)
-        if round_ == 0:
-            edges = edges.withColumn("fresh", F.lit(1))
-        nodes = codes.join(_bounds(graph), "id", "left").select(F.col("id").alias("member"), "code", "scale", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-        back = edges.select(F.col("other").alias("centre"), F.col("id").alias("member"), "fresh", F.lit(1).alias("back")).where(F.pmod(F.xxhash64("centre", "member", F.lit(round_)), F.lit(LIST)) < REVERSE)
-        meet = edges.select(F.col("id").alias("centre"), F.col("other").alias("member"), "fresh", F.lit(0).alias("back")).unionAll(back).join(nodes, "member")
-        offers = meet.groupBy(_block("centre", blocks).alias("block")).applyInPandas(lambda rows: _compare(rows, blocks), _OFFERS)
+        edges = _meetings(graph, blocks, round_)
+        nodes = codes.join(_bounds(graph), "id", "left").select(F.col("id").alias("member"), "code", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+        meet = _asked(edges).join(nodes, "member").groupBy("block")
+        offers = edges.groupBy("block").cogroup(meet).applyInPandas(lambda e, x: _compare(e, x, blocks, dimension), _OFFERS)
         merged = stored(graph.groupBy(block).cogroup(offers.groupBy(F.col("to").alias("block"))).applyInPandas(_merge_offers, _LISTS), "graph")
         drop_stored(graph)
         graph = merged
@@ -247,7 +287,7 @@ def _ones(column: str) -> F.Column:
     return (F.length(F.hex(column)) - F.length(F.replace(F.hex(column), F.lit("01"), F.lit("0")))).cast("long")
 
 
-_BEAM = "qid long, code binary, scale double, ids binary, scores binary, done binary, seen binary"
+_BEAM = "qid long, code binary, ids binary, scores binary, done binary, seen binary"
 
 
 def _row_best(ids: np.ndarray, scores: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,8 +295,8 @@ def _row_best(ids: np.ndarray, scores: np.ndarray, done: np.ndarray) -> tuple[np
     return ids[order], scores[order], done[order]
 
 
-def search(graph: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, ids binary, scores binary): the beam that each query node (column qid) ends with, itself included."""
+def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dimension: int) -> DataFrame:
+    """(qid, ids binary, scores binary): the beam that each query node (column qid) ends with, itself included, by falling score, then id."""
     spark = graph.sparkSession
     n, count = codes.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // NODES_PER_BLOCK)), max(1, -(-count // QUERIES_PER_BLOCK))
@@ -267,13 +307,13 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                own = _decoded(pd.Series([r.code]), pd.Series([r.scale]))[0]
+                own = _decoded(pd.Series([r.code]), dimension)[0].astype(np.float64)
                 ids = np.r_[np.int64(r.qid), np.frombuffer(r.ids or b"", "<i8")]
-                scores = np.r_[np.float32(own @ own), np.frombuffer(r.scores or b"", "<f4")]
+                scores = np.r_[own @ own, np.frombuffer(r.scores or b"", "<f8")]
                 done = np.zeros(len(ids), np.int8)
                 done[0] = 1
                 a, b, c = _row_best(ids, scores, done)
-                out.append((r.qid, r.code, r.scale, a.astype("<i8").tobytes(), b.astype("<f4").tobytes(), c.astype("i1").tobytes(), ids.astype("<i8").tobytes()))
+                out.append((r.qid, r.code, a.astype("<i8").tobytes(), b.astype("<f8").tobytes(), c.astype("i1").tobytes(), ids.astype("<i8").tobytes()))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _BEAM.split(", ")])
 
     beam = stored(start.mapInPandas(begin, _BEAM), "beam")
@@ -294,31 +334,31 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
             done[np.flatnonzero(done == 0)[:EXPAND]] = 1
             seen = np.frombuffer(r.seen, "<i8")
             new = np.setdiff1d(_join(lists_of[r.qid], "<i8"), seen) if r.qid in lists_of else np.empty(0, np.int64)
-            out.append((-1, r.qid, r.code, r.scale, r.ids, r.scores, done.tobytes(), np.r_[seen, new].astype("<i8").tobytes()))
+            out.append((-1, r.qid, r.code, r.ids, r.scores, done.tobytes(), np.r_[seen, new].astype("<i8").tobytes()))
             part = new % blocks
             for b in np.unique(part):
-                out.append((int(b), r.qid, r.code, r.scale, new[part == b].astype("<i8").tobytes(), b"", b"", b""))
+                out.append((int(b), r.qid, r.code, new[part == b].astype("<i8").tobytes(), b"", b"", b""))
         return pd.DataFrame(out, columns=["block", *(x.split()[0] for x in _BEAM.split(", "))])
 
     def scored(asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"qid": [], "ids": [], "scores": []})
         order = np.argsort(nodes["id"].to_numpy())
-        own, x = nodes["id"].to_numpy()[order], _decoded(nodes["code"], nodes["scale"])[order]
-        q = _decoded(asked["code"], asked["scale"])
-        scores = [(x[np.searchsorted(own, np.frombuffer(i, "<i8"))] @ q[k]).astype("<f4").tobytes() for k, i in enumerate(asked["ids"])]
+        own, x = nodes["id"].to_numpy()[order], _decoded(nodes["code"], dimension)[order]
+        q = _decoded(asked["code"], dimension).astype(np.float64)
+        scores = [(x[np.searchsorted(own, np.frombuffer(i, "<i8"))].astype(np.float64) @ q[k]).astype("<f8").tobytes() for k, i in enumerate(asked["ids"])]
         return pd.DataFrame({"qid": asked["qid"].to_numpy(), "ids": asked["ids"].to_numpy(), "scores": scores})
 
     def joined(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         more = {q: g for q, g in found.groupby("qid")} if len(found) else {}
         out = []
         for r in rows.itertuples(index=False):
-            ids, scores, done = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.scores, "<f4"), np.frombuffer(r.done, "i1")
+            ids, scores, done = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.scores, "<f8"), np.frombuffer(r.done, "i1")
             if r.qid in more:
                 new = _join(more[r.qid]["ids"], "<i8")
-                ids, scores, done = np.r_[ids, new], np.r_[scores, _join(more[r.qid]["scores"], "<f4")], np.r_[done, np.zeros(len(new), np.int8)]
+                ids, scores, done = np.r_[ids, new], np.r_[scores, _join(more[r.qid]["scores"], "<f8")], np.r_[done, np.zeros(len(new), np.int8)]
             a, b, c = _row_best(ids, scores, done)
-            out.append((r.qid, r.code, r.scale, a.astype("<i8").tobytes(), b.astype("<f4").tobytes(), c.astype("i1").tobytes(), r.seen))
+            out.append((r.qid, r.code, a.astype("<i8").tobytes(), b.astype("<f8").tobytes(), c.astype("i1").tobytes(), r.seen))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _BEAM.split(", ")])
 
     query_block = F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).alias("query_block")
@@ -326,7 +366,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
     for _ in range(SEARCH_ROUNDS):
         steps = beam.select("qid", "ids", "done").mapInPandas(frontier, "qid long, id long").join(lists.select("id", "ids"), "id").select("qid", "ids")
         both = stored(beam.groupBy(query_block).cogroup(steps.groupBy(query_block)).applyInPandas(unseen, "block int, " + _BEAM), "steps")
-        asked = both.where("block >= 0").select("block", "qid", "code", "scale", "ids")
+        asked = both.where("block >= 0").select("block", "qid", "code", "ids")
         if not asked.limit(1).count():
             break
         found = asked.groupBy("block").cogroup(node_blocks).applyInPandas(scored, "qid long, ids binary, scores binary")
@@ -350,28 +390,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimension = len(head[0]["vec"])
     nodes = stored(nodes_of(rows, k + 1), "nodes")
-    codes = stored(nodes.mapInPandas(_codes, "id long, code binary, scale double"), "codes")
+    kept = vectors.schema[vector].dataType
+    codes = stored(_codes(nodes, "<f4" if kept == ArrayType(FloatType(), kept.containsNull) else "<f8"), "codes")
     graph = build_graph(codes, dimension)
     # a query's node: that of its vector
     of = queries.select(F.col("query_id").cast("long").alias("id")).where("id IS NOT NULL").distinct().join(rows, "id").select(F.col("id").alias("query_id"), "vec").join(nodes.select("vec", F.col("id").alias("qid")), "vec").select("query_id", "qid")
     of = stored(of, "queries")
-    beam = search(graph, codes, of.select("qid").distinct())
+    beam = search(graph, codes, of.select("qid").distinct(), dimension)
 
+    # the beam's scores are exact: the k best nodes besides the query's own hold the k best rows
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                yield pd.DataFrame({"qid": r.qid, "id": np.frombuffer(r.ids, "<i8")[: 3 * k + 4]})
-
-    pairs = beam.mapInPandas(best, "qid long, id long")
-    pairs = pairs.join(nodes, "id").select("qid", F.col("vec").alias("found"), "members").join(nodes.select(F.col("id").alias("qid"), "vec"), "qid")
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("vec", "found"))
-                yield pd.DataFrame({"qid": batch["qid"], "score": np.einsum("ij,ij->i", a, b), "members": batch["members"]})
+                yield pd.DataFrame({"qid": r.qid, "id": np.frombuffer(r.ids, "<i8")[: k + 1], "score": np.frombuffer(r.scores, "<f8")[: k + 1]})
 
-    pairs = pairs.select("qid", "vec", "found", "members").mapInPandas(exact, "qid long, score double, members array<long>")
+    pairs = beam.mapInPandas(best, "qid long, id long, score double").join(nodes.select("id", "members"), "id")
     rows = pairs.join(of, "qid").select("query_id", "score", F.explode("members").alias("vec_id")).where("query_id <> vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -39,3 +39,25 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(table(spark, rows), queries, 20).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 9, 1.0), (0, 3, 2, 0.5)]
     assert neighbours.nearest(table(spark, []), queries, 20).collect() == []
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    """Differences far below a byte's step: only the original vectors can rank such a group."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4500, 64))
+    for start, noise in ((0, 1e-2), (2000, 1e-3)):
+        x[start : start + 2000] = x[start] / np.linalg.norm(x[start]) + noise / 8 * rng.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]], 1) for i in range(len(x))]
+    queries = spark.createDataFrame([(i,) for i in range(0, 4000, 80)], "query_id long")
+    got = {}
+    for r in neighbours.nearest(table(spark, rows), queries, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = x.astype(np.float64)
+    for start in (0, 2000):
+        hits = 0
+        for q in range(start, start + 2000, 80):
+            scores = exact @ exact[q]
+            scores[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+        assert hits >= 0.95 * 25 * 20, (start, hits)
