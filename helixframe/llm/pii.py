@@ -35,11 +35,11 @@ ENDINGS = {
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-#: Repetitions are bounded and start at borders, so long texts take linear time. In the order in which they are tried at a place. The kinds' names are those of the result.
+#: Repetitions are bounded, or of one class behind a fixed start (secrets and keys have no greatest length), and start at borders, so long texts take linear time. In the order in which they are tried at a place. The kinds' names are those of the result.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:\"[^\"\s]{6,200}\"|'[^'\s]{6,200}'|[^\s\"']{5,199}[^\s\"'.,;:!?)])",
-    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{5,}[^\s\"'.,;:!?)])",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}+\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[-.]\d{4}(?!\d)|(?<![\w.-])\d{3}([-.])\d{3}\1\d{4}(?![\d-])",
@@ -67,11 +67,14 @@ def _same_format(value) -> F.Column:
     """Each digit and ASCII letter becomes another of its class (hexadecimal strings stay so); all else stays."""
     hexadecimal = value.rlike("^[0-9a-f]+[\"']?$")
 
-    def one(i):
-        c, b = F.substring(value, i, F.lit(1)), _byte(i) + F.lit(0)
-        return F.when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), F.when(hexadecimal, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b))).when(c.between("A", "Z"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c)
+    def made(small: str) -> F.Column:
+        def one(c, i):
+            b = _byte(i + 1) + F.lit(0)
+            return F.when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), _pick(small, b)).when(c.between("A", "Z"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c)
 
-    return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), one), "")).otherwise(F.lit(""))
+        return F.array_join(F.transform(F.split(value, ""), one), "")
+
+    return F.when(F.length(value) > 0, F.when(hexadecimal, made("abcdef")).otherwise(made("abcdefghijklmnopqrstuvwxyz"))).otherwise(F.lit(""))
 
 
 def _luhn(digits) -> F.Column:

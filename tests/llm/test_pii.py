@@ -56,3 +56,13 @@ def test_empty_and_repeated(spark):
     assert pii.replace_entities(spark.createDataFrame([], schema)).collect() == []
     rows = pii.replace_entities(spark.createDataFrame([("a@b.org",), ("a@b.org",), ("plain",)], schema)).collect()
     assert len(rows) == 3 and len({r.text for r in rows}) == 2
+
+
+def test_secrets_of_any_length_are_replaced_whole(spark):
+    values = [("aB3x" * n)[:n] for n in (201, 1000, 10_000)]
+    texts = [form.format(v) for v in values for form in ('Before password="{}" after', "Before token='{}' after", "Before api_key={}, after", "Before sk-{} after")]
+    rows = run(spark, texts)
+    for i, text in enumerate(texts):
+        new = rows[i].text
+        assert rows[i].n_entities == 1 and len(new) == len(text) and new.startswith("Before ") and new.endswith(" after"), text[:40]
+        assert "aB3xaB3x" not in new and re.sub("[A-Za-z0-9]", "x", new) == re.sub("[A-Za-z0-9]", "x", text), text[:40]
