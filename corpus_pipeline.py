@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or lose too much text to the line rules; kept texts stay whole."""
-    return line_rules.keep_good(docs)
+    """Drops documents that fail the base rules or lose too much text to the line rules, and removes failing lines from the others; n_chars follows the new text."""
+    return line_rules.keep_good(docs, cleaned=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

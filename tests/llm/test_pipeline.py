@@ -18,3 +18,11 @@ def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r.length for r in rows} and max(r.length for r in rows) <= 2048
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near duplicates", "personal data", "packing"]
+
+
+def test_the_rules_stage_removes_failing_lines(spark):
+    good = [" ".join(f"word{i}x{j}" for j in range(20)) + "." for i in range(4)]
+    text = "\n".join(["Home", good[0], good[1], "a | b | c | d", good[2], good[0], "All rights reserved.", good[3]])
+    docs = spark.createDataFrame([(1, text, "en", "web", len(text)), (2, "too short", "en", "web", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.quality_rules(spark, docs, SF).collect()
+    assert [tuple(r) for r in rows] == [(1, "\n".join(good), "en", "web", len("\n".join(good)))]
