@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from helixframe.llm.common import by_rows
+from helixframe.llm.common import by_rows, slices
 
 OPEN, CLOSE, ESCAPE = "<|turn:", "<|end|>\n", "\\"
 #: Strings of other templates that must not survive in a text either, besides everything that starts with "<|".
@@ -122,7 +122,7 @@ def format_turns(conversations: DataFrame, key: str = "conv_id", turn: str = "tu
         return [columns[0], columns[1], *map(list, zip(*out, strict=True))]
 
     typed = F.col(parts).cast("string") if parts else F.lit(None).cast("string")
-    return by_rows(conversations.select(F.col(key).cast("long"), F.col(turn).cast("long"), F.col(role).cast("string"), F.col(text).cast("string"), typed), run, schema)
+    return by_rows(conversations.select(F.col(key).cast("long"), F.col(turn).cast("long"), F.col(role).cast("string"), F.col(text).cast("string"), typed), run, schema, (2, 3))
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -150,7 +150,7 @@ def read_back(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for key, formatted, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, formatted, start, length in (row for part in slices(batch, 1) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if key != now:
                     close()
                     now, state = key, [0, sha256(), 0, sha256(), 0]

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of text that become Python values at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests) a folder of its own is set."""
+    """The cluster's shared folder; where a local session names none (tests) a folder of its own is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("helixframe.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("helixframe.shared.dir", base)
     return base.rstrip("/")
@@ -51,10 +59,26 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_rows(df: DataFrame, function: Callable[[list[list]], list[list]], schema: str, chunk: int = 512) -> DataFrame:
-    """Runs `function` on chunks of rows given as columns of Python values; it returns columns in `schema`'s order.
+def slices(batch: pa.RecordBatch, *texts: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and, but for one longer row, `size` bytes in the columns `texts`: only a part becomes Python values."""
+    lengths = sum((pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in texts), np.zeros(batch.num_rows, np.int64))
+    ends, start = np.cumsum(lengths), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))), batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def as_bytes(column: pa.Array) -> list[bytes]:
+    """The texts as UTF-8 bytes; null: empty."""
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
+def by_rows(df: DataFrame, function: Callable[[list[list]], list[list]], schema: str, texts: tuple[int, ...] = (1,)) -> DataFrame:
+    """Runs `function` on parts of few rows given as columns of Python values; it returns columns in `schema`'s order.
 
-    A map over Arrow batches: no shuffle, memory bounded by `chunk` rows, and a lost task is simply run again.
+    A map over Arrow batches: no shuffle, memory bounded by `slices` over the columns `texts`, and a lost task is simply run again.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,8 +88,7 @@ def by_rows(df: DataFrame, function: Callable[[list[list]], list[list]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, chunk):
-                part = batch.slice(start, chunk)
+            for part in slices(batch, *texts):
                 columns = function([column.to_pylist() for column in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 

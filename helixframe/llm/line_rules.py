@@ -8,12 +8,14 @@ are at most `max_lost` of it. All is done on whole texts in one pass over each,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ASCII_SPACE, by_rows
+from helixframe.llm.common import ASCII_SPACE, by_rows, slices
 
 # Signs counted as symbols, sentence ends, menu words and notices of web pages.
 SYMBOLS = "#*$%&|<>"
@@ -110,15 +112,15 @@ def line_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", max_los
 def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, cleaned: bool = False) -> DataFrame:
     """The rows of `docs` that the rules keep, all columns unchanged: one pass, no join. With `cleaned` their text is the cleaned one, and n_chars, if there is one, its length."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [clean(t or "", max_lost) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            if cleaned:
-                columns, new = batch.columns, {text: [r["cleaned"] for r in found], "n_chars": [len(r["cleaned"]) for r in found]}
-                columns = [pa.array(new[f.name], type=f.type) if f.name in new else c for f, c in zip(batch.schema, columns)]
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch.filter(pa.array([r["kept"] for r in found], type=pa.bool_()))
+            place = batch.schema.get_field_index(text)
+            for part in slices(batch, place):
+                found = [clean(t or "", max_lost) for t in part.column(place).to_pylist()]
+                if cleaned:
+                    new = {text: [r["cleaned"] for r in found], "n_chars": [len(r["cleaned"]) for r in found]}
+                    columns = [pa.array(new[f.name], type=f.type) if f.name in new else c for f, c in zip(part.schema, part.columns)]
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part.filter(pa.array([r["kept"] for r in found], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ Search. Texts with equal multisets are one node. Bands of `ROWS` components give
 each round every node meets the leader of its buckets, candidates are verified on whole texts, and links join their
 components; buckets whose nodes are in one component are done. Nodes of the buckets that star rounds leave open are compared
 exhaustively, in blocks: common shingles come from products of incidence matrices and only links that join components leave
-a task, so no link between components is lost and no pairs are enumerated.
+a task, so no link between components is lost and no pairs are enumerated. Blocks carry shingle hashes, not texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from helixframe.llm.common import stored
+from helixframe.llm.common import as_bytes, drop_stored, slices, stored
 from helixframe.llm.shingles import batches, cells, mix, weighted_jaccard
 
 M, ROWS, THRESHOLD = 160, 5, 0.8
@@ -34,8 +34,8 @@ BANDS = M // ROWS
 #: Bits in which two signatures may differ (one bit a component): at similarity 0.8 a tenth of them does, and this is six deviations more.
 MAX_BITS = math.ceil(M * 0.1 + 6 * math.sqrt(M * 0.09))
 STAR_ROUNDS = 2
-#: Nodes and bytes of text of a block of the exhaustive comparison, and shingles taken at a time.
-BLOCK_NODES, BLOCK_BYTES, COLUMNS = 200, 4 << 20, 8192
+#: Nodes and different shingles of a block of the exhaustive comparison, and elements of the incidence matrix taken at a time.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 800, 1 << 19, 1024
 
 
 def _step(k: int) -> np.uint64:
@@ -94,34 +94,36 @@ def signed(docs: DataFrame, text: str) -> DataFrame:
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = StructType([*docs.schema.fields, *_SIGNED])
 
+    def signature_columns(values: list[bytes]) -> list[pa.Array]:
+        n = len(values)
+        owner, hashes, count = cells(values)
+        folded = mix(signatures(owner, hashes, count, n).view(np.uint64))
+        some = np.flatnonzero(np.bincount(owner, minlength=n))
+        first = np.searchsorted(owner, some)
+        digest = np.zeros((n, 2), dtype=np.uint64)
+        for k in range(2):
+            if len(some):
+                digest[some, k] = np.add.reduceat(mix(mix(hashes + _step(k + 7)) + count.astype(np.uint64)), first)
+        bits = np.zeros((n, 192), dtype=np.uint8)
+        bits[:, :M] = (folded & np.uint64(1)).astype(np.uint8)
+        packed = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+        band = np.zeros((n, BANDS), dtype=np.uint64)
+        for k in range(ROWS):
+            band = mix(band + folded[:, k::ROWS] + _step(k + 1))
+        band = mix(band + np.array([_step(k) for k in range(BANDS)])).astype("<u8")
+        has = np.isin(np.arange(n), some)
+        nodes, bands = ([x[i].tobytes() if has[i] else None for i in range(n)] for x in (digest, band))
+        return [pa.array(nodes, type=pa.binary()), *(pa.array(packed[:, k]) for k in range(3)), pa.array(bands, type=pa.binary())]
+
     def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in arrow_batches:
-            values = [(t or "").encode() for t in batch.column(0).field(place).to_pylist()]
-            for a, b in batches(values):
-                owner, hashes, count = cells(values[a:b])
-                n = b - a
-                points = signatures(owner, hashes, count, n).view(np.uint64)
-                some = np.flatnonzero(np.bincount(owner, minlength=n))
-                first = np.searchsorted(owner, some)
-                digest = np.zeros((n, 2), dtype=np.uint64)
-                for k in range(2):
-                    own = mix(mix(hashes + _step(k + 7)) + count.astype(np.uint64))
-                    if len(some):
-                        digest[some, k] = np.add.reduceat(own, first)
-                folded = mix(points)
-                bits = np.zeros((n, 192), dtype=np.uint8)
-                bits[:, :M] = (folded & np.uint64(1)).astype(np.uint8)
-                packed = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-                band = np.zeros((n, BANDS), dtype=np.uint64)
-                for k in range(ROWS):
-                    band = mix(band + folded[:, k::ROWS] + _step(k + 1))
-                band = mix(band + np.array([_step(k) for k in range(BANDS)])).astype("<u8")
-                has = np.isin(np.arange(n), some)
-                columns = [*batch.slice(a, n).columns, pa.array(np.arange(uid, uid + n)), pa.array([digest[i].tobytes() if has[i] else None for i in range(n)], type=pa.binary())]
-                columns += [pa.array(packed[:, k]) for k in range(3)] + [pa.array([band[i].tobytes() if has[i] else None for i in range(n)], type=pa.binary())]
+            # the text alone, beside the struct that carries it through, tells where to cut
+            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(place)], names=["row", "text"]), 1):
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(uid, uid + n)), *signature_columns(as_bytes(part.column(1)))], names=schema.names)
                 uid += n
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -132,7 +134,9 @@ def _buckets(table: DataFrame) -> DataFrame:
     rows = table.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("s0", "s1", "s2", "bands")).alias("x")).select("node", "x.*")
     rows = stored(rows.select("node", "s0", "s1", "s2", F.explode(at).alias("value")), "bands")
     many = rows.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("value")
-    return stored(rows.join(many, "value"), "buckets")
+    found = stored(rows.join(many, "value"), "buckets")
+    drop_stored(rows)
+    return found
 
 
 def _differ(a: str, b: str):
@@ -144,38 +148,47 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches:
-            one, other = (batch.column(k).to_pylist() for k in (2, 3))
-            both = [x.encode() for pair in zip(one, other) for x in pair]
-            keep, found, start = [], [], 0
-            while start < len(one):  # pairs stay together
-                stop, size = start, 0
-                while stop < len(one) and stop - start < 256 and (stop == start or size < 2 << 20):
-                    size += len(both[2 * stop]) + len(both[2 * stop + 1])
-                    stop += 1
-                value = weighted_jaccard(stop - start, *cells(both[2 * start : 2 * stop]))
+            for part in slices(batch, 2, 3):
+                one, other = as_bytes(part.column(2)), as_bytes(part.column(3))
+                value = weighted_jaccard(len(one), *cells([x for pair in zip(one, other) for x in pair]))
                 good = np.flatnonzero(value >= threshold)
-                keep += (good + start).tolist()
-                found += value[good].tolist()
-                start = stop
-            part = batch.select(["a", "b"]).take(pa.array(keep, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, type=pa.float64())], names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).take(pa.array(good)).columns, pa.array(value[good])], names=["a", "b", "similarity"])
+        pa.default_memory_pool().release_unused()
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
     return joined.select("a", "b", "one", "other").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links that join different labels among the texts of one block or of two, as a forest. Common shingles are counted by products of incidence matrices."""
-    owner, hashes, count = cells([t.encode() for t in rows["text"]])
-    # a shingle counted c times is c elements, so that common elements are the smaller counts
+def _elements(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A shingle counted c times is c elements, so that the common elements of two texts are the smaller counts."""
     level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    owner, hashes = np.repeat(owner, count), mix(np.repeat(hashes, count) + level.astype(np.uint64) * _step(3))
+    return mix(np.repeat(hashes, count) + level.astype(np.uint64) * _step(3))
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(node, label, head, elements): the elements of each text's multiset, eight bytes each, sorted."""
+
+    def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_batches:
+            for part in slices(batch, 3):
+                owner, hashes, count = cells(as_bytes(part.column(3)))
+                edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                own = [np.sort(_elements(hashes[a:b], count[a:b])).astype("<u8").tobytes() for a, b in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, type=pa.binary())], names=["head", "node", "label", "elements"])
+
+    return texts.select("head", "node", "label", "text").mapInArrow(run, "head binary, node binary, label binary, elements binary")
+
+
+def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links that join different labels among the texts of one block or of two, as a forest. Common elements are counted by products of incidence matrices."""
     n = len(rows)
-    total = np.bincount(owner, minlength=n).astype(np.float64)
-    _, element, often = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = often[element] > 1
+    total = np.fromiter((len(e) // 8 for e in rows["elements"]), dtype=np.float32, count=n)
+    owner = np.repeat(np.arange(n, dtype=np.int32), total.astype(np.int64))
+    _, element, often = np.unique(np.frombuffer(b"".join(rows["elements"]), "<u8"), return_inverse=True, return_counts=True)
+    everywhere = int((often == n).sum())  # what all texts hold needs no product
+    shared = (often[element] > 1) & (often[element] < n)
     owner, element = owner[shared], np.unique(element[shared], return_inverse=True)[1]
-    both = np.zeros((n, n), dtype=np.float32)
+    both = np.full((n, n), everywhere, dtype=np.float32)
     order = np.argsort(element, kind="stable")
     owner, element = owner[order], element[order]
     edges = np.searchsorted(element, np.arange(0, (element[-1] + 1 if len(element) else 0) + COLUMNS, COLUMNS))
@@ -184,23 +197,26 @@ def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
             part = np.zeros((n, COLUMNS), dtype=np.float32)
             part[owner[a:b], element[a:b] - element[a] // COLUMNS * COLUMNS] = 1
             both += part @ part.T
-    union = total[:, None] + total[None, :] - both
-    value = np.divide(both, union, out=np.zeros((n, n)), where=union > 0)
+    # both >= threshold * (total + total - both), with room for rounding; what passes is divided exactly below
+    i, j = np.nonzero(np.triu(both * (1 + threshold) >= threshold * (total[:, None] + total[None, :]) - 0.01, 1))
+    common = both[i, j].astype(np.float64)
+    value = common / (total[i].astype(np.float64) + total[j] - common)
+    good = value >= threshold
+    i, j, value = i[good], j[good], value[good]
     label = rows["label"].tolist()
-    i, j = np.nonzero(np.triu(value >= threshold, 1))
     root: dict[bytes, bytes] = {}
 
     def top(x: bytes) -> bytes:
         while (up := root.get(x, x)) != x:
-            x = up
+            root[x] = x = root.get(up, up)
         return x
 
     node, out = rows["node"].tolist(), []
-    for x, y in zip(i.tolist(), j.tolist()):
+    for x, y, v in zip(i.tolist(), j.tolist(), value.tolist()):
         p, q = top(label[x]), top(label[y])
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((min(node[x], node[y]), max(node[x], node[y]), float(value[x, y])))
+            out.append((min(node[x], node[y]), max(node[x], node[y]), v))
     return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
@@ -208,14 +224,16 @@ def exhaustive(members: DataFrame, heads: DataFrame, texts: DataFrame, threshold
     """Links between different components among all nodes that share an open bucket: (a, b, similarity), enough of them to join the components.
 
     Nodes gather by the smallest label of their buckets, once each however many buckets they share. A gathering is cut into
-    blocks of at most about BLOCK_NODES nodes and BLOCK_BYTES of text, and every two blocks meet in one task.
+    blocks of at most about BLOCK_NODES nodes and BLOCK_SHINGLES elements, and every two blocks meet in one task: a node's
+    elements are copied once for each block of its gathering.
     """
     met = members.join(heads.select("value", F.col("label").alias("head")), "value").select("head", "node", "label").distinct()
-    met = stored(met.join(texts, "node"), "open")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int")
-    placed = met.join(met.groupBy("head").agg(blocks.alias("k")), "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    met = stored(_hashed(met.join(texts, "node")), "open")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("elements")) / (8 * BLOCK_SHINGLES))).cast("int")
+    sizes = stored(met.groupBy("head").agg(blocks.alias("k")), "gatherings")
+    placed = met.join(sizes, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    copies = copies.select("head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", "text")
+    copies = copies.select("head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", "elements")
     return copies.groupBy("head", "low", "high").applyInPandas(lambda rows: _block_links(rows, threshold), "a binary, b binary, similarity double")
 
 
@@ -229,8 +247,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("x", "node"), "node").join(jump, "label", "left")
         new = stored(step.select("node", F.least("label", "near", F.coalesce("beyond", "label")).alias("to"), "label"), "labels")
         changed = new.where("to <> label").limit(1).count()
+        drop_stored(labels)
         labels = new.select("node", F.col("to").alias("label"))
         if not changed:
+            drop_stored(both)
             return labels
 
 
@@ -262,21 +282,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         if found.limit(1).count():
             between = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
             merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            labels = stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            before, labels = labels, stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            drop_stored(before)
+    drop_stored(buckets)
+    drop_stored(texts)
     classed = table.drop("s0", "s1", "s2", "bands").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
     return classed, links
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), class_size; a row per row of `docs`."""
-    found, _ = near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", threshold)
-    found = found.select("row.doc_id", "class")
-    sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(sizes, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    """doc_id, class_id (the smallest doc_id of its class), class_size, n_texts (different multisets of shingles), n_links; a row per row of `docs`.
+
+    n_links: the verified links of the class, at least as many as join its different texts. Null, empty and wordless texts are
+    classes of their own (n_texts 0); repeated rows and equal texts share a class; a class of null ids has a null class_id. An
+    empty table gives no rows; other columns, whatever their names, are not looked at.
+    """
+    found, links = near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", threshold)
+    found = found.select("row.doc_id", "node", "class")
+    linked = links.join(found.select(F.col("node").alias("a"), "class").distinct(), "a").groupBy("class").agg(F.count("*").alias("n_links"))
+    sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.countDistinct("node").alias("n_texts"))
+    # stored, so that the join's two sides are plain exchanges, of which Spark can split a large class
+    sizes = stored(sizes.join(linked, "class", "left"), "classes")
+    own = F.col("class").isNull()
+    counts = (F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (("class_size", 1), ("n_texts", 0), ("n_links", 0)))
+    return found.join(sizes, "class", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *counts)
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of `docs` for each class, that with the smallest id (then row number); texts without words all stay. Columns unchanged."""
+    """One row of `docs` for each class, that with the smallest id (nulls first, then row number). Columns unchanged, whatever their names.
+
+    Null, empty and wordless texts all stay; of repeated rows one stays; an empty table stays empty.
+    """
     found, _ = near_duplicates(docs, text, threshold)
     first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col(f"row.`{key}`"), "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
     kept = found.where("class IS NULL").select("uid").unionAll(first)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.bpe import Memo, encoder
-from helixframe.llm.common import stored
+from helixframe.llm.common import slices, stored
 
 CAPACITY, END_ID = 2048, 0
 BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 3, 6, 2
@@ -69,8 +69,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 rows = []
                 for doc, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = ids_of(value or "", path)

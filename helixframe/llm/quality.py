@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import stored
+from helixframe.llm.common import slices, stored
 from helixframe.llm.line_rules import repeated_words, words_of
 
 D, GAMMA, RIDGE, BINS, SEED = 256, 0.03, 1.0, 1000, 20240229
+#: Labelled rows that the filter learns from (`classify` learns from all, whose statistics it needs anyway).
+LEARN_ROWS = 20_000
 
 _UPPER, _DIGIT, _PUNCT, _SYMBOL = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile("[0-9]"), re.compile("[.,;:'\"()-]"), re.compile(r"[#*$%&|<>{}\[\]\\^~=_+@/]")
 _SHOUT, _ENDS = re.compile("[!?]"), re.compile("[.!?…]")
@@ -56,8 +58,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 1):
                 rows = [statistics(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=pa.list_(pa.float32()))], names=["doc_id", "stats"])
 
@@ -169,10 +170,14 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
     return stats.withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def known_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, quality) of the ids that are not held out; several labels of a document count as their mean, null ones not at all."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("quality")).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality IS NOT NULL")
+
+
 def learning_rows(stats: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Statistics of labelled documents that are not held out; several labels of a document count as their mean, null ones not at all."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("quality")).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality IS NOT NULL")
-    return stats.join(known, "doc_id").select("stats", "quality")
+    """Statistics and label of labelled documents that are not held out."""
+    return stats.join(known_labels(labels, label), "doc_id").select("stats", "quality")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -185,15 +190,26 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return scores(stats, learn(learning_rows(stats, labels)))
 
 
-def keep_predicted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that are predicted 1, all columns unchanged: the model goes to the texts, no join of texts."""
-    model = learn(learning_rows(stored(document_statistics(docs, text, key), "statistics"), labels))
+def keep_predicted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", learn_rows: int = LEARN_ROWS) -> DataFrame:
+    """The rows of `docs` that are predicted 1, all columns unchanged: the model goes to the texts, no join of texts.
+
+    Learns from about `learn_rows` labelled rows at most (those of the smallest hashes of ids), so that statistics are computed
+    once a text and not twice. Null and empty texts are judged by zero statistics, repeated rows alike, null ids like any; without
+    labels every row scores 0.5 and stays; an empty table stays empty. Names of other columns do not matter.
+    """
+    known = known_labels(labels)
+    n = known.count()
+    if n > learn_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * learn_rows / n))
+    known = F.broadcast(known)  # of learn_rows rows or so
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(known, "doc_id", "left_semi")
+    model = learn(stored(document_statistics(texts).join(known, "doc_id").select("stats", "quality"), "statistics"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+            place = batch.schema.get_field_index(text)
+            for part in slices(batch, place):
+                texts = part.column(place).to_pylist()
                 stats = np.array([statistics(t or "") for t in texts], dtype=np.float32).astype(np.float64).reshape(len(texts), len(NAMES))
                 yield part.filter(pa.array(model.score(stats) >= 0.5))
 

@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS_PER_SHINGLE = 5
 #: Texts of a batch: the upper 10 bits of a cell hold the text's place in it.
-MAX_TEXTS, MAX_BYTES = 1 << 10, 4 << 20
+MAX_TEXTS, MAX_BYTES = 1 << 10, 1 << 20
 HASH_BITS = 54
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256))
