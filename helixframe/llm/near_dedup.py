@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from helixframe.llm.common import as_bytes, drop_stored, slices, stored
 from helixframe.llm.shingles import batches, cells, mix, weighted_jaccard
@@ -85,11 +85,11 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, count: np.ndarray, texts:
     return out.reshape(texts, m)
 
 
-_SIGNED = [StructField("uid", LongType()), StructField("node", BinaryType()), *(StructField(f"s{k}", LongType()) for k in range(3)), StructField("bands", BinaryType())]
+_SIGNED = [StructField("uid", LongType()), StructField("digest", BinaryType()), *(StructField(f"s{k}", LongType()) for k in range(3)), StructField("bands", ArrayType(LongType()))]
 
 
 def signed(docs: DataFrame, text: str) -> DataFrame:
-    """(row, uid, node, s0, s1, s2, bands): each row whole as `row`, its number, the multiset's 128-bit digest (null: no words), one-bit signature (3 longs), band hashes."""
+    """(row, uid, digest, s0, s1, s2, bands): each row whole as `row`, its number, the multiset's 128-bit digest (null: no words), one-bit signature (3 longs), band hashes."""
     place = docs.columns.index(text)
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = StructType([*docs.schema.fields, *_SIGNED])
@@ -110,10 +110,11 @@ def signed(docs: DataFrame, text: str) -> DataFrame:
         band = np.zeros((n, BANDS), dtype=np.uint64)
         for k in range(ROWS):
             band = mix(band + folded[:, k::ROWS] + _step(k + 1))
-        band = mix(band + np.array([_step(k) for k in range(BANDS)])).astype("<u8")
+        band = mix(band + np.array([_step(k) for k in range(BANDS)])).view(np.int64)
         has = np.isin(np.arange(n), some)
-        nodes, bands = ([x[i].tobytes() if has[i] else None for i in range(n)] for x in (digest, band))
-        return [pa.array(nodes, type=pa.binary()), *(pa.array(packed[:, k]) for k in range(3)), pa.array(bands, type=pa.binary())]
+        digests = [digest[i].tobytes() if has[i] else None for i in range(n)]
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))
+        return [pa.array(digests, type=pa.binary()), *(pa.array(packed[:, k]) for k in range(3)), bands]
 
     def run(arrow_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
@@ -128,19 +129,11 @@ def signed(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _buckets(table: DataFrame) -> DataFrame:
-    """(value, node, s0, s1, s2): the buckets that more than one node falls into; equal texts count once."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("bands"), k * 8 + 1, F.lit(8)))
-    rows = table.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("s0", "s1", "s2", "bands")).alias("x")).select("node", "x.*")
-    rows = stored(rows.select("node", "s0", "s1", "s2", F.explode(at).alias("value")), "bands")
-    many = rows.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("value")
-    found = stored(rows.join(many, "value"), "buckets")
-    drop_stored(rows)
-    return found
-
-
-def _differ(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(3)), F.lit(0))
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(value, node): the buckets that more than one node falls into. A node has one value a band, and values differ by band, so rows count nodes."""
+    rows = nodes.select(F.explode("bands").alias("value"), "node")
+    many = rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    return stored(rows.join(many.hint("merge"), "value"), "buckets")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,8 +148,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).take(pa.array(good)).columns, pa.array(value[good])], names=["a", "b", "similarity"])
         pa.default_memory_pool().release_unused()
 
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    return joined.select("a", "b", "one", "other").mapInArrow(run, "a binary, b binary, similarity double")
+    # texts grow with the corpus: never broadcast
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
+    return joined.select("a", "b", "one", "other").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _elements(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -176,7 +170,7 @@ def _hashed(texts: DataFrame) -> DataFrame:
                 own = [np.sort(_elements(hashes[a:b], count[a:b])).astype("<u8").tobytes() for a, b in zip(edges, edges[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, type=pa.binary())], names=["head", "node", "label", "elements"])
 
-    return texts.select("head", "node", "label", "text").mapInArrow(run, "head binary, node binary, label binary, elements binary")
+    return texts.select("head", "node", "label", "text").mapInArrow(run, "head long, node long, label long, elements binary")
 
 
 def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -204,9 +198,9 @@ def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     good = value >= threshold
     i, j, value = i[good], j[good], value[good]
     label = rows["label"].tolist()
-    root: dict[bytes, bytes] = {}
+    root: dict[int, int] = {}
 
-    def top(x: bytes) -> bytes:
+    def top(x: int) -> int:
         while (up := root.get(x, x)) != x:
             root[x] = x = root.get(up, up)
         return x
@@ -234,7 +228,7 @@ def exhaustive(members: DataFrame, heads: DataFrame, texts: DataFrame, threshold
     placed = met.join(sizes, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     copies = copies.select("head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", "elements")
-    return copies.groupBy("head", "low", "high").applyInPandas(lambda rows: _block_links(rows, threshold), "a binary, b binary, similarity double")
+    return copies.groupBy("head", "low", "high").applyInPandas(lambda rows: _block_links(rows, threshold), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,28 +248,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Groups of near duplicates: (documents, links).
+def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of near duplicates: (rows, classed, links).
 
-    documents: row (a struct of all columns of `docs`), uid (row number), node, class (the component's smallest node; null without words).
-    links: the verified pairs (a, b, similarity) of nodes that joined the components; equal texts need none.
-    Texts without words are each their own class. Repeated rows share their class. An empty table gives empty results.
+    rows: row (a struct of all columns of `docs`) and uid (its number). classed: uid, node (the smallest uid of its text's multiset
+    of shingles) and class (the component's smallest node); both null without words. links: the verified pairs (a, b, similarity)
+    of nodes that joined the components; equal texts need none. Texts without words are each their own class. Repeated rows share
+    their class. An empty table gives empty results.
     """
     table = stored(signed(docs, text), "signed")
-    buckets = _buckets(table)
-    wanted = table.where("node IS NOT NULL").groupBy("node").agg(F.min("uid").alias("uid")).join(buckets.select("node").distinct(), "node")
-    texts = stored(table.select("uid", F.col(f"row.`{text}`").alias("text")).join(wanted, "uid").select("node", "text"), "texts")
-    labels = stored(wanted.select("node", F.col("node").alias("label")), "labels")
+    same = stored(table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("node")), "digests")
+    nodes = stored(table.select(F.col("uid").alias("node"), "s0", "s1", "s2", "bands").join(same.select("node"), "node", "left_semi"), "nodes")
+    buckets = _buckets(nodes)
+    met = buckets.select("node").distinct()
+    signs = stored(nodes.select("node", "s0", "s1", "s2").join(met, "node", "left_semi"), "signs")
+    texts = stored(table.select(F.col("uid").alias("node"), F.col(f"row.`{text}`").alias("text")).join(met, "node", "left_semi"), "texts")
+    labels = stored(signs.select("node", F.col("node").alias("label")), "labels")
+    drop_stored(nodes)
     links = None
     for round_ in range(STAR_ROUNDS + 1):
         members = buckets.join(labels, "node")
-        heads = members.groupBy("value").agg(F.min(F.struct("label", "node", "s0", "s1", "s2")).alias("head"), F.max("label").alias("last")).where("head.label <> last").select("value", "head.*")
-        if round_ < STAR_ROUNDS:  # the bucket's leader is the node of the smallest label
-            apart = (F.col("m.value") == F.col("h.value")) & (F.col("h.label") < F.col("m.label")) & (_differ("m", "h") <= MAX_BITS)
-            pairs = members.alias("m").join(heads.alias("h"), apart).select(F.col("h.node").alias("a"), F.col("m.node").alias("b"))
+        # the bucket's leader is the node of the smallest label
+        heads = members.groupBy("value").agg(F.min("label").alias("label"), F.min_by("node", "label").alias("head"), F.max("label").alias("last")).where("label <> last").select("value", "label", "head")
+        if round_ < STAR_ROUNDS:
+            pairs = members.alias("m").join(heads.alias("h"), (F.col("m.value") == F.col("h.value")) & (F.col("h.label") < F.col("m.label"))).select(F.col("h.head").alias("a"), F.col("m.node").alias("b")).distinct()
+            sides = pairs.join(signs.select(F.col("node").alias("a"), *(F.col(f"s{k}").alias(f"a{k}") for k in range(3))), "a").join(signs.withColumnRenamed("node", "b"), "b")
+            pairs = sides.where(sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(3)), F.lit(0)) <= MAX_BITS).select("a", "b")
             # in the first round each node meets one leader only: most groups are joined by that
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if round_ == 0 else pairs.distinct()
-            found = stored(verify(pairs, texts, threshold), "links")
+            found = stored(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if round_ == 0 else pairs, texts, threshold), "links")
         else:
             found = stored(exhaustive(members, heads, texts, threshold), "links")
         links = found if links is None else links.unionAll(found)
@@ -284,10 +284,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
             merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
             before, labels = labels, stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
             drop_stored(before)
-    drop_stored(buckets)
-    drop_stored(texts)
-    classed = table.drop("s0", "s1", "s2", "bands").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
-    return classed, links
+    for done in (buckets, texts, signs):
+        drop_stored(done)
+    class_of = stored(same.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("class")), "classes")
+    return table.select("row", "uid"), table.select("uid", "digest").join(class_of, "digest", "left").select("uid", "node", "class"), links
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -297,8 +297,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     classes of their own (n_texts 0); repeated rows and equal texts share a class; a class of null ids has a null class_id. An
     empty table gives no rows; other columns, whatever their names, are not looked at.
     """
-    found, links = near_duplicates(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", threshold)
-    found = found.select("row.doc_id", "node", "class")
+    rows, classed, links = near_duplicates(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), "text", threshold)
+    found = stored(classed.join(rows.select("uid", "row.doc_id"), "uid").select("doc_id", "node", "class"), "classed")
     linked = links.join(found.select(F.col("node").alias("a"), "class").distinct(), "a").groupBy("class").agg(F.count("*").alias("n_links"))
     sizes = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.countDistinct("node").alias("n_texts"))
     # stored, so that the join's two sides are plain exchanges, of which Spark can split a large class
@@ -313,7 +313,8 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", thresho
 
     Null, empty and wordless texts all stay; of repeated rows one stays; an empty table stays empty.
     """
-    found, _ = near_duplicates(docs, text, threshold)
-    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col(f"row.`{key}`"), "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
-    kept = found.where("class IS NULL").select("uid").unionAll(first)
-    return found.join(kept, "uid", "left_semi").select("row.*")
+    rows, classed, _ = near_duplicates(docs, text, threshold)
+    keyed = classed.where("class IS NOT NULL").join(rows.select("uid", F.col(f"row.`{key}`").alias("key")), "uid")
+    first = keyed.groupBy("class").agg(F.min(F.struct("key", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
+    kept = stored(classed.where("class IS NULL").select("uid").unionAll(first), "kept")
+    return rows.join(kept, "uid", "left_semi").select("row.*")
