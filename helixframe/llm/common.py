@@ -42,11 +42,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that frees the shuffle files of a query once it is over.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes `df` as a table in the shared folder and reads it back: cuts lineage, survives lost executors. Its shuffle files are freed, since the table has the rows."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, label), spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,10 +3,11 @@
 Entities are found by one pattern of alternatives in the texts that can hold any. Each different entity of the corpus gets a
 surrogate that follows from a key and the entity, of the same type, format and, for names, gender and script. A surrogate is
 taken only if no other entity has it and the corpus holds no such entity itself; else the next attempt's is tried. So the
-same entity is replaced by the same surrogate everywhere (coreference), and different ones stay different.
+same entity is replaced by the same surrogate everywhere (coreference), and different ones stay different. Names are replaced
+word by word, whatever the title before them, and are found again in the rest of their document without one.
 
-Texts without entities pass through where they are. Of the others the pieces between entities are stored; only entities are
-shuffled for the surrogates, and the pieces once, by row, to be put together again.
+The pattern runs once over each text, and all rows are stored with what it found; only entities are shuffled for the
+surrogates, and the pieces between them once, by row, to be put together again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import stored
+from helixframe.llm.common import LOWER, stored
 
 # Titles by gender, in Latin and Cyrillic script, and honorifics in Han script.
 MALE, FEMALE, NEUTRAL = ("Mr", "Herr", "Señor", "Sr", "господин", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Señora", "Sra", "госпожа", "г-жа"), ("Dr", "Prof")
@@ -35,23 +36,26 @@ ENDINGS = {
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-#: Repetitions are bounded, or of one class behind a fixed start (secrets and keys have no greatest length), and start at borders, so long texts take linear time. In the order in which they are tried at a place. The kinds' names are those of the result.
+_HONORIFICS = "|".join((*HAN_MALE, *HAN_FEMALE))
+# What stands before names and national telephone numbers, without a title or country code.
+INTRODUCED, LABELLED = ("My name is ", "my name is ", "Ich heiße ", "Me llamo ", "Меня зовут "), ("Contact: ", "Name: ", "Author: ", "Attn: ", "Kontakt: ", "Contacto: ", "Контакт: ")
+#: Repetitions are bounded by the format, or of one class and possessive, and start at borders, so long texts take linear time. In the order in which they are tried at a place. The kinds' names are those of the result.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{5,}[^\s\"'.,;:!?)])",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}+\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[-.]\d{4}(?!\d)|(?<![\w.-])\d{3}([-.])\d{3}\1\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[-.]\d{4}(?!\d)|(?<![\w.-])\d{3}([-.])\d{3}\1\d{4}(?![\d-])|(?<![\w.,/-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d{4}(?:([ -]?)\d{4}\2\d{4}\2\d{4}|[ -]?\d{6}[ -]?\d{5})(?![\w-])",
-    "person": rf"\b(?:{_TITLES})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
-    "person_han": r"[\u4e00-\u9fff]{1,3}(?:" + "|".join((*HAN_MALE, *HAN_FEMALE)) + ")",
+    "person": rf"\b(?:{_TITLES})\b\.? {_NAME}(?: {_NAME}){{0,2}}|(?<=\b(?:{'|'.join(INTRODUCED)})){_NAME}(?: {_NAME}){{0,2}}|(?<=\b(?:{'|'.join(LABELLED)})){_NAME}(?: {_NAME}){{1,2}}",
+    "person_han": rf"[\u4e00-\u9fff]{{1,3}}(?:{_HONORIFICS})",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What a text must hold for any of the patterns; cheap.
-MAYBE = rf"[0-9@]|[=:]|\b(?:{_TITLES})\b|" + "|".join((*HAN_MALE, *HAN_FEMALE))
-ATTEMPTS, KEY = 12, "helixframe"
+MAYBE = rf"[0-9@]|[=:]|\b(?:{_TITLES})\b|{_HONORIFICS}|" + "|".join(x.strip() for x in INTRODUCED)
+ATTEMPTS, KEY = 24, "helixframe"
 
 
 def _byte(i) -> F.Column:
@@ -89,6 +93,16 @@ def _luhn(digits) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add)
 
 
+def _mod97(compact) -> F.Column:
+    """Remainder by 97 of a string of digits and capitals, which count 10 to 35 (the check of account numbers)."""
+
+    def add(rest, c):
+        digit = c.between("0", "9")
+        return ((rest * F.when(digit, 10).otherwise(100) + F.when(digit, c.cast("int")).otherwise(F.ascii(c) - 55)) % 97).cast("int")
+
+    return F.aggregate(F.filter(F.split(compact, ""), lambda c: c != ""), F.lit(0), add)
+
+
 def _name(attempt: int) -> F.Column:
     """A name of syllables in the kind's script with the ending of its gender; every attempt has a syllable more."""
     branches = None
@@ -97,7 +111,7 @@ def _name(attempt: int) -> F.Column:
         count = (1 if script == "han" else 2) + attempt
         parts = [F.element_at(F.array(*map(F.lit, syllables)), _byte(F.lit(k)) % len(syllables) + 1) for k in range(count)]
         name = F.concat(*parts, F.element_at(F.array(*map(F.lit, ends)), _byte(F.lit(60)) % len(ends) + 1))
-        kind = F.col("kind").isin(f"given_{gender}_{script}", f"family_{gender}_{script}")
+        kind = (F.col("kind") == f"name_{script}") & (F.col("gender") == gender)
         branches = (branches.when if branches is not None else F.when)(kind, F.initcap(name))
     return branches
 
@@ -115,33 +129,43 @@ def _surrogate(attempt: int) -> F.Column:
         return F.concat(head, _same_format(value.substr(F.length(head) + 1, F.length(value))))
 
     octets = F.concat_ws(".", (240 + _byte(F.lit(0)) % 15).cast("string"), *((1 + _byte(F.lit(k)) % 254).cast("string") for k in range(1, 4)))
-    domain = F.regexp_extract("value", "@(.*)$", 1)
-    safe = F.when(domain.rlike(r"(?i)(^|\.)example\.(com|net|org)$"), domain).otherwise(F.concat(F.lit("host-"), F.substring("h", 100, 6), F.lit(".example.org")))
+    # of an address; every attempt is a letter longer, so short ones do not run out
+    local = F.concat(_same_format(F.regexp_extract("value", "^([^@]*)@", 1)), *(_pick(LOWER, _byte(F.lit(40 + k))) for k in range(attempt)))
     made = F.concat(F.substring("value", 1, 1), _same_format(value.substr(F.lit(2), F.length(value))))
     front = made.substr(F.lit(1), F.length(made) - 1)
     check = ((10 - _luhn(F.concat(F.regexp_replace(front, "[^0-9]", ""), F.lit("0"))) % 10) % 10).cast("string")
     valid = _luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0
+    account, country = _same_format(value.substr(F.lit(5), F.length(value))), F.substring("value", 1, 2)
+    compact, body = F.replace(value, F.lit(" "), F.lit("")), F.replace(account, F.lit(" "), F.lit(""))
+    sound = _mod97(F.concat(compact.substr(F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1
+    digits = F.when(sound, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")).otherwise(_same_format(F.substring("value", 3, 2)))
     found = (
-        F.when(F.col("kind") == "email", F.concat(_same_format(F.regexp_extract("value", "^([^@]*)@", 1)), F.lit("@"), safe))
+        F.when(F.col("kind") == "local", local)
+        .when(F.col("kind") == "domain", F.concat(F.lit("host-"), F.substring("h", 100, 6 + attempt), F.lit(".example.org")))
         .when(F.col("kind") == "secret", behind(r"^([A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?)"))
         .when(F.col("kind") == "key", behind(r"^(AKIA|ASIA|gh[pousr]_|sk-)"))
-        .when(F.col("kind") == "iban", behind(r"^([A-Z]{2})"))
-        .when(F.col("kind") == "phone", behind(r"^(\+\d{1,3}|)"))
+        .when(F.col("kind") == "iban", F.concat(country, digits, account))
+        .when(F.col("kind") == "phone", behind(r"^(\+\d{1,3}|0|)"))
         .when(F.col("kind") == "ip", octets)
         .when(F.col("kind") == "card", F.when(valid, F.concat(front, check)).otherwise(made))
-        .when(F.col("kind").startswith("given_") | F.col("kind").startswith("family_"), _name(attempt))
+        .when(F.col("kind").startswith("name_"), _name(attempt))
         .otherwise(_same_format(value))
     )
     return found if attempt < ATTEMPTS else F.concat(found, F.lit("-"), F.substring("h", 1, 24))
 
 
 def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, surrogate) for different (kind, value): one to one within a kind, and never an entity of the corpus."""
+    """(kind, value, surrogate) for different (kind, value, gender): one to one within a kind, and never an entity of the corpus.
+
+    A later attempt is made only for what is still open; names, local parts and domains grow with it. Where a format has hardly
+    more members than the corpus has entities, the last attempt adds a tail: distinct, though of another format.
+    """
     values = stored(values, "entities")
     open_, taken = values, None
     for attempt in range(ATTEMPTS + 1):
         cand = open_.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), "kind", "value"), 512)).withColumn("surrogate", _surrogate(attempt)).drop("h")
-        real = values.select("kind", F.col("value").alias("surrogate"))
+        # an address is held against local parts: its own domain may be one that stays
+        real = values.select("kind", F.when(F.col("kind") == "local", F.regexp_extract("value", "^([^@]*)@", 1)).otherwise(F.col("value")).alias("surrogate")).distinct()
         free = cand.join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
             free = free.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -153,57 +177,88 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
     return taken
 
 
-def _entities(text) -> tuple[F.Column, F.Column]:
-    """What stands between the entities, and the entities."""
-    return F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+def _kind(entity) -> F.Column:
+    """The first pattern that matches as a whole; names found by what stands before them, or again without a title, match none."""
+    whole = reduce(lambda found, item: found.when(entity.rlike(f"^(?:{item[1].replace(chr(92) + '2', chr(92) + '1') if item[0] == 'card' else item[1]})$"), F.lit(item[0])), PATTERNS.items(), F)
+    return whole.when(entity.rlike(r"^[\u4e00-\u9fff]+$"), F.lit("person_han")).otherwise(F.lit("person"))
+
 
+def _untitled(entity) -> F.Column:
+    return F.regexp_replace(entity, rf"^(?:{_TITLES})\b\.? ", "")
 
-def _kind(entity) -> F.Column:
-    """The first pattern that matches as a whole."""
-    return reduce(lambda found, item: found.when(entity.rlike(f"^(?:{item[1].replace(chr(92) + '2', chr(92) + '1') if item[0] == 'card' else item[1]})$"), F.lit(item[0])), PATTERNS.items(), F).otherwise(F.lit("other"))
+
+def _names(entities) -> F.Column:
+    """The words of the names among the entities: each stands for its person in the rest of the text. Of Han names those of two signs or more."""
+    titled = rf"^(?:{_TITLES})\b\.? {_NAME}|^{_NAME}(?: {_NAME}){{0,2}}$"
+
+    def words(e):
+        han = F.regexp_extract(e, rf"^([\u4e00-\u9fff]{{2,3}})(?:{_HONORIFICS})$", 1)
+        return F.when(han != "", F.array(han)).when(e.rlike(titled) & ~e.rlike("[0-9@=:]"), F.split(_untitled(e), " ")).otherwise(F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(entities, words))))
+
+
+def _pattern(names) -> F.Column:
+    """ENTITY, and the document's names where they stand alone. They hold letters, hyphens and apostrophes only."""
+    han, other = (F.array_join(F.filter(names, lambda n: n.rlike(r"^[\u4e00-\u9fff]") == is_han), "|") for is_han in (True, False))
+    alone = F.when(other != "", F.concat(F.lit(r"|(?<![\p{L}\p{Nd}])(?=\p{Lu})(?:"), other, F.lit(r")(?!\p{L})"))).otherwise("")
+    return F.concat(F.lit(ENTITY), alone, F.when(han != "", F.concat(F.lit("|(?:"), han, F.lit(")"))).otherwise(""))
 
 
 def _parts() -> F.Column:
-    """Array of (kind, value, replaced) that joined make the entity: names are split, their titles and blanks stay."""
+    """Array of (kind, value, gender, replaced) that joined make the entity: names and addresses are split, titles, blanks and honorifics stay."""
     entity = F.col("entity")
-    title = F.regexp_extract(entity, rf"^((?:{_TITLES})\b\.?) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
+    title = F.regexp_extract(entity, rf"^((?:{_TITLES})\b\.? )", 1)
+    bare = F.regexp_replace(title, r"\.? $", "")
     gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n")
-    words = F.split(F.regexp_replace(entity, rf"^(?:{_TITLES})\b\.? ", ""), " ")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}+$"), "cyrillic").otherwise("latin")
 
-    def piece(kind, value, replaced):
-        return F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), value.alias("value"), F.lit(replaced).alias("replaced"))
+    def piece(kind, value, replaced, gender="n"):
+        kind, gender = (F.lit(x) if isinstance(x, str) else x for x in (kind, gender))
+        return F.struct(kind.alias("kind"), value.alias("value"), gender.alias("gender"), F.lit(replaced).alias("replaced"))
 
-    named = F.transform(words, lambda w, i: piece(F.concat(F.when(i == F.size(words) - 1, "family_").otherwise("given_"), gender, F.lit("_"), script), w, True))
-    blanks = F.flatten(F.transform(named, lambda x: F.array(piece("as_is", F.lit(" "), False), x)))
-    honorific = F.regexp_extract(entity, "(" + "|".join((*HAN_MALE, *HAN_FEMALE)) + ")$", 1)
-    han = F.array(piece(F.concat(F.lit("family_"), F.when(honorific.isin(*HAN_MALE), "m").otherwise("f"), F.lit("_han")), entity.substr(F.lit(1), F.length(entity) - F.length(honorific)), True), piece("as_is", honorific, False))
-    return F.when(F.col("kind") == "person", F.concat(F.array(piece("as_is", title, False)), blanks)).when(F.col("kind") == "person_han", han).otherwise(F.array(piece(F.col("kind"), entity, True)))
+    named = F.transform(F.split(_untitled(entity), " "), lambda w: piece(F.when(w.rlike(r"^\p{IsCyrillic}"), "name_cyrillic").otherwise("name_latin"), w, True, gender))
+    spaced = F.flatten(F.transform(named, lambda x, i: F.when(i == 0, F.array(piece("as_is", title, False), x)).otherwise(F.array(piece("as_is", F.lit(" "), False), x))))
+    honorific = F.regexp_extract(entity, f"({_HONORIFICS})$", 1)
+    han_gender = F.when(honorific.isin(*HAN_MALE), "m").when(honorific.isin(*HAN_FEMALE), "f").otherwise("n")
+    han = F.array(piece("name_han", entity.substr(F.lit(1), F.length(entity) - F.length(honorific)), True, han_gender), piece("as_is", honorific, False))
+    # an address is one whatever its case; addresses of a domain keep a domain together
+    address, domain = F.lower(entity), F.regexp_extract(F.lower(entity), "@(.*)$", 1)
+    home = F.when(domain.rlike(r"(^|\.)example\.(com|net|org)$"), piece("as_is", domain, False)).otherwise(piece("domain", domain, True))
+    mail = F.array(piece("local", address, True), piece("as_is", F.lit("@"), False), home)
+    return F.when(F.col("kind") == "person", spaced).when(F.col("kind") == "person_han", han).when(F.col("kind") == "email", mail).otherwise(F.array(piece(F.col("kind"), entity, True)))
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = False) -> DataFrame:
     """`docs` with surrogates in `text`; with `counts` also n_entities and entity_kinds (array of kinds in order).
 
-    All other columns and rows stay, repeated ones too (they get the same surrogates); null and empty texts stay as they are.
+    All other columns and rows stay, repeated ones too (they get the same surrogates); null and empty texts stay as they are, an
+    empty table stays empty. With `counts`, columns of `docs` named n_entities or entity_kinds give way to the new ones.
     """
-    names = docs.columns
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("others") if len(names) > 1 else F.struct(F.lit(0).alias("none")).alias("others"), F.col(f"`{text}`").alias("text"))
-    between, entities = _entities(F.col("text"))
-    maybe = source.where(F.col("text").rlike(MAYBE)).withColumn("entities", entities)
-    hits = stored(maybe.where(F.size("entities") > 0).withColumn("between", between).withColumn("uid", F.monotonically_increasing_id()).drop("text"), "hits")
+    names = [c for c in docs.columns if not (counts and c in ("n_entities", "entity_kinds"))]
+    others = [F.col(f"`{c}`") for c in names if c != text]
+    source = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("others"), F.col(f"`{text}`").alias("text"))
+    # the pattern runs once over a text; all rows are stored with what it found
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(none)
+    first = stored(source.withColumn("entities", F.coalesce(found, none)), "found")
+    same = first.where(F.size("entities") == 0).select("others", "text", F.lit(0).cast("long").alias("n_entities"), F.col("entities").alias("entity_kinds"))
+    # texts with names are searched again for these
+    again = first.where(F.size("entities") > 0).withColumn("pattern", _pattern(_names(F.col("entities")))).withColumn("entities", F.when(F.col("pattern") == ENTITY, F.col("entities")).otherwise(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
+    hits = stored(again.select(F.monotonically_increasing_id().alias("uid"), "others", "entities", F.split("text", F.col("pattern"), -1).alias("between")), "hits")
     parts = hits.select("uid", F.posexplode("entities").alias("at", "entity")).withColumn("kind", _kind(F.col("entity"))).select("uid", "at", F.col("kind").alias("whole"), F.posexplode(_parts()).alias("part", "p")).select("uid", "at", "whole", "part", "p.*")
     parts = stored(parts, "parts")
-    known = surrogates(parts.where("replaced").select("kind", "value").distinct(), key)
-    replaced = parts.where("replaced").join(known, ["kind", "value"], "left").select("uid", "at", "whole", "part", F.coalesce("surrogate", "value").alias("new"))
+    # a name's gender is that of its titles in the corpus, if they agree
+    male, female = (F.max((F.col("gender") == g).cast("int")) for g in "mf")
+    gender = F.when(male > female, "m").when(female > male, "f").otherwise("n").alias("gender")
+    known = surrogates(parts.where("replaced").groupBy("kind", "value").agg(gender), key)
+    missing = F.raise_error(F.concat(F.lit("no surrogate for an entity of kind "), F.col("kind"))).cast("string")
+    replaced = parts.where("replaced").join(known, ["kind", "value"], "left").select("uid", "at", "whole", "part", F.coalesce("surrogate", missing).alias("new"))
     filled = replaced.unionAll(parts.where("NOT replaced").select("uid", "at", "whole", "part", F.col("value").alias("new")))
-    rows = filled.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new", "whole"))).alias("x"))
-    put = hits.join(rows, "uid")
-    # the k-th piece is followed by the parts of entity k
-    middle = F.transform("between", lambda s, k: F.concat(s, F.array_join(F.transform(F.filter("x", lambda y: y["at"] == k), lambda y: y["new"]), "")))
-    done = put.select("others", F.array_join(middle, "").alias("text"), F.size("entities").cast("long").alias("n_entities"), F.transform(F.filter("x", lambda y: y["part"] == 0), lambda y: y["whole"]).alias("entity_kinds"))
-    none = source.where(~F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)) | (F.size(F.coalesce(entities, F.array())) == 0))
-    same = none.select("others", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_kinds"))
+    # first the parts of each entity, then the entities of each text: entity k is element k
+    entities = filled.groupBy("uid", "at").agg(F.array_sort(F.collect_list(F.struct("part", "new"))).alias("x"), F.first("whole").alias("whole")).select("uid", F.struct("at", F.array_join(F.transform("x", lambda y: y["new"]), "").alias("new"), "whole").alias("e"))
+    put = hits.join(entities.groupBy("uid").agg(F.array_sort(F.collect_list("e")).alias("x")), "uid")
+    middle = F.zip_with("between", "x", lambda s, e: F.concat(s, F.coalesce(e["new"], F.lit(""))))
+    done = put.select("others", F.array_join(middle, "").alias("text"), F.size("entities").cast("long").alias("n_entities"), F.transform("x", lambda e: e["whole"]).alias("entity_kinds"))
     both = same.unionAll(done)
     out = [F.col("text").alias(text) if c == text else F.col(f"others.`{c}`").alias(c) for c in names]
     return both.select(*out, *(["n_entities", "entity_kinds"] if counts else []))
