@@ -1,8 +1,9 @@
 """Line-first quality rules: clean line by line, then reject documents that lose too much text.
 
-Per line: punctuation (running text ends its sentences), navigation (separators, menu words, very short lists of links) and
-boilerplate (notices of sites). Failing lines are removed; a document is kept if the base rules hold and the removed words
-are at most `max_lost` of it. All is done on whole texts in one pass over each, without a shuffle.
+Per line: punctuation (the last line of a paragraph ends a sentence; lines that prose is wrapped into need not), navigation
+(separators, links, menu words, runs of very short lines, in any language) and boilerplate (notices of sites). Failing lines
+are removed; a document is kept if the base rules hold and the removed words are at most `max_lost` of it. All is done on
+whole texts in one pass over each, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +21,17 @@ from helixframe.llm.common import ASCII_SPACE, by_rows, slices
 # Signs counted as symbols, sentence ends, menu words and notices of web pages.
 SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", "…", "。", "！", "？", ":", ";", "”", "\"", "»", ")")
-NAVIGATION = ("home", "menu", "next", "previous", "login", "log in", "sign in", "sign up", "sitemap", "contact us", "about us", "search")
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "click here", "read more", "subscribe to our newsletter", "share on facebook", "share on twitter", "lorem ipsum")
-
-MIN_WORDS, MAX_REPEATED_PERCENT, MAX_LOST = 50, 50, 0.5
+NAVIGATION = (
+    "home", "menu", "next", "previous", "login", "log in", "sign in", "sign up", "sitemap", "contact us", "about us", "search", "startseite", "anmelden", "suche", "impressum",
+    "inicio", "siguiente", "anterior", "buscar", "accueil", "suivant", "précédent", "rechercher", "главная", "поиск", "войти", "首页", "登录", "搜索",
+)
+BOILERPLATE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "click here", "read more", "subscribe to our newsletter", "share on facebook", "share on twitter", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "todos los derechos reservados", "política de privacidad", "tous droits réservés", "politique de confidentialité", "все права защищены", "политика конфиденциальности", "版权所有", "隐私政策",
+)
+SEPARATORS = frozenset(("|", "·", "•", "»", "›", ">", "/", "::"))
+
+MIN_WORDS, MAX_REPEATED_PERCENT, MAX_LOST, MENU_LINES = 50, 50, 0.5, 4
 #: Unicode white space that str.split cuts at and the word class does not.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,32 +61,48 @@ def repeated_words(words: list[str]) -> int:
     return int(covered.sum())
 
 
-def line_verdict(line: str, words: list[str]) -> str | None:
-    """The rule that a line with words fails, or None."""
-    lower = line.lower()
-    if line.count("|") >= 3 or sum(lower.count(x) for x in (" > ", " » ", " · ")) >= 3 or len(words) <= 3 and lower.strip(ASCII_SPACE + ".") in NAVIGATION:
+def line_verdict(line: str, words: list[str], last: bool = True, listed: bool = False) -> str | None:
+    """The rule that a line with words fails, or None. `last`: it ends its paragraph; `listed`: it is one of MENU_LINES or more very short lines in a row."""
+    lower, n = line.lower(), len(words)
+    if listed or line.count("|") >= 3 or sum(lower.count(x) for x in (" > ", " » ", " · ")) >= 3 or n <= 3 and lower.strip(ASCII_SPACE + ".") in NAVIGATION:
+        return "navigation"
+    if (marks := sum(w in SEPARATORS for w in words)) >= 2 and marks >= 0.25 * n or (links := sum(w.startswith(("http://", "https://", "www.")) for w in words)) >= 2 and links >= 0.5 * n:
         return "navigation"
-    if _BOILER.search(lower) and len(words) <= 40:
+    if n <= 40 and _BOILER.search(lower):
         return "boilerplate"
-    if len(words) >= 5 and len(_SHOUTS.findall(line)) > 0.3 * len(words):
+    if n >= 5 and len(_SHOUTS.findall(line)) > 0.3 * n:
         return "punctuation"
-    if len(words) >= 12 and not line.rstrip().endswith(ENDS) and not any(f"{end} " in line for end in ".!?"):
+    if last and n >= 12 and not line.rstrip().endswith(ENDS) and not any(f"{end} " in line for end in ".!?"):
         return "punctuation"
     return None
 
 
+def in_menus(lines: list[str], words: list[list[str]]) -> list[bool]:
+    """Whether each line is one of MENU_LINES or more in a row of at most three words that end no sentence."""
+    short = [0 < len(w) <= 3 and not line.rstrip().endswith(ENDS) for line, w in zip(lines, words)]
+    out, start = [False] * len(lines), 0
+    for k in range(len(lines) + 1):
+        if k == len(lines) or not short[k]:
+            if k - start >= MENU_LINES:
+                out[start:k] = [True] * (k - start)
+            start = k + 1
+    return out
+
+
 def clean(text: str, max_lost: float = MAX_LOST) -> dict:
     """Counts, verdicts and the cleaned text of one document."""
     words = words_of(text)
     duplicate, seen, kept, lost = 0, set(), [], 0
-    for line in text.split("\n"):
-        own = words_of(line)
+    lines = text.split("\n")
+    split = [words_of(line) for line in lines]
+    menus = in_menus(lines, split)
+    for k, (line, own) in enumerate(zip(lines, split)):
         if not own:
             continue
         repeated = line in seen
         seen.add(line)
         duplicate += repeated
-        if repeated or line_verdict(line, own):
+        if repeated or line_verdict(line, own, k + 1 == len(lines) or not split[k + 1], menus[k]):
             lost += len(own)
         else:
             kept.append(line)
@@ -93,11 +117,11 @@ def clean(text: str, max_lost: float = MAX_LOST) -> dict:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def line_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", max_lost: float = MAX_LOST, cleaned: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", max_lost: float = MAX_LOST, cleaned: bool = False) -> DataFrame:
     """Counts and verdict of every row: doc_id, the counts, base_failed, kept, lost_words and, with `cleaned`, the cleaned text.
 
-    `keep` names columns of `docs` that are returned unchanged instead of all but `kept` (for filters). A null text has no words, counts 0 and fails.
-    Repeated rows and null keys are judged like any other; other columns are ignored.
+    A null or empty text has no words, counts 0 and fails. Repeated rows and null keys are judged like any other; an empty table gives
+    no rows; other columns, whatever their names, are not looked at.
     """
     names = ("doc_id", *COUNTS, "base_failed", "kept", "lost_words", *(["cleaned"] if cleaned else []))
     kinds = dict.fromkeys(("doc_id", *COUNTS, "lost_words"), "long") | {"base_failed": "boolean", "kept": "boolean", "cleaned": "string"}
@@ -110,7 +134,10 @@ def line_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", max_los
 
 
 def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, cleaned: bool = False) -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns unchanged: one pass, no join. With `cleaned` their text is the cleaned one, and n_chars, if there is one, its length."""
+    """The rows of `docs` that the rules keep, all columns unchanged: one pass, no join. With `cleaned` their text is the cleaned one, and n_chars, if there is one, its length.
+
+    Null and empty texts fail; repeated rows are judged alike; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

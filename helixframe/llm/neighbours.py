@@ -381,7 +381,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
         return vectors.sparkSession.createDataFrame([], _NONE)
     nodes, codes, of, dimension = made
     blocks = max(1, -(-codes.count() // NODES_PER_TASK))
-    asked = of.select("qid").distinct().join(codes.withColumnRenamed("id", "qid"), "qid").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = stored(of.select("qid").distinct().join(codes.withColumnRenamed("id", "qid"), "qid"), "asked").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(nodes):

@@ -3,9 +3,9 @@
 Documents are encoded, ended with id 0 and cut only if they are longer than a sequence: into full pieces, before which one
 shorter piece holds the rest. Full pieces are sequences of their own; the shorter pieces are packed. They are dealt into
 blocks of about `BLOCK` items, so a task never holds more, however large the corpus. For each block `ISLANDS` populations
-evolve in separate tasks: crossover injects whole well-filled bins of one parent into the other, drops the bins that hold
-duplicates and places the displaced items best fit, largest first. After each epoch every island's best packing migrates to
-the next island. In the end poorly filled bins of all blocks are dissolved and packed again together, until that saves nothing.
+evolve in separate tasks, from groupings in random order: crossover injects whole well-filled bins of one parent into the
+other, drops the bins that hold duplicates and places the displaced items best fit, largest first. After each epoch every
+island's best packing migrates to the next island. In the end poorly filled bins of all blocks are dissolved and packed again together, until that saves nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from helixframe.llm.bpe import Memo, encoder
 from helixframe.llm.common import slices, stored
 
 CAPACITY, END_ID = 2048, 0
-BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 3, 6, 2
+BLOCK, ISLANDS, POPULATION, CHILDREN, GENERATIONS, EPOCHS = 8192, 3, 3, 3, 8, 2
 #: Bins filled less than this share are packed again with those of other blocks; at most so many rounds.
 POOR, ROUNDS = 0.97, 4
 _PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long"
@@ -91,6 +91,7 @@ class Bins:
 
     def __init__(self, capacity: int):
         self.capacity, self.bins, self.free, self.by_free, self.mask = capacity, [], [], [[] for _ in range(capacity + 1)], 0
+        self.generations = 0
 
     def add(self, items: list[int], free: int) -> None:
         self.bins.append(items)
@@ -133,8 +134,7 @@ def fitness(packing: Bins) -> tuple[int, float]:
 
 def crossover(one: Bins, other: Bins, sizes: list[int], rng: random.Random) -> Bins:
     """Injects well-filled bins of `one` into `other`; bins of `other` that hold any of their items go, and what they held else is placed best fit."""
-    good = [k for k, f in enumerate(one.free) if f <= 0.01 * one.capacity]
-    chosen = [k for k in good if rng.random() < 0.5]
+    chosen = [k for k, f in enumerate(one.free) if f <= 0.01 * one.capacity and rng.random() < 0.3]
     child, used = Bins(one.capacity), bytearray(len(sizes))
     for k in chosen:
         child.add(list(one.bins[k]), one.free[k])
@@ -143,8 +143,8 @@ def crossover(one: Bins, other: Bins, sizes: list[int], rng: random.Random) -> B
     displaced = []
     for items, free in zip(other.bins, other.free):
         taken = [used[i] for i in items]
-        # poorly filled bins are dissolved now and then, so that their items can go elsewhere
-        if any(taken) or free > 0.03 * other.capacity and rng.random() < 0.5:
+        # mutation: bins that are not quite full are often dissolved, others now and then, so that their items can go elsewhere
+        if any(taken) or rng.random() < (0.8 if free > 0.002 * other.capacity else 0.25):
             displaced += [i for i, t in zip(items, taken) if not t]
         else:
             child.add(list(items), free)
@@ -158,24 +158,27 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
 
 
 def evolve(sizes: list[int], seed: int, elites: list[Bins], capacity: int = CAPACITY) -> Bins:
-    """One epoch of one island: its best packing. Stops early at the lower bound."""
-    rng, least = random.Random(seed), lower_bound(sizes, capacity)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    """One epoch of one island: its best packing, with the number of generations.
+
+    It starts from groupings in random order. At least one generation runs; the lower bound ends it.
+    """
+    rng, least, n = random.Random(seed), lower_bound(sizes, capacity), len(sizes)
     population = [*elites]
     while len(population) < POPULATION + bool(elites):
-        if min((len(p.bins) for p in population), default=least + 1) <= least:
+        population.append(best_fit(sizes, rng.sample(range(n), n), capacity))
+    for generation in range(1, GENERATIONS + 1):
+        if generation == GENERATIONS:  # best fit with the largest first comes in as an immigrant if nothing else has reached the bound
+            population.append(best_fit(sizes, sorted(range(n), key=lambda i: -sizes[i]), capacity))
+        for _ in range(CHILDREN):
+            child = crossover(*rng.sample(population, 2), sizes, rng)
+            worst = max(range(len(population)), key=lambda k: fitness(population[k]))
+            if fitness(child) < fitness(population[worst]):
+                population[worst] = child
+        if min(len(p.bins) for p in population) <= least:
             break
-        noise = 0.0 if not population else rng.choice((0.02, 0.05, 0.1))
-        population.append(best_fit(sizes, order if not noise else sorted(order, key=lambda i: -sizes[i] * (1 + noise * (rng.random() - 0.5))), capacity))
-    for _ in range(CHILDREN):
-        if min(len(p.bins) for p in population) <= least or len(population) < 2:
-            break
-        one, other = rng.sample(population, 2)
-        child = crossover(one, other, sizes, rng)
-        worst = max(range(len(population)), key=lambda k: fitness(population[k]))
-        if fitness(child) < fitness(population[worst]):
-            population[worst] = child
-    return min(population, key=fitness)
+    best = min(population, key=fitness)
+    best.generations = generation
+    return best
 
 
 def _rebuilt(numbers: list[int], sizes: list[int], capacity: int) -> Bins:
@@ -199,17 +202,17 @@ def _numbers(packing: Bins, n: int) -> list[int]:
 
 # --- all blocks -----------------------------------------------------------------------------------------------------
 
-_STATE = "block long, island int, items array<long>, sizes array<int>, bins array<int>, n_bins int, fit double"
+_STATE = "block long, island int, items array<long>, sizes array<int>, bins array<int>, n_bins int, fit double, generations int"
 
 
-def _packed(items: DataFrame, capacity: int, round_: int) -> DataFrame:
-    """Packs (item, length) rows in blocks: item, length, block, bin, fill, place."""
+def _islands(items: DataFrame, capacity: int, round_: int) -> DataFrame:
+    """The best packing of each island of each block of (item, length) rows, after all epochs (see `_STATE`)."""
     n = items.count()
     blocks = max(1, -(-n // BLOCK))
     # a block's share is bounded: items go to blocks by a hash of their own number, and so about BLOCK come together
     dealt = items.select(F.pmod(F.xxhash64("item", F.lit(round_)), F.lit(blocks)).alias("block"), F.struct("item", "length").alias("x"))
     held = dealt.groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("x")).select("block", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.col("x.item").alias("items"), F.col("x.length").cast("array<int>").alias("sizes"))
-    state = held.withColumns({"bins": F.lit(None).cast("array<int>"), "n_bins": F.lit(0), "fit": F.lit(0.0), "guests": F.lit(None).cast("array<array<int>>")})
+    state = held.withColumns({"bins": F.lit(None).cast("array<int>"), "n_bins": F.lit(0), "fit": F.lit(0.0), "generations": F.lit(0), "guests": F.lit(None).cast("array<array<int>>")})
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +221,7 @@ def _packed(items: DataFrame, capacity: int, round_: int) -> DataFrame:
                     sizes = [int(s) for s in r.sizes]
                     elites = [_rebuilt(list(g), sizes, capacity) for g in (r.guests if r.guests is not None else [])]
                     best = evolve(sizes, hash((int(r.block), int(r.island), number, round_)), elites, capacity)
-                    yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "sizes": [sizes], "bins": [_numbers(best, len(sizes))], "n_bins": [len(best.bins)], "fit": [fitness(best)[1]]})
+                    yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "sizes": [sizes], "bins": [_numbers(best, len(sizes))], "n_bins": [len(best.bins)], "fit": [fitness(best)[1]], "generations": [int(r.generations) + best.generations]})
 
         return run
 
@@ -230,6 +233,12 @@ def _packed(items: DataFrame, capacity: int, round_: int) -> DataFrame:
             # the elite of island k goes to island k + 1 of its block; the island's own best stays
             guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("bins").alias("guest"))
             state = state.join(guests, ["block", "island"]).withColumn("guests", F.array("bins", "guest")).drop("guest")
+    return state
+
+
+def _packed(items: DataFrame, capacity: int, round_: int) -> DataFrame:
+    """Packs (item, length) rows in blocks: item, length, block, bin, fill, place."""
+    state = _islands(items, capacity, round_)
     best = state.groupBy("block").agg(F.min_by(F.struct("items", "sizes", "bins"), F.struct("n_bins", "fit", "island")).alias("b"))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,6 +255,22 @@ def _packed(items: DataFrame, capacity: int, round_: int) -> DataFrame:
     return best.select("block", "b.items", "b.sizes", "b.bins").mapInPandas(places, "item long, length long, block long, bin long, fill long, place long")
 
 
+def evolution(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(block, island, n_items, least, plain, random, n_bins, generations) of the first round: the lower bound, bins of best fit with the
+    largest first and in random order, the island's bins, and the generations that it took. To look at, not used for packing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                sizes = [int(s) for s in r.sizes]
+                plain = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity)
+                shuffled = best_fit(sizes, random.Random(1).sample(range(len(sizes)), len(sizes)), capacity)
+                yield pd.DataFrame([(r.block, r.island, len(sizes), lower_bound(sizes, capacity), len(plain.bins), len(shuffled.bins), r.n_bins, r.generations)], columns=["block", "island", "n_items", "least", "plain", "random", "n_bins", "generations"])
+
+    state = _islands(cut_pieces.where("sequence_id IS NULL").select("item", "length"), capacity, 0)
+    return state.mapInPandas(run, "block long, island int, n_items int, least int, plain int, random int, n_bins int, generations int")
+
+
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places every piece of `pieces` (stored): adds sequence_id and offset. Pieces of the same sequence lie one after the other from 0.
 

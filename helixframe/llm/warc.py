@@ -5,9 +5,9 @@ that the file's first record (`filedesc://`) declares, then as many bytes as the
 goes by these declared lengths alone, so payloads may hold anything. It synthesises what WARC needs and ARC lacks: record
 ids, dates, types and digests. Equal payloads are written once; the others become revisit records that refer to it.
 
-Archives are written by Spark's text writer and read by its binary reader, gzipped and so dealt out that a file stays near
-`FILE_BYTES`; reading inflates a file as a stream. Both work on any store that Spark reaches. Python handles only bytes of
-the records at hand.
+Archives are written by Spark's text writer and read by its binary reader, gzipped, a stream a file. Records go to the
+writer in bundles, so that a file is cut by size and not by their number; reading inflates a file as a stream. Both work on
+any store that Spark reaches. Python handles only bytes of the records at hand.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql.types import StructType
 
 from helixframe.llm.common import fresh_path
 
-#: Bytes of payload that one archive file aims at.
-FILE_BYTES = 32 << 20
+#: A file holds so many bundles, each of about so many characters (or one longer record).
+FILE_BUNDLES, BUNDLE = 16, 1 << 20
 #: Payloads of at least so many bytes are written once only.
 DEDUP_BYTES = 1000
 # The fields of a header line by ARC version, as the format defines them.
@@ -230,23 +230,32 @@ def _batches(df: DataFrame, rows: callable, schema: str, limit: int = 4 << 20) -
     return df.mapInArrow(run, parsed)
 
 
-def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", version: int = 2) -> None:
-    """Writes gzipped ARC files of the given version, one record a row."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    per_file = max(1, FILE_BYTES // (1 + int(rows.agg(F.avg(F.length("html"))).first()[0] or 0)))
+def _bundled(df: DataFrame, record: callable, separator: str, start: str = "") -> DataFrame:
+    """Rows (as dicts) to records, joined to bundles, so that files can be cut by size. `start` comes before the first record of a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        held, size, n = [], 0, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                out = []
-                for row in batch.slice(k, 256).to_pylist():
-                    # a file begins with the record that declares its version; the writer starts a file every per_file rows
-                    out.append((arc_start(version) + "\n" if n % per_file == 0 else "") + arc_record(version, row["page_id"], row["url"], row["html"]))
-                    n += 1
-                yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.string())]))
+            for k in range(0, batch.num_rows, 64):
+                for row in batch.slice(k, 64).to_pylist():
+                    if not held and start and n % FILE_BUNDLES == 0:
+                        held.append(start)
+                    held.append(record(row))
+                    size += len(held[-1])
+                    if size >= BUNDLE:
+                        yield pa.RecordBatch.from_pydict({"value": [separator.join(held)]})
+                        held, size, n = [], 0, n + 1
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": [separator.join(held)]})
 
-    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", per_file).option("compression", "gzip").option("lineSep", "\n").text(path)
+    return df.mapInArrow(run, "value string")
+
+
+def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", version: int = 2) -> None:
+    """Writes gzipped ARC files of the given version, one record a row; each file begins with the record that declares its version."""
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    lines = _bundled(rows, lambda r: arc_record(version, r["page_id"], r["url"], r["html"]), "\n", arc_start(version))
+    lines.write.option("maxRecordsPerFile", FILE_BUNDLES).option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -280,8 +289,8 @@ def with_revisits(records: DataFrame) -> DataFrame:
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Writes gzipped WARC files; records end in two line ends, as the text writer's line separator."""
-    lines = _batches(records, lambda r: [(warc_record(r),)], "value string")
-    lines.write.option("maxRecordsPerFile", 20_000).option("compression", "gzip").option("lineSep", SEPARATOR).text(path)
+    lines = _bundled(records, warc_record, SEPARATOR)
+    lines.write.option("maxRecordsPerFile", FILE_BUNDLES).option("compression", "gzip").option("lineSep", SEPARATOR).text(path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
