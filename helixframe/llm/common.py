@@ -46,15 +46,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it back: cuts lineage, survives lost executors. Its shuffle files are freed, since the table has the rows."""
+def stored(df: DataFrame, label: str, merge: bool = False) -> DataFrame:
+    """Writes `df` as a table in the shared folder and reads it back: cuts lineage, survives lost executors. Its shuffle files are freed, since the table has the rows.
+
+    With `merge` no join of `df` broadcasts a side unless told to: for sides that grow with the corpus, whatever their size today.
+    """
     spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(FREED, "false")
-    spark.conf.set(FREED, "true")
+    settings = {FREED: "true"} | ({"spark.sql.autoBroadcastJoinThreshold": "-1"} if merge else {})
+    path, before = fresh_path(spark, label), {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREED, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from helixframe.llm.common import as_bytes, drop_stored, slices, stored
+from helixframe.llm import common
+from helixframe.llm.common import as_bytes, drop_stored, slices
 from helixframe.llm.shingles import batches, cells, mix, weighted_jaccard
 
 M, ROWS, THRESHOLD = 160, 5, 0.8
@@ -38,6 +39,11 @@ STAR_ROUNDS = 2
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 800, 1 << 19, 1024
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A stored table whose joins all merge: every side here grows with the corpus, and so plans are alike at every size."""
+    return common.stored(df, label, merge=True)
+
+
 def _step(k: int) -> np.uint64:
     """The k-th multiple of the golden ratio, modulo 2^64."""
     return np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -305,7 +311,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     sizes = stored(sizes.join(linked, "class", "left"), "classes")
     own = F.col("class").isNull()
     counts = (F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (("class_size", 1), ("n_texts", 0), ("n_links", 0)))
-    return found.join(sizes, "class", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *counts)
+    return found.join(sizes.hint("merge"), "class", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *counts)
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -317,4 +323,4 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", thresho
     keyed = classed.where("class IS NOT NULL").join(rows.select("uid", F.col(f"row.`{key}`").alias("key")), "uid")
     first = keyed.groupBy("class").agg(F.min(F.struct("key", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
     kept = stored(classed.where("class IS NULL").select("uid").unionAll(first), "kept")
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), "uid", "left_semi").select("row.*")
