@@ -7,18 +7,26 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The standard genetic code in the order TCAG, residue masses, and hydropathy of Kyte and Doolittle.
+# Fixed values, all tables down to COIL: the standard genetic code in the order TCAG, residue masses, hydropathy of Kyte and Doolittle, nucleotide masses
+# in chains, ambiguity codes, cutting sites, patterns of domains and promoters, pK values, nearest-neighbour enthalpies and entropies, propensities.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = dict(zip(("".join(c) for c in product(BASES, repeat=3)), AMINO_ACIDS))
 RESIDUE_MASS = {"A": 89.09, "R": 174.20, "N": 132.12, "D": 133.10, "C": 121.15, "E": 147.13, "Q": 146.15, "G": 75.07, "H": 155.16, "I": 131.17, "L": 131.17, "K": 146.19, "M": 149.21, "F": 165.19, "P": 115.13, "S": 105.09, "T": 119.12, "W": 204.23, "Y": 181.19, "V": 117.15}
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
-NUCLEOTIDE_MASS = {"dna": {"A": 331.2, "C": 307.2, "G": 347.2, "T": 322.2}, "rna": {"A": 347.2, "C": 323.2, "G": 363.2, "U": 324.2}}
+NUCLEOTIDE_MASS = {"dna": {"A": 313.21, "T": 304.19, "G": 329.21, "C": 289.18}, "rna": {"A": 329.21, "U": 306.17, "G": 345.21, "C": 305.18}}
 IUPAC = {"R": "[AG]", "Y": "[CT]", "S": "[GC]", "W": "[AT]", "K": "[GT]", "M": "[AC]", "B": "[CGT]", "D": "[AGT]", "H": "[ACT]", "V": "[ACG]", "N": "[ACGT]"}
 ENZYMES = {"EcoRI": "GAATTC", "BamHI": "GGATCC", "HindIII": "AAGCTT", "HinfI": "GANTC", "AluI": "AGCT"}
-DOMAINS = {"N-glycosylation": "N[^P][ST][^P]", "PKC phosphorylation": "[ST].[RK]", "CK2 phosphorylation": "[ST]..[DE]", "cAMP phosphorylation": "[RK]{2}.[ST]", "leucine zipper": "L.{6}L.{6}L.{6}L"}
-PROMOTERS = {"TATA box": "TATA[AT]A[AT]", "CAAT box": "GG[CT]CAATCT", "GC box": "GGGCGG", "Kozak": "GCC[AG]CCATGG", "-10 box": "TATAAT", "-35 box": "TTGACA"}
-CHARGE_PK = {"D": 3.65, "E": 4.25, "C": 8.18, "Y": 10.07, "H": 6.00, "K": 10.53, "R": 12.48}
+DOMAINS = {"signal_peptide": "^M[A-Z]{15,30}[AVILMFYW]{3,}", "transmembrane": "[AVILMFYW]{18,25}", "nuclear_localization": "[KR]{4,}|[KR][A-Z]{10,12}[KR]{3,}", "zinc_finger": "C[A-Z]{2,4}C[A-Z]{12,14}H[A-Z]{3,5}H", "leucine_zipper": "L[A-Z]{6}L[A-Z]{6}L[A-Z]{6}L"}
+PROMOTERS = {"TATA_box": "TATA[AT]A[AT]", "CAAT_box": "GG[TC]CAATCT", "GC_box": "GGGCGG", "initiator": "[CT][CT]A[ACGT]T[CT][CT]", "BRE": "[GC][GC][GA]CGCC", "DPE": "[AG]G[AT][CT][GT]"}
+CHARGE_PK = {"D": 3.86, "E": 4.25, "C": 8.33, "Y": 10.07, "H": 6.00, "K": 10.53, "R": 12.48}
+NEIGHBOURS = {
+    "AA": (-7.9, -22.2), "TT": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "TG": (-8.5, -22.7), "GT": (-8.4, -22.4), "AC": (-8.4, -22.4),
+    "CT": (-7.8, -21.0), "AG": (-7.8, -21.0), "GA": (-8.2, -22.2), "TC": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9), "CC": (-8.0, -19.9),
+}
+HELIX = {"A": 1.42, "L": 1.21, "E": 1.51, "M": 1.45, "Q": 1.11, "K": 1.16, "R": 0.98, "H": 1.00, "V": 1.06, "I": 1.08, "Y": 0.69, "C": 0.70, "W": 1.08, "F": 1.13, "T": 0.83, "G": 0.57, "N": 0.67, "P": 0.57, "S": 0.77, "D": 1.01}
+SHEET = {"V": 1.70, "I": 1.60, "Y": 1.47, "F": 1.38, "W": 1.37, "L": 1.30, "T": 1.19, "C": 1.19, "M": 1.05, "A": 0.83, "R": 0.93, "G": 0.75, "D": 0.54, "K": 0.74, "S": 0.75, "H": 0.87, "N": 0.89, "Q": 1.10, "P": 0.55, "E": 0.37}
+COIL = 3.0
 
 
 def _literal_map(values: dict) -> Column:
@@ -149,12 +157,24 @@ def fasta(name, description, seq, width: int = 60) -> Column:
     return F.concat(F.lit(">"), F.trim(F.concat_ws(" ", _col(name), _col(description))), F.lit("\n"), wrapped(seq, width))
 
 
-def melting_temperature(seq, method: str = "basic", na_millimolar: float = 50.0) -> Column:
-    """Wallace rule below 14 bases, else 64.9 + 41 (GC - 16.4) / n; "salt_adjusted" adds 16.6 log10 of the sodium concentration."""
+def melting_temperature(seq, method: str = "basic", na_millimolar: float = 50.0, oligo_micromolar: float = 0.25) -> Column:
+    """In Celsius. basic: two a weak and four a strong pair below 14 bases, else by GC share and length; salt_adjusted: with sodium; nearest_neighbor: from
+    summed enthalpies and entropies of neighbouring pairs (ambiguous ones count nothing)."""
     s = F.upper(_col(seq))
     n, gc = F.length(s), count_of(s, "GC")
-    basic = F.when(n == 0, F.lit(0.0)).when(n < 14, 2.0 * (n - gc) + 4.0 * gc).otherwise(64.9 + 41.0 * (gc - 16.4) / n)
-    return 81.5 + 16.6 * F.log10(F.lit(na_millimolar / 1000)) + 41.0 * gc / n - 675.0 / n if method == "salt_adjusted" else basic
+    if method == "basic":
+        return F.when(n == 0, F.lit(0.0)).when(n < 14, 2.0 * count_of(s, "AT") + 4.0 * gc).otherwise(64.9 + 41.0 * (gc / n - 0.41) - 500.0 / n)
+    if method == "salt_adjusted":
+        return F.when(n > 0, 81.5 + 16.6 * F.log10(F.lit(na_millimolar / 1000)) + 41.0 * gc / n - 500.0 / n)
+    if method != "nearest_neighbor":
+        raise ValueError(f"unknown method {method!r}")
+    def summed(k: int, start: float) -> Column:
+        table = _literal_map({p: v[k] for p, v in NEIGHBOURS.items()})
+        return F.aggregate(windows(s, 2), F.lit(start), lambda t, w: t + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+
+    enthalpy, entropy = summed(0, 0.2), summed(1, -5.7)
+    entropy = entropy + 0.368 * (n - 1) * F.log(F.lit(na_millimolar / 1000))
+    return F.when(n > 0, 1000 * enthalpy / (entropy + 1.987 * F.log(F.lit(oligo_micromolar * 1e-6 / 4))) - 273.15)
 
 
 def iupac_pattern(motif: str) -> str:
@@ -203,11 +223,11 @@ def _sum_over(seq, values: dict) -> Column:
 
 
 def molecular_weight(seq, kind: str = "protein") -> Column:
-    """Sum of masses less a water for each bond (protein) or the plain sum of nucleotides less 61.96 (dna, rna)."""
+    """Sum of masses less, for each bond, a water (protein) or 61.97 (dna, rna)."""
     n = F.length(_col(seq))
     if kind == "protein":
         return F.when(n > 0, _sum_over(seq, RESIDUE_MASS) - 18.015 * (n - 1)).otherwise(F.lit(0.0))
-    return F.when(n > 0, _sum_over(seq, NUCLEOTIDE_MASS[kind]) - 61.96).otherwise(F.lit(0.0))
+    return F.when(n > 0, _sum_over(seq, NUCLEOTIDE_MASS[kind]) - 61.97 * (n - 1)).otherwise(F.lit(0.0))
 
 
 def mean_hydropathy(seq) -> Column:
@@ -220,6 +240,14 @@ def hydrophobicity_profile(seq, window: int = 9) -> Column:
     return F.transform(windows(seq, window), lambda w: F.round(sum((F.length(w) - F.length(F.translate(w, c, ""))) * F.lit(v) for c, v in HYDROPATHY.items()) / window, 6))
 
 
+def structure_propensity(seq) -> Column:
+    """Mean propensities for helix and sheet, 1 for unknown residues, and what is left of 3 for coil."""
+    s = F.upper(_col(seq))
+    n = F.length(s)
+    helix, sheet = ((_sum_over(s, values) + n - count_of(s, "".join(values))) / n for values in (HELIX, SHEET))
+    return F.when(n > 0, F.struct(helix.alias("helix"), sheet.alias("sheet"), (COIL - helix - sheet).alias("coil")))
+
+
 def aromaticity(seq) -> Column:
     n = F.length(_col(seq))
     return F.when(n > 0, count_of(F.upper(_col(seq)), "FWY") / n).otherwise(F.lit(0.0))
@@ -287,6 +315,31 @@ def mean_phred(quality, offset: int = 33) -> Column:
     return F.when(F.length(q) > 0, F.aggregate(phred(q, offset), F.lit(0), lambda a, x: a + x) / F.length(q))
 
 
+def trim_adapter(seq, adapter: str, least: int = 8) -> Column:
+    """The sequence before the first occurrence of the adapter, or before the longest of its prefixes of `least` or more bases that ends the sequence."""
+    s = _col(seq)
+    whole = F.instr(s, adapter)
+    tails = F.coalesce(*(F.when(F.endswith(s, F.lit(adapter[:k])), F.length(s) - k + 1) for k in range(len(adapter) - 1, least - 1, -1)), F.lit(0))
+    place = F.when(whole > 0, whole).otherwise(tails)
+    return F.when(place > 0, s.substr(F.lit(1), place - 1)).otherwise(s)
+
+
+def aligned_pairs(start, cigar) -> Column:
+    """Array of (query, reference) places from 0 of the aligned bases of a record that starts at `start` on the reference."""
+    zero = F.struct(F.lit(0).alias("q"), F.col(start).cast("int").alias("r") if isinstance(start, str) else start.cast("int").alias("r"), F.array().cast("array<struct<query:int,reference:int>>").alias("out"))
+
+    def step(at, x):
+        n, op = x["length"], x["op"]
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((at["q"] + i).alias("query"), (at["r"] + i).alias("reference")))
+        aligned = op.isin("M", "=", "X")
+        return F.struct(
+            F.when(aligned | op.isin("I", "S"), at["q"] + n).otherwise(at["q"]).alias("q"), F.when(aligned | op.isin("D", "N"), at["r"] + n).otherwise(at["r"]).alias("r"),
+            F.when(aligned, F.concat(at["out"], pairs)).otherwise(at["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.filter(cigar_ops(cigar), lambda x: x["length"] > 0), zero, step, lambda at: at["out"])
+
+
 def error_rate(q) -> Column:
     return F.pow(F.lit(10.0), -_col(q) / 10.0)
 

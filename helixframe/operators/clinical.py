@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Genes and weights of the rules.
-ONCOGENES = ("KRAS", "EGFR", "BRAF", "PIK3CA", "MYC", "ERBB2", "ALK", "RET")
-PGX_GENES = ("CYP2D6", "CYP2C19", "CYP2C9", "CYP3A4", "CYP3A5", "CYP1A2", "DPYD", "TPMT", "UGT1A1", "SLCO1B1", "VKORC1", "G6PD", "NUDT15", "HLA-B")
-STAGE_WEIGHT = {"I": 0.1, "II": 0.2, "III": 0.4, "IV": 0.6}
-GENE_WEIGHT = {"TP53": 0.15, "KRAS": 0.1, "BRAF": 0.1}
+ONCOGENES = ("TP53", "KRAS", "BRAF", "EGFR", "PIK3CA", "PTEN", "APC", "RB1")
+PGX_GENES = ("CYP2D6", "CYP2C19", "CYP2C9", "CYP3A4", "CYP3A5", "SLCO1B1", "TPMT", "DPYD", "UGT1A1", "VKORC1", "HLA-A", "HLA-B", "ABCB1", "ABCG2")
+STAGE_WEIGHT, UNKNOWN_STAGE = {"I": 0.2, "II": 0.4, "III": 0.6, "IV": 0.8}, 0.5
+RISK_GENES, GENE_WEIGHT, PROTECTION, AGE_WEIGHT, PERFORMANCE_WEIGHT = ("TP53", "PIK3CA", "KRAS", "BRAF"), 0.1, 0.1, 0.1, 0.2
 
 
-def risk_score(stage: Column, genes: Column, age: Column, performance: Column) -> Column:
-    """Sum of stage, gene, age and performance weights, clipped to 0..1. `genes` is an array."""
-    by_stage = F.lit(0.0)
+def risk_score(stage: Column, genes: Column, age: Column, performance: Column, msi_high: Column | None = None) -> Column:
+    """Stage, mutations in risk genes (each counts), age over 70 and performance status of 2 or more, less the protection of high microsatellite instability; clipped to 0..1. `genes` is an array."""
+    by_stage, name = F.lit(UNKNOWN_STAGE), F.trim(F.replace(F.upper(stage), F.lit("STAGE"), F.lit("")))
     for k, w in STAGE_WEIGHT.items():
-        by_stage = F.when(stage == k, F.lit(w)).otherwise(by_stage)
-    by_gene = sum((F.when(F.array_contains(genes, g), F.lit(w)).otherwise(F.lit(0.0)) for g, w in GENE_WEIGHT.items()), F.lit(0.0))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), by_stage + by_gene + F.when(age > 70, 0.1).otherwise(0.0) + F.when(performance >= 2, 0.15).otherwise(0.0)))
+        by_stage = F.when(name == k, F.lit(w)).otherwise(by_stage)
+    by_gene = F.coalesce(F.size(F.filter(genes, lambda g: g.isin(*RISK_GENES))), F.lit(0)) * GENE_WEIGHT
+    protected = F.when(msi_high, PROTECTION).otherwise(0.0) if msi_high is not None else F.lit(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), by_stage + by_gene - protected + F.when(age > 70, AGE_WEIGHT).otherwise(0.0) + F.when(performance >= 2, PERFORMANCE_WEIGHT).otherwise(0.0)))
 
 
 def risk_level(score: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("helixframe.graph.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="helixframe-graph-")
         spark.conf.set("helixframe.graph.dir", base)
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -73,18 +77,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def distances(edges: DataFrame, source, most: int = 20) -> DataFrame:
-    """(node, distance) of the nodes that `source` reaches along the edges, by breadth."""
+def distances(edges: DataFrame, source, most: int | None = None) -> DataFrame:
+    """(node, distance) of the nodes that `source` reaches along the edges, by breadth; with `most` only those within so many steps."""
     links = edges.select("src", "dst").distinct()
     seen = links.sparkSession.range(1).select(F.lit(source).cast(links.schema["src"].dataType).alias("node"), F.lit(0).alias("distance"))
     front, depth = seen, 0
-    while depth < most:
+    while most is None or depth < most:
         depth += 1
         step = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = settled(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(depth)))
         if not front.limit(1).count():
             break
-        seen = seen.unionAll(front)
+        seen = settled(seen.unionAll(front)) if depth % 10 == 0 else seen.unionAll(front)
     return seen
 
 
@@ -176,15 +180,38 @@ def stoichiometry(reactions: DataFrame) -> DataFrame:
     return reactions.groupBy("metabolite", "reaction").agg(F.sum(F.when(F.col("role") == "product", F.col("amount")).otherwise(-F.col("amount"))).alias("coefficient"))
 
 
-def sample_network(long: DataFrame, k: int = 10, candidates: DataFrame | None = None) -> DataFrame:
-    """Symmetric k-nearest-neighbour graph (src, dst, distance) of samples in euclidean distance.
+def sample_network(long: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
+    """Symmetric k-nearest-neighbour graph (src, dst, distance) of samples in euclidean distance, ties to the smaller sample.
 
-    Compares samples that share a cell of `candidates` (sample, cell), such as clusters; without it all are in one cell, which
-    suits cohorts of bounded size.
+    Every sample is compared with all others: samples are dealt into blocks, each two blocks meet in a task as a matrix product,
+    and a task keeps the k nearest of each sample, whose distances are then taken from the differences.
     """
     vectors = long.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda x: x["value"]).alias("v"))
-    rows = vectors.join(candidates, "sample") if candidates is not None else vectors.withColumn("cell", F.lit(0))
-    d = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.sample") != F.col("b.sample"))).select(F.col("a.sample").alias("src"), F.col("b.sample").alias("dst"), d.alias("distance")).distinct()
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))).where(F.col("r") <= k).drop("r")
-    return near.unionAll(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
+    vectors = settled(vectors)
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = vectors.select("sample", "v", own.alias("one"), every.alias("other"), F.lit(True).alias("asks")).unionAll(vectors.select("sample", "v", every.alias("one"), own.alias("other"), F.lit(False)))
+    kind = vectors.schema["sample"].dataType.simpleString()
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, known = rows[rows["asks"]], rows[~rows["asks"]].sort_values("sample")
+        if not len(asked) or not len(known):
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        x, y = np.array(asked["v"].tolist(), dtype=float), np.array(known["v"].tolist(), dtype=float)
+        names, out = known["sample"].to_numpy(), []
+        keep = min(k + 16, len(y))
+        for a in range(0, len(x), 256):
+            part = x[a : a + 256]
+            rough = (part**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * part @ y.T
+            some = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
+            for i, at in enumerate(some):
+                at = at[names[at] != asked["sample"].iat[a + i]]
+                d = np.sqrt(((part[i] - y[at]) ** 2).sum(axis=1))
+                order = np.lexsort((names[at], d))[:k]
+                out.append(pd.DataFrame({"src": asked["sample"].iat[a + i], "dst": names[at[order]], "distance": d[order]}))
+        return pd.concat(out)
+
+    pairs = both.groupBy("one", "other").applyInPandas(near, f"src {kind}, dst {kind}, distance double")
+    near_ = pairs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))).where(F.col("r") <= k).drop("r")
+    return near_.unionAll(near_.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()

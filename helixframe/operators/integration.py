@@ -110,9 +110,15 @@ def snf(blocks: list[np.ndarray], k: int = 20, rounds: int = 20) -> np.ndarray:
     return (fused + fused.T) / 2
 
 
-def similarity_network(fused: DataFrame, cohort: str | None = None, k: int = 20, rounds: int = 20) -> DataFrame:
-    """(cohort, src, dst, weight) of an early-fused matrix: each cohort's samples, a bounded number, in one task; cohorts side by side."""
-    rows = fused.withColumn("cohort", F.col(cohort) if cohort else F.lit("all")).withColumn("cohort", F.col("cohort").cast("string"))
+def similarity_network(fused: DataFrame, cohort: str | None = None, k: int = 20, rounds: int = 20, most: int = 1000) -> DataFrame:
+    """(cohort, src, dst, weight) of an early-fused matrix: each cohort's samples in one task, cohorts side by side.
+
+    Fusion is quadratic in a cohort, so one of more than `most` samples is dealt into parts of about that size, named cohort/part.
+    """
+    rows = fused.withColumn("cohort", F.col(cohort).cast("string") if cohort else F.lit("all"))
+    sizes = rows.groupBy("cohort").agg(F.ceil(F.count_distinct("sample") / most).alias("parts"))
+    part = F.pmod(F.xxhash64(F.col("sample").cast("string")), F.col("parts"))
+    rows = rows.join(sizes, "cohort").withColumn("cohort", F.when(F.col("parts") > 1, F.concat_ws("/", "cohort", part.cast("string"))).otherwise(F.col("cohort")))
 
     def fuse(part: pd.DataFrame) -> pd.DataFrame:
         samples = np.sort(part["sample"].unique())

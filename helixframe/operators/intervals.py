@@ -86,7 +86,10 @@ def with_duplicates(df: DataFrame, order: str = "name") -> DataFrame:
 
 
 def without_duplicates(df: DataFrame, order: str = "name") -> DataFrame:
-    return with_duplicates(df, order).where("NOT duplicate").drop("duplicate")
+    """The best record of each (ref, 5' end, strand) by mapping quality, then name; only each task's best ones are shuffled."""
+    five = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")).alias("__five")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.groupBy("ref", five, "strand").agg(F.min_by(whole, F.struct((-F.col("mapq")).alias("m"), F.col(order).alias("o"))).alias("best")).select("best.*")
 
 
 def alignment_statistics(df: DataFrame) -> DataFrame:
@@ -141,22 +144,38 @@ def synteny_blocks(df: DataFrame, max_gap: int = 100_000, least: int = 3) -> Dat
     return rows.groupBy(*keys, "block").agg(F.count("*").alias("n"), F.min("pos1").alias("start1"), F.max("pos1").alias("end1"), F.min("pos2").alias("start2"), F.max("pos2").alias("end2"), (F.max_by("pos2", "pos1") >= F.min_by("pos2", "pos1")).alias("same_direction")).where(F.col("n") >= least)
 
 
-def best_non_overlapping(df: DataFrame, key: str, max_overlap: int = 60) -> DataFrame:
-    """Sweeps a key's intervals by start; of two that overlap by more than `max_overlap` the higher score stays (compared with the last kept one)."""
+def best_non_overlapping(df: DataFrame, key: str, max_overlap: int = 60, together: int = 500) -> DataFrame:
+    """Sweeps a key's intervals by start, end and score; of two that overlap by more than `max_overlap` the higher score stays (compared with the last kept one).
+
+    Runs of overlapping intervals do not touch each other, so `together` of them, and not a key's whole table, make a task's group.
+    """
     import pandas as pd
 
+    names = df.columns
+    order = Window.partitionBy(key).orderBy("start", "end", "score")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = df.withColumn("__new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("__run", F.floor(F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) / together))
+
     def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start", "end", "score"]).reset_index(drop=True)
         kept: list[int] = []
-        rows = rows.sort_values(["start", "end"]).reset_index(drop=True)
-        for i in range(len(rows)):
-            if kept and rows.at[kept[-1], "end"] - rows.at[i, "start"] > max_overlap:
-                if rows.at[i, "score"] > rows.at[kept[-1], "score"]:
+        starts, ends, scores = rows["start"].tolist(), rows["end"].tolist(), rows["score"].tolist()
+        for i, (start, score) in enumerate(zip(starts, scores)):
+            if kept and ends[kept[-1]] - start > max_overlap:
+                if score > scores[kept[-1]]:
                     kept[-1] = i
             else:
                 kept.append(i)
-        return rows.iloc[kept]
+        return rows.iloc[kept][names]
+
+    return runs.drop("__new").groupBy(key, "__run").applyInPandas(sweep, df.schema)
+
+
+def merge_sorted(*tables: DataFrame) -> DataFrame:
+    """The records of several alignment tables in one, by reference, start and name; columns that one lacks are null."""
+    from functools import reduce
 
-    return df.groupBy(key).applyInPandas(sweep, df.schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).orderBy("ref", "start", "name")
 
 
 def reciprocal_best(hits: DataFrame) -> DataFrame:

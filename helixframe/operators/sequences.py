@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -280,22 +281,140 @@ def find_palindromes(df: DataFrame, key: str, seq: str = "seq", shortest: int =
 _PAIRS = {("A", "U"), ("U", "A"), ("G", "C"), ("C", "G"), ("G", "U"), ("U", "G")}
 
 
-def stem_loops(seq: str, stem: int = 4, loops: range = range(3, 9), share: float = 0.8) -> list[tuple[int, int, int, float]]:
-    """(start, end, loop, paired share) of stems whose bases pair, G-U included, in at least that share."""
-    s, found = seq.replace("T", "U"), []
-    for i in range(len(s) - 2 * stem):
+def stem_loops(seq: str, stem: int = 4, loops: range = range(3, 9), share: float = 0.8, longest: int = 14) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, stem, loop, paired share) of stems of `stem` to `longest` bases that pair, G-U included, in at least that share."""
+    s = seq.replace("T", "U")
+    codes = np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)
+    n, pairs = len(codes), np.zeros((256, 256), dtype=bool)
+    for a, b in _PAIRS:
+        pairs[ord(a), ord(b)] = True
+    found = []
+    for size in range(stem, longest + 1):
         for loop in loops:
-            j = i + 2 * stem + loop
-            if j > len(s):
+            width = 2 * size + loop
+            if width > n:
                 break
-            paired = sum((s[i + k], s[j - 1 - k]) in _PAIRS for k in range(stem)) / stem
-            if paired >= share:
-                found.append((i, j, loop, paired))
-    return found
+            i = np.arange(n - width + 1)
+            paired = sum(pairs[codes[i + k], codes[i + width - 1 - k]].astype(np.int64) for k in range(size))
+            found += [(int(x), int(x) + width, size, loop, float(paired[x] / size)) for x in np.flatnonzero(paired >= size * share)]
+    return sorted(found)
 
 
 def find_stem_loops(df: DataFrame, key: str, seq: str = "seq", stem: int = 4) -> DataFrame:
-    return _table(df, key, seq, lambda s: stem_loops(s, stem), "start long, end long, loop int, paired double")
+    return _table(df, key, seq, lambda s: stem_loops(s, stem), "start long, end long, stem int, loop int, paired double")
+
+
+# --- exact search -----------------------------------------------------------------------------------------------------
+
+
+def suffix_array(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """(key, rank, pos, bwt): the places of each sequence in the order of its suffixes, an end sign below all included, and the character before each.
+
+    Prefix doubling: places are ranked by one character, then by pairs of ranks at double distance, until no two of a sequence are
+    equal. Each round is a join and a window over a sequence's places; no suffix is ever written out.
+    """
+    from helixframe.operators.graph import settled
+
+    chars = df.select(F.col(key).alias("k"), F.posexplode(F.split(F.concat(F.col(seq), F.lit("$")), "")).alias("pos", "c")).where("c <> ''")
+    chars = settled(chars)
+    own = Window.partitionBy("k")
+    rows = settled(chars.select("k", "pos", F.dense_rank().over(own.orderBy("c")).alias("r")))
+    width = 1
+    while rows.groupBy("k", "r").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        ahead = rows.select("k", (F.col("pos") - width).alias("pos"), F.col("r").alias("next"))
+        rows = settled(rows.join(ahead, ["k", "pos"], "left").fillna(0, ["next"]).select("k", "pos", F.dense_rank().over(own.orderBy("r", "next")).alias("r")))
+        width *= 2
+    length = chars.groupBy("k").agg(F.max("pos").alias("last"))
+    before = rows.join(length, "k").withColumn("at", F.when(F.col("pos") == 0, F.col("last")).otherwise(F.col("pos") - 1))
+    return before.join(chars.withColumnRenamed("pos", "at"), ["k", "at"]).select(F.col("k").alias(key), (F.col("r") - 1).cast("long").alias("rank"), F.col("pos").cast("long").alias("pos"), F.col("c").alias("bwt"))
+
+
+def search_all(df: DataFrame, patterns: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """(key, pattern, pos): every place of every pattern (column pattern), overlapping ones too; patterns meet sequences by their first bases."""
+    k = patterns.agg(F.min(F.length("pattern"))).first()[0] or 1
+    seeds = df.select(F.col(key), F.col(seq).alias("s"), F.posexplode(sq.windows(F.col(seq), k)).alias("pos", "seed"))
+    met = seeds.join(patterns.select("pattern", F.substring("pattern", 1, k).alias("seed")).distinct(), "seed")
+    return met.where(F.col("s").substr(F.col("pos") + 1, F.length("pattern")) == F.col("pattern")).select(key, "pattern", F.col("pos").cast("long").alias("pos"))
+
+
+def longest_repeat(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """(key, length, repeat): the longest substring found twice or more in a sequence (the smallest of equals), from the common prefixes of neighbouring suffixes."""
+    order = suffix_array(df, key, seq).join(df.select(key, F.col(seq).alias("s")), key)
+    other = F.lag("pos").over(Window.partitionBy(key).orderBy("rank"))
+    rows = order.withColumn("other", other).where("other IS NOT NULL")
+    one, two = F.col("s").substr(F.col("pos") + 1, F.length("s")), F.col("s").substr(F.col("other") + 1, F.length("s"))
+    common = F.aggregate(sq.positions(F.least(F.length(one), F.length(two))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(one, i, F.lit(1)) == F.substring(two, i, F.lit(1))), i).otherwise(n))
+    found = rows.withColumn("length", common).withColumn("repeat", F.col("s").substr(F.col("pos") + 1, F.col("length")))
+    best = found.groupBy(key).agg(F.min(F.struct((-F.col("length")).alias("m"), "repeat")).alias("b"))
+    return best.select(key, (-F.col("b.m")).cast("long").alias("length"), F.col("b.repeat").alias("repeat"))
+
+
+# --- assembly ---------------------------------------------------------------------------------------------------------
+
+
+def _walked(links: DataFrame, most: int) -> DataFrame:
+    """(kmer, back, steps, low) after doubling steps back: the first edge of each edge's path, the steps to it and the smallest edge on the way."""
+    from helixframe.operators.graph import settled
+
+    width = 1
+    while width < 2 * most:
+        jump = links.select(F.col("kmer").alias("back"), F.col("back").alias("further"), F.col("steps").alias("more"), F.col("low").alias("lower"))
+        new = settled(links.join(jump, "back").select("kmer", F.col("further").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "lower").alias("low"), (F.col("back") != F.col("further")).alias("moved")))
+        moved, links, width = new.where("moved").limit(1).count(), new.drop("moved"), 2 * width
+        if not moved:
+            break
+    return links
+
+
+def unitigs(reads: DataFrame, key: str, k: int, seq: str = "seq", least: int = 1) -> DataFrame:
+    """(contig, n_kmers, coverage, seq): maximal unbranched paths of the de Bruijn graph whose edges are k-mers seen `least` times or more, and whose nodes are their ends.
+
+    Each edge finds the first edge of its path by doubling steps back over inner nodes (one edge in, one out), so a path of n edges
+    takes log n rounds. Closed rings without a branch start at their smallest k-mer. A contig is named by its first k-mer.
+    """
+    from helixframe.operators.graph import settled
+
+    edges = kmers(reads, key, k, seq).groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    edges = settled(edges.select("kmer", "n", F.substring("kmer", 1, k - 1).alias("src"), F.substring("kmer", 2, k - 1).alias("dst")))
+    out, into = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o")), edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.first("kmer").alias("before"))
+    inner = out.join(into, "node").where("o = 1 AND i = 1").select(F.col("node").alias("src"), "before")
+    # back: an edge of the same path, and how many steps before; an edge without one before it is its own
+    single = settled(edges.join(inner, "src", "left").select("kmer", F.coalesce("before", "kmer").alias("back"), F.col("before").isNotNull().cast("long").alias("steps"), F.col("kmer").alias("low")))
+    n = edges.count()
+    links = _walked(single, n)
+    # in a ring every edge still moves on: it is cut before its smallest k-mer and walked again
+    rest = links.select(F.col("kmer").alias("back"), F.col("steps").alias("rest"))
+    placed = settled(links.join(rest, "back"))
+    paths = placed.where("rest = 0").select("kmer", "back", "steps")
+    rings = placed.where("rest > 0").select("kmer", "low")
+    if rings.limit(1).count():
+        cut = F.col("kmer") == F.col("low")
+        again = single.drop("low").join(rings, "kmer").select("kmer", F.when(cut, F.col("kmer")).otherwise(F.col("back")).alias("back"), F.when(cut, 0).otherwise(1).cast("long").alias("steps"), "low")
+        paths = paths.unionAll(_walked(settled(again), n).select("kmer", "back", "steps"))
+    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("steps", F.substring("kmer", k, 1).alias("base")))), lambda x: x["base"]), "")
+    made = paths.join(edges.select("kmer", "n"), "kmer").groupBy(F.col("back").alias("contig")).agg(F.count("*").alias("n_kmers"), F.avg("n").alias("coverage"), tail.alias("tail"))
+    return made.select("contig", "n_kmers", "coverage", F.concat(F.substring("contig", 1, k - 1), "tail").alias("seq"))
+
+
+def overlap_edges(reads: DataFrame, key: str, least: int, seq: str = "seq") -> DataFrame:
+    """(a, b, overlap): for different reads the longest suffix of a, of at least `least` bases, that b starts with (not all of either). Reads meet by the first `least` bases."""
+    starts = reads.select(F.col(key).alias("b"), F.col(seq).alias("sb"), F.substring(seq, 1, least).alias("seed"))
+    places = reads.select(F.col(key).alias("a"), F.col(seq).alias("sa"), F.posexplode(sq.windows(F.col(seq), least)).alias("pos", "seed")).where("pos > 0")
+    n = F.length("sa") - F.col("pos")
+    met = places.join(starts, "seed").where((F.col("a") != F.col("b")) & (n < F.length("sb")) & (F.col("sb").substr(F.lit(1), n) == F.col("sa").substr(F.col("pos") + 1, n)))
+    return met.groupBy("a", "b").agg(F.max(n).cast("long").alias("overlap"))
+
+
+def quality_by_position(reads: DataFrame, quality: str = "quality", offset: int = 33) -> DataFrame:
+    """(pos, n, mean): mean quality of each place of the reads."""
+    rows = reads.select(F.posexplode(sq.phred(quality, offset)).alias("pos", "q")).where("q >= 0")
+    return rows.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"), F.avg("q").alias("mean"))
+
+
+def error_profile(pairs: DataFrame) -> DataFrame:
+    """(ref, base, n, rate) of aligned bases (columns ref, base; a gap is -): substitutions, insertions and deletions by their share of the reference base."""
+    n = pairs.groupBy("ref", "base").agg(F.count("*").alias("n"))
+    return n.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("ref")))
 
 
 def align(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2, local: bool = False) -> tuple[float, str, str]:

@@ -278,6 +278,54 @@ def prerank(ranking: DataFrame, sets: DataFrame, weight: float = 1.0, min_size:
     return both.select("pathway", "size", F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")).alias("es"), F.when(F.col("high") >= -F.col("low"), F.col("edge")).alias("leading_edge"))
 
 
+def prerank_significance(ranking: DataFrame, sets: DataFrame, weight: float = 1.0, min_size: int = 15, max_size: int = 500, permutations: int = 1000, seed: int = 42) -> DataFrame:
+    """`prerank` with p, normalised score and FDR (Benjamini-Hochberg) of each set, from `permutations` seeded sets of as many genes drawn at random.
+
+    p is the share of null scores of the observed sign that are as large ((c + 1) / (m + 1)), nes the score over their mean size. The
+    ranking holds a number a gene; every set is judged in its own task.
+    """
+    scores = np.array([r[0] for r in ranking.orderBy(F.desc("score"), "gene").select(F.col("score").cast("double")).collect()])  # one number a gene
+    weights, n = np.abs(scores) ** weight, len(scores)
+
+    def judge(batches):
+        for batch in batches:
+            out = []
+            for name, size, es in zip(batch["pathway"], batch["size"], batch["es"]):
+                rng = np.random.default_rng([seed, *str(name).encode()])
+                null = np.empty(permutations)
+                for i in range(permutations):
+                    at = np.sort(rng.choice(n, int(size), replace=False))
+                    w = weights[at]
+                    run, miss = np.cumsum(w) / max(w.sum(), 1e-300), (at - np.arange(len(at))) / max(n - len(at), 1)
+                    high, low = (run - miss).max(), (np.r_[0.0, run[:-1]] - miss).min()
+                    null[i] = high if high >= -low else low
+                same = null[null >= 0] if es >= 0 else -null[null < 0]
+                out.append(((int((same >= abs(es)).sum()) + 1) / (len(same) + 1), abs(es) / same.mean() * (1 if es >= 0 else -1) if len(same) and same.mean() > 0 else None))
+            yield batch.assign(p_value=[o[0] for o in out], nes=pd.Series([o[1] for o in out], dtype="float64", index=batch.index))
+
+    found = prerank(ranking, sets, weight, min_size).where(F.col("size") <= max_size)
+    kind = found.schema["pathway"].dataType.simpleString()
+    tested = found.select("pathway", "size", "es", "leading_edge").repartition("pathway").mapInPandas(judge, f"pathway {kind}, size long, es double, leading_edge long, p_value double, nes double")
+    return adjust(tested, "fdr_bh", tie="pathway", out="fdr")
+
+
+def select_test(long: DataFrame, group: str, alpha: float = 0.05) -> DataFrame:
+    """One row (n_groups, normality_p, variance_p, test): the test that suits the values.
+
+    Normality by the moments of all values (Jarque-Bera; no sample is drawn), equal variances by Levene's test over all values: student or
+    welch for two groups, anova for more; mann_whitney or kruskal where the values are not normal.
+    """
+    v = F.col("value")
+    rows = long.where(v.isNotNull())
+    moments = rows.agg(F.count_distinct(group).alias("n_groups"), F.count("*").alias("n"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"))
+    moments = moments.withColumn("jb", F.col("n") / 6 * (F.col("s") * F.col("s") + F.col("k") * F.col("k") / 4)).withColumn("normality_p", F.coalesce(chi2_p_value("jb", F.lit(2.0)), F.lit(0.0)))
+    spread = levene(rows.select(F.col(group), F.lit(0).alias("feature"), "value"), group).select(F.col("p_value").alias("variance_p"))
+    both = moments.crossJoin(F.broadcast(spread))  # one row each
+    normal, two = F.col("normality_p") > alpha, F.col("n_groups") == 2
+    test = F.when(normal & two, F.when(F.coalesce("variance_p", F.lit(1.0)) > 0.05, "student").otherwise("welch")).when(two, "mann_whitney").when(normal, "anova").otherwise("kruskal")
+    return both.select("n_groups", "normality_p", "variance_p", test.alias("test"))
+
+
 def rank_set_test(ranking: DataFrame, sets: DataFrame, permutations: int = 200, seed: int = 42) -> DataFrame:
     """Mean rank of each set against that of all genes, with a seeded permutation p of (c + 1) / (n + 1)."""
     ranked = ranking.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))

@@ -36,10 +36,13 @@ on_dna("seq_frequency", lambda x: x.select("doc_id", F.explode(sq.frequency("seq
 on_dna("seq_find", lambda x: x.select("doc_id", sq.find("seq", "ACG").alias("first"), sq.count_pattern("seq", "AC").alias("n"), F.size(sq.find_all("seq", "AA")).cast("long").alias("overlapping")), "SELECT doc_id, strpos(seq, 'ACG')::BIGINT - 1 AS first, ((length(seq) - length(replace(seq, 'AC', ''))) / 2)::BIGINT AS n, (SELECT count(*) FROM (SELECT unnest(range(1, 64)) AS i) WHERE substr(seq, i, 2) = 'AA') AS overlapping FROM dna")
 on_dna("seq_subsequence", lambda x: x.select("doc_id", sq.subsequence("seq", 10, 25).alias("part"), sq.generated_id("seq").alias("id")), "SELECT doc_id, substr(seq, 11, 15) AS part, 'seq_' || substr(md5(seq), 1, 8) AS id FROM dna")
 on_dna("seq_type", lambda x: x.select("doc_id", sq.sequence_type("seq").alias("kind"), sq.sequence_type(sq.transcribe("seq")).alias("kind_rna"), sq.is_valid("seq", "ACGT").alias("valid")), "SELECT doc_id, 'dna' AS kind, CASE WHEN seq LIKE '%T%' THEN 'rna' ELSE 'dna' END AS kind_rna, true AS valid FROM dna")
-on_dna("seq_melting_temperature", lambda x: x.select("doc_id", sq.melting_temperature("seq").alias("tm"), sq.melting_temperature(F.substring("seq", 1, 12)).alias("tm_short"), sq.melting_temperature("seq", "salt_adjusted").alias("tm_salt")), f"SELECT doc_id, {R(f'64.9 + 41.0 * ({_GC} - 16.4) / length(seq)')} AS tm, {R('''(2.0 * (12 - g) + 4.0 * g)::DOUBLE''')} AS tm_short, {R(f'81.5 + 16.6 * log10(0.05) + 41.0 * {_GC} / length(seq) - 675.0 / length(seq)')} AS tm_salt FROM (SELECT *, 12 - length(translate(substr(seq, 1, 12), 'GC', '')) AS g FROM dna)", "tm", "tm_short", "tm_salt")
+on_dna("seq_melting_temperature", lambda x: x.select("doc_id", sq.melting_temperature("seq").alias("tm"), sq.melting_temperature(F.substring("seq", 1, 12)).alias("tm_short"), sq.melting_temperature("seq", "salt_adjusted").alias("tm_salt")), f"SELECT doc_id, {R(f'64.9 + 41.0 * ({_GC} / length(seq) - 0.41) - 500.0 / length(seq)')} AS tm, {R('''(2.0 * (12 - g) + 4.0 * g)::DOUBLE''')} AS tm_short, {R(f'81.5 + 16.6 * log10(0.05) + 41.0 * {_GC} / length(seq) - 500.0 / length(seq)')} AS tm_salt FROM (SELECT *, 12 - length(translate(substr(seq, 1, 12), 'GC', '')) AS g FROM dna)", "tm", "tm_short", "tm_salt")
 on_dna("seq_restriction_sites", lambda x: x.select("doc_id", F.explode(sq.restriction_sites("seq", {"AluI": "AGCT", "HinfI": "GANTC"})).alias("s")).select("doc_id", "s.enzyme", F.col("s.start").cast("long").alias("start"), "s.text"), "SELECT doc_id, enzyme, i::BIGINT - 1 AS start, substr(seq, i, n) AS text FROM dna, (SELECT unnest(['AluI', 'HinfI']) AS enzyme, unnest(['AGCT', 'GA[ACGT]TC']) AS p, unnest([4, 5]) AS n), (SELECT unnest(range(1, 65)) AS i) WHERE length(substr(seq, i, n)) = n AND regexp_full_match(substr(seq, i, n), p)")
 on_dna("seq_homopolymers", lambda x: x.select("doc_id", F.explode(sq.homopolymers("seq", 3)).alias("run")).groupBy(F.substring("run", 1, 1).alias("base"), F.length("run").cast("long").alias("size")).agg(F.count("*").alias("n")), "SELECT base, len AS size, count(*) AS n FROM (SELECT doc_id, base, count(*) AS len FROM (SELECT doc_id, i, substr(seq, i, 1) AS base, i - row_number() OVER (PARTITION BY doc_id, substr(seq, i, 1) ORDER BY i) AS g FROM dna, (SELECT unnest(range(1, 65)) AS i)) GROUP BY doc_id, base, g HAVING count(*) >= 3) GROUP BY 1, 2")
-on_dna("seq_molecular_weight", lambda x: x.select("doc_id", sq.molecular_weight("seq", "dna").alias("dna"), sq.molecular_weight(sq.transcribe("seq"), "rna").alias("rna")), "SELECT doc_id, " + R(" + ".join(f"(length(seq) - length(replace(seq, '{b}', ''))) * {m}" for b, m in sq.NUCLEOTIDE_MASS["dna"].items()) + " - 61.96") + " AS dna, " + R(" + ".join(f"(length(seq) - length(replace(seq, '{b.replace('U', 'T')}', ''))) * {m}" for b, m in sq.NUCLEOTIDE_MASS["rna"].items()) + " - 61.96") + " AS rna FROM dna", "dna", "rna")
+_N = "(length(seq) - length(replace(seq, '{}', '')))"
+on_dna("seq_molecular_weight", lambda x: x.select("doc_id", sq.molecular_weight("seq", "dna").alias("dna"), sq.molecular_weight(sq.transcribe("seq"), "rna").alias("rna")), "SELECT doc_id, " + R(" + ".join(f"{_N.format(b)} * {m}" for b, m in (("A", 313.21), ("T", 304.19), ("G", 329.21), ("C", 289.18))) + " - 61.97 * (length(seq) - 1)") + " AS dna, " + R(" + ".join(f"{_N.format(b)} * {m}" for b, m in (("A", 329.21), ("T", 306.17), ("G", 345.21), ("C", 305.18))) + " - 61.97 * (length(seq) - 1)") + " AS rna FROM dna", "dna", "rna")
+_NN = "(VALUES ('AA', -7.9, -22.2), ('TT', -7.9, -22.2), ('AT', -7.2, -20.4), ('TA', -7.2, -21.3), ('CA', -8.5, -22.7), ('TG', -8.5, -22.7), ('GT', -8.4, -22.4), ('AC', -8.4, -22.4), ('CT', -7.8, -21.0), ('AG', -7.8, -21.0), ('GA', -8.2, -22.2), ('TC', -8.2, -22.2), ('CG', -10.6, -27.2), ('GC', -9.8, -24.4), ('GG', -8.0, -19.9), ('CC', -8.0, -19.9)) AS nn(pair, h, s)"
+on_dna("seq_melting_nearest_neighbour", lambda x: x.select("doc_id", sq.melting_temperature("seq", "nearest_neighbor").alias("tm")), f"SELECT doc_id, {R('1000 * (0.2 + sum(h)) / (-5.7 + sum(s) + 0.368 * 63 * ln(0.05) + 1.987 * ln(0.25e-6 / 4)) - 273.15')} AS tm FROM dna, (SELECT unnest(range(1, 64)) AS i), {_NN} WHERE pair = substr(seq, i, 2) GROUP BY doc_id", "tm")
 _PROTEIN = query(DNA, _CODE, "prot AS (" + _TRANSLATED.format(s="seq", f=0) + ")", sql="{}")
 
 
@@ -55,7 +58,27 @@ on_protein("protein_domains", lambda: [F.explode(sq.protein_domains("protein")).
 QUERIES["protein_domains"] = (QUERIES["protein_domains"][0], None)
 on_protein("protein_hydrophobicity_profile", lambda: [F.posexplode(sq.hydrophobicity_profile("protein", 9)).alias("pos", "value")], "")
 QUERIES["protein_hydrophobicity_profile"] = (QUERIES["protein_hydrophobicity_profile"][0], None)
-on_dna("seq_promoter_elements", lambda x: x.select("doc_id", F.explode(sq.promoter_elements("seq")).alias("m")).select("doc_id", "m.motif", F.col("m.start").cast("long").alias("start")), None)
+_MOTIFS = "(VALUES ('TATA_box', 'TATA[AT]A[AT]', 7), ('CAAT_box', 'GG[TC]CAATCT', 9), ('GC_box', 'GGGCGG', 6), ('initiator', '[CT][CT]A[ACGT]T[CT][CT]', 7), ('BRE', '[GC][GC][GA]CGCC', 7), ('DPE', '[AG]G[AT][CT][GT]', 5)) AS motifs(motif, p, n)"
+on_dna("seq_promoter_elements", lambda x: x.select("doc_id", F.explode(sq.promoter_elements("seq")).alias("m")).select("doc_id", "m.motif", F.col("m.start").cast("long").alias("start")), f"SELECT doc_id, motif, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * n)::BIGINT AS start FROM (SELECT doc_id, motif, n, regexp_split_to_array(seq, p) AS parts, unnest(range(1, len(regexp_extract_all(seq, p)) + 1)) AS k FROM dna, {_MOTIFS})")
+_LEVELS = {"helix": "A1.42 L1.21 E1.51 M1.45 Q1.11 K1.16 R0.98 H1.00 V1.06 I1.08 Y0.69 C0.70 W1.08 F1.13 T0.83 G0.57 N0.67 P0.57 S0.77 D1.01", "sheet": "V1.70 I1.60 Y1.47 F1.38 W1.37 L1.30 T1.19 C1.19 M1.05 A0.83 R0.93 G0.75 D0.54 K0.74 S0.75 H0.87 N0.89 Q1.10 P0.55 E0.37"}
+_SHARES = {n: "(" + " + ".join(f"(length(protein) - length(replace(protein, '{x[0]}', ''))) * {x[1:]}" for x in v.split()) + " + length(translate(protein, 'ALEMQKRHVIYCWFTGNPSD', ''))) / length(protein)" for n, v in _LEVELS.items()}
+on_protein("protein_structure_propensity", lambda: [F.col("s.helix").alias("helix"), F.col("s.sheet").alias("sheet"), F.col("s.coil").alias("coil")], "SELECT doc_id, " + ", ".join(f"{R(e)} AS {n}" for n, e in {**_SHARES, "coil": f"3.0 - {_SHARES['helix']} - {_SHARES['sheet']}"}.items()) + " FROM prot", "helix", "sheet", "coil")
+QUERIES["protein_structure_propensity"] = (lambda s, d: rounded(dna(s, d).select("doc_id", sq.structure_propensity(sq.translate("seq")).alias("s")).select("doc_id", "s.helix", "s.sheet", "s.coil"), "helix", "sheet", "coil"), QUERIES["protein_structure_propensity"][1])
+add("quality_by_position", lambda s, d: ops.quality_by_position(table(s, d, "benchmark").select(F.md5("text").alias("quality"))), "SELECT i - 1 AS pos, count(*) AS n, " + R("avg(ascii(substr(q, i, 1)) - 33)") + " AS mean FROM (SELECT md5(text) AS q FROM benchmark), (SELECT unnest(range(1, 33)) AS i) GROUP BY 1", "mean")
+add("adapter_trim", lambda s, d: dna(s, d).select("doc_id", sq.trim_adapter("seq", "GTCA", 2).alias("trimmed")), query(DNA, sql="SELECT doc_id, CASE WHEN strpos(seq, 'GTCA') > 0 THEN substr(seq, 1, strpos(seq, 'GTCA') - 1) WHEN seq LIKE '%GTC' THEN substr(seq, 1, 61) WHEN seq LIKE '%GT' THEN substr(seq, 1, 62) ELSE seq END AS trimmed FROM dna"))
+add("error_profile", lambda s, d: ops.error_profile(dna(s, d).select(F.explode(F.arrays_zip(F.split(F.substring("seq", 1, 32), "").alias("ref"), F.split(F.substring("seq", 33, 32), "").alias("base"))).alias("x")).select("x.ref", "x.base").where("ref <> ''")), query(DNA, sql=f"SELECT ref, base, count(*) AS n, {R('count(*) / sum(count(*)) OVER (PARTITION BY ref)')} AS rate FROM (SELECT substr(seq, i, 1) AS ref, substr(seq, i + 32, 1) AS base FROM dna, (SELECT unnest(range(1, 33)) AS i)) GROUP BY ref, base"), "rate")
+add("suffix_array", lambda s, d: ops.suffix_array(dna(s, d), "doc_id"), query(DNA, sql="SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY substr(seq || '$', i)) - 1 AS rank, i - 1 AS pos, substr(seq || '$', CASE WHEN i = 1 THEN 65 ELSE i - 1 END, 1) AS bwt FROM dna, (SELECT unnest(range(1, 66)) AS i)"))
+add("exact_search", lambda s, d: ops.search_all(dna(s, d), table(s, d, "nation").select(F.substring(F.translate(F.md5("n_name"), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 5).alias("pattern")).distinct(), "doc_id"), query(DNA, "pats AS (SELECT DISTINCT substr(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5) AS pattern FROM nation)", sql="SELECT doc_id, pattern, i - 1 AS pos FROM dna, pats, (SELECT unnest(range(1, 65)) AS i) WHERE substr(seq, i, 5) = pattern"))
+add("longest_repeat", lambda s, d: ops.longest_repeat(dna(s, d), "doc_id").select("doc_id", "length"), query(DNA, sql="SELECT doc_id, max(n)::BIGINT AS length FROM (SELECT doc_id, n FROM dna, (SELECT unnest(range(1, 64)) AS i), (SELECT unnest(range(1, 41)) AS n) WHERE i + n <= 65 AND strpos(substr(seq, i + 1), substr(seq, i, n)) > 0) GROUP BY doc_id"))
+add("assembly_unitigs", lambda s, d: ops.unitigs(dna(s, d), "doc_id", 9), None)
+add("assembly_overlaps", lambda s, d: ops.overlap_edges(dna(s, d), "doc_id", 6), query(DNA, sql="SELECT a.doc_id AS a, b.doc_id AS b, max(65 - i)::BIGINT AS overlap FROM (SELECT doc_id, seq, i FROM dna, (SELECT unnest(range(2, 60)) AS i)) a JOIN dna b ON substr(a.seq, a.i) = substr(b.seq, 1, 65 - a.i) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2"))
+
+
+
+def _contigs(spark, sf_dir):
+    hexa = F.concat(F.md5("text"), F.md5(F.reverse("text")))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("contig"), F.translate(hexa, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
 
 _KMERS = "kmers AS (SELECT doc_id, lang, i - 1 AS pos, substr(seq, i, 4) AS raw, least(substr(seq, i, 4), reverse(translate(substr(seq, i, 4), 'ACGT', 'TGCA'))) AS kmer FROM dna, (SELECT unnest(range(1, 62)) AS i))"
 on_dna("kmer_counts", lambda x: ops.kmer_counts(x, "doc_id", 4), None)
@@ -80,13 +103,13 @@ add("contig_statistics", lambda s, d: ops.contig_statistics(dna(s, d), ["lang"])
 add("consensus_sequence", lambda s, d: ops.consensus(dna(s, d), ["lang"]), query(DNA, "b AS (SELECT lang, i, substr(seq, i, 1) AS base, count(*) AS n FROM dna, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY lang, i ORDER BY n DESC, base) AS k FROM b)", sql="SELECT lang, string_agg(base, '' ORDER BY i) AS consensus FROM r WHERE k = 1 GROUP BY lang"))
 add("minimizers", lambda s, d: ops.minimizers(dna(s, d), "doc_id", 4, 5), query(DNA, _KMERS, sql="SELECT DISTINCT doc_id, m.pos AS pos, m.kmer AS kmer FROM (SELECT doc_id, min({'kmer': kmer, 'pos': pos}) OVER w AS m, count(*) OVER w AS c FROM kmers WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE c = 5"), ints=("pos",))
 add("seed_neighbours", lambda s, d: dna(s, d).select("doc_id", F.explode(ops.mismatch_neighbours(F.substring("seq", 1, 4))).alias("seed")), query(DNA, sql="SELECT DISTINCT doc_id, CASE WHEN i = 0 THEN substr(seq, 1, 4) ELSE substr(seq, 1, i - 1) || c || substr(seq, i + 1, 4 - i) END AS seed FROM dna, (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS c)"))
-add("seed_diagonals", lambda s, d: ops.seed_hits(dna(s, d).withColumnRenamed("doc_id", "read_id"), dna(s, d).where("doc_id < 5").select(F.col("doc_id").alias("contig"), "seq"), 8).select("read_id", "contig", "diagonal", "n"), query(DNA, "k AS (SELECT doc_id, i, substr(seq, i, 8) AS k FROM dna, (SELECT unnest(range(1, 58)) AS i)), h AS (SELECT a.doc_id AS read_id, b.doc_id AS contig, b.i - a.i AS diagonal, count(*) AS n FROM k a JOIN k b ON a.k = b.k WHERE b.doc_id < 5 GROUP BY 1, 2, 3)", sql="SELECT read_id, contig, diagonal, n FROM (SELECT *, row_number() OVER (PARTITION BY read_id, contig ORDER BY n DESC, diagonal) AS r FROM h) WHERE r = 1"), ints=("diagonal",))
+add("seed_diagonals", lambda s, d: ops.seed_hits(dna(s, d).withColumnRenamed("doc_id", "read_id"), _contigs(s, d), 8).select("read_id", "contig", "diagonal", "n"), query(DNA, "bench AS (SELECT item_id, translate(md5(text) || md5(reverse(text)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM benchmark), k AS (SELECT doc_id, i, substr(seq, i, 8) AS k FROM dna, (SELECT unnest(range(1, 58)) AS i)), c AS (SELECT item_id, i, substr(seq, i, 8) AS k FROM bench, (SELECT unnest(range(1, 58)) AS i)), h AS (SELECT a.doc_id AS read_id, b.item_id AS contig, b.i - a.i AS diagonal, count(*) AS n FROM k a JOIN c b ON a.k = b.k GROUP BY 1, 2, 3)", sql="SELECT read_id, contig, diagonal, n FROM (SELECT *, row_number() OVER (PARTITION BY read_id, contig ORDER BY n DESC, diagonal) AS r FROM h) WHERE r = 1"), ints=("diagonal",))
 on_dna("orf_find", lambda x: ops.find_orfs(x, "doc_id", least=15, starts=("ATG", "GTG")), None)
 on_dna("tandem_repeats", lambda x: ops.find_tandem_repeats(x, "doc_id", least=6, copies=3), None)
 on_dna("palindromes", lambda x: ops.find_palindromes(x, "doc_id", shortest=5), None)
 on_dna("stem_loops", lambda x: ops.find_stem_loops(x, "doc_id", stem=6), None)
-on_dna("align_global", lambda x: ops.align_pairs(x.select("doc_id", F.substring("seq", 1, 24).alias("a"), F.substring("seq", 20, 24).alias("b")), "a", "b").select("doc_id", "score", "identity"), None, "identity")
-on_dna("align_local", lambda x: ops.align_pairs(x.select("doc_id", F.substring("seq", 1, 24).alias("a"), F.substring("seq", 20, 24).alias("b")), "a", "b", local=True).select("doc_id", "score"), None)
+on_dna("align_global", lambda x: ops.align_pairs(x.select("doc_id", F.col("seq").alias("a"), sq.reverse_complement("seq").alias("b")), "a", "b").select("doc_id", "score", "identity"), None, "identity")
+on_dna("align_local", lambda x: ops.align_pairs(x.select("doc_id", F.col("seq").alias("a"), sq.reverse_complement("seq").alias("b")), "a", "b", local=True).select("doc_id", "score"), None)
 
 _CIGAR = "(1 + l_linenumber) || 'S' || (l_orderkey % 40 + 5) || 'M' || (l_partkey % 3 + 1) || 'I' || (l_suppkey % 9 + 1) || 'M' || (l_suppkey % 4 + 1) || 'D' || '7M'"
 
@@ -97,6 +120,7 @@ def _cigars(spark, sf_dir):
 
 
 add("cigar_lengths", lambda s, d: _cigars(s, d).groupBy("cigar").agg(F.count("*").alias("n")).select("cigar", "n", sq.cigar_length("cigar", "MDN=X").alias("ref_length"), sq.cigar_length("cigar", "MIS=X").alias("query_length"), sq.cigar_simplify(F.concat("cigar", F.lit("3M"))).alias("simple")), f"SELECT cigar, count(*) AS n, any_value(l_orderkey % 40 + 5 + l_suppkey % 9 + 1 + l_suppkey % 4 + 1 + 7)::BIGINT AS ref_length, any_value(1 + l_linenumber + l_orderkey % 40 + 5 + l_partkey % 3 + 1 + l_suppkey % 9 + 1 + 7)::BIGINT AS query_length, regexp_replace(cigar, '7M$', '10M') AS simple FROM (SELECT *, {_CIGAR} AS cigar FROM lineitem) GROUP BY cigar")
+add("aligned_pairs", lambda s, d: _cigars(s, d).select("cigar", F.explode(sq.aligned_pairs(F.lit(100), "cigar")).alias("p")).groupBy("cigar").agg(F.count("*").alias("n"), F.min("p.query").cast("long").alias("q0"), F.max("p.query").cast("long").alias("q1"), F.min("p.reference").cast("long").alias("r0"), F.max("p.reference").cast("long").alias("r1")), f"SELECT cigar, (count(*) * any_value(l_orderkey % 40 + 5 + l_suppkey % 9 + 1 + 7))::BIGINT AS n, any_value(1 + l_linenumber)::BIGINT AS q0, any_value(l_linenumber + l_orderkey % 40 + 5 + l_partkey % 3 + 1 + l_suppkey % 9 + 1 + 7)::BIGINT AS q1, 100::BIGINT AS r0, any_value(99 + l_orderkey % 40 + 5 + l_suppkey % 9 + 1 + l_suppkey % 4 + 1 + 7)::BIGINT AS r1 FROM (SELECT *, {_CIGAR} AS cigar FROM lineitem) GROUP BY cigar")
 add("alignment_flags", lambda s, d: table(s, d, "lineitem").agg(*(F.count_if(sq.flag(F.col("l_orderkey") % 4096, n)).alias(n) for n in sq.FLAGS)), "SELECT " + ", ".join(f"count(*) FILTER (WHERE (l_orderkey % 4096) & {b} <> 0) AS {n}" for n, b in sq.FLAGS.items()) + " FROM lineitem")
 add("phred_quality", lambda s, d: table(s, d, "benchmark").select("item_id", F.substring(F.md5("text"), 1, 20).alias("q")).select("item_id", sq.mean_phred("q").alias("mean"), sq.trim_bounds("q", 60)["first"].cast("long").alias("first"), sq.trim_bounds("q", 60)["last"].cast("long").alias("last")), "SELECT item_id, " + R("avg(ascii(substr(q, i, 1)) - 33)") + " AS mean, coalesce(min(i) FILTER (WHERE ascii(substr(q, i, 1)) - 33 >= 60), 1) AS first, coalesce(max(i) FILTER (WHERE ascii(substr(q, i, 1)) - 33 >= 60), 20) AS last FROM (SELECT item_id, substr(md5(text), 1, 20) AS q FROM benchmark), (SELECT unnest(range(1, 21)) AS i) GROUP BY item_id", "mean")
 _VAR = "v AS (SELECT o_orderkey, substr('ACGT', (o_orderkey % 4 + 1)::INT, 1) AS ref, substr('ACGT', (o_custkey % 4 + 1)::INT, 1) AS alt FROM orders)"

@@ -95,6 +95,8 @@ _ORA = "asked AS (SELECT l_partkey AS gene FROM lineitem GROUP BY 1 HAVING sum(l
 add("ora_contingency", lambda s, d: st.over_representation(_asked(s, d), _ranking(s, d), _sets(s, d)).select("pathway", "set_size", "overlap", "universe_size", "query_size", "odds_ratio"), query(_ORA, sql=f"SELECT pathway, set_size, overlap, u AS universe_size, k AS query_size, {R('CASE WHEN (k - overlap) * (set_size - overlap) > 0 THEN overlap * (u - k - (set_size - overlap)) / ((k - overlap) * (set_size - overlap)) END')} AS odds_ratio FROM (SELECT pathway, count(*) AS set_size, count(*) FILTER (WHERE gene IN (SELECT gene FROM q)) AS overlap, (SELECT count(*) FROM uni) AS u, (SELECT count(*) FROM q) AS k FROM sets GROUP BY pathway HAVING count(*) >= 2)"), "odds_ratio")
 add("ora_p_values", lambda s, d: st.over_representation(_asked(s, d), _ranking(s, d), _sets(s, d)).select("pathway", "p_value", "adjusted"), None, "p_value", "adjusted")
 add("gsea_prerank", lambda s, d: st.prerank(_ranking(s, d), _sets(s, d)).select("pathway", "size", "es"), query("sets AS (SELECT DISTINCT p_brand AS pathway, p_partkey AS gene FROM part)", "r AS (SELECT p_partkey AS gene, p_retailprice - 1400 AS score, row_number() OVER (ORDER BY p_retailprice - 1400 DESC, p_partkey) AS k, count(*) OVER () AS n FROM part)", "h AS (SELECT pathway, r.k, n, abs(score) AS w, row_number() OVER (PARTITION BY pathway ORDER BY r.k) AS i, count(*) OVER (PARTITION BY pathway) AS size, sum(abs(score)) OVER (PARTITION BY pathway ORDER BY r.k) AS cum, sum(abs(score)) OVER (PARTITION BY pathway) AS tot FROM sets JOIN r USING (gene))", "e AS (SELECT pathway, any_value(size) AS size, max(cum / tot - (k - i) / (n - size)) AS high, min((cum - w) / tot - (k - i) / (n - size)) AS low FROM h GROUP BY pathway)", sql=f"SELECT pathway, size, {R('CASE WHEN high >= -low THEN high ELSE low END')} AS es FROM e"), "es")
+add("gsea_significance", lambda s, d: st.prerank_significance(_ranking(s, d), _sets(s, d), min_size=2).select("pathway", "size", "es", "p_value", "nes", "fdr"), None, "es", "p_value", "nes", "fdr")
+add("test_selection", lambda s, d: st.select_test(expression(s, d).where("grp IN (0, 1)"), "grp").select("n_groups", "test"), None)
 add("rank_set_test", lambda s, d: st.rank_set_test(_ranking(s, d), _sets(s, d)).select("pathway", "mean_rank", "size", "p_value"), None, "mean_rank", "p_value")
 _PS = "joined AS (SELECT l_suppkey AS sample, p_brand AS pathway, value FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey)"
 for _name in ("mean", "median"):
