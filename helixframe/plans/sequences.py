@@ -30,7 +30,8 @@ for _f in range(3):
     on_dna(f"seq_translate_frame{_f}", lambda x, f=_f: x.select("doc_id", sq.translate("seq", f).alias("protein")), None)
     QUERIES[f"seq_translate_frame{_f}"] = (QUERIES[f"seq_translate_frame{_f}"][0], query(DNA, _CODE, sql=_TRANSLATED.format(s="seq", f=_f)))
 add("seq_translate_to_stop", lambda s, d: dna(s, d).select("doc_id", sq.translate("seq", 0, True).alias("protein")), query(DNA, _CODE, sql=f"SELECT doc_id, split_part(protein, '*', 1) AS protein FROM ({_TRANSLATED.format(s='seq', f=0)})"))
-add("seq_six_frames", lambda s, d: dna(s, d).select("doc_id", F.explode(sq.six_frames("seq")).alias("frame", "protein")).where("frame IN ('-1', '+2')"), query(DNA, _CODE, sql=f"SELECT doc_id, '+2' AS frame, protein FROM ({_TRANSLATED.format(s='seq', f=1)}) UNION ALL SELECT doc_id, '-1', protein FROM ({_TRANSLATED.format(s=_RC, f=0)})"))
+_FRAMES = " UNION ALL ".join(f"SELECT doc_id, '{'+-'[_m]}{_f + 1}' AS frame, protein FROM ({_TRANSLATED.format(s=('seq', _RC)[_m], f=_f)})" for _m in range(2) for _f in range(3))
+add("seq_six_frames", lambda s, d: dna(s, d).select("doc_id", F.explode(sq.six_frames("seq")).alias("frame", "protein")), query(DNA, _CODE, sql=_FRAMES))
 on_dna("seq_composition", lambda x: x.groupBy("lang").agg(*(F.sum(sq.count_of("seq", b)).alias(b.lower()) for b in "ACGT")), "SELECT lang, " + ", ".join(f"sum(length(seq) - length(replace(seq, '{b}', '')))::BIGINT AS {b.lower()}" for b in "ACGT") + " FROM dna GROUP BY lang")
 on_dna("seq_frequency", lambda x: x.select("doc_id", F.explode(sq.frequency("seq", "ACGT")).alias("base", "share")), "SELECT doc_id, base, " + R("(length(seq) - length(replace(seq, base, ''))) / length(seq)") + " AS share FROM dna, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)", "share")
 on_dna("seq_find", lambda x: x.select("doc_id", sq.find("seq", "ACG").alias("first"), sq.count_pattern("seq", "AC").alias("n"), F.size(sq.find_all("seq", "AA")).cast("long").alias("overlapping")), "SELECT doc_id, strpos(seq, 'ACG')::BIGINT - 1 AS first, ((length(seq) - length(replace(seq, 'AC', ''))) / 2)::BIGINT AS n, (SELECT count(*) FROM (SELECT unnest(range(1, 64)) AS i) WHERE substr(seq, i, 2) = 'AA') AS overlapping FROM dna")
