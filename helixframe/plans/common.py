@@ -63,3 +63,21 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DNA = "dna AS (SELECT doc_id, lang, translate(md5(text) || md5(reverse(text)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM documents)"
+
+
+def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long DNA: the Latin letters of each whole text as bases (doc_id, lang, seq)."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+
+
+TEXT_DNA = "text_dna AS (SELECT doc_id, lang, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)"
+
+
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins: the Latin letters of each whole text, with a few known stretches behind them by language (doc_id, seq)."""
+    tail = F.when(F.col("lang") == "en", "MEEPQDRYLAIV").when(F.col("lang") == "de", "GAGGVRRRK").when(F.col("lang") == "fr", "GHSAGRNPXKG").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), tail).alias("seq"))
+
+
+PROTEINS = "proteins AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) || CASE lang WHEN 'en' THEN 'MEEPQDRYLAIV' WHEN 'de' THEN 'GAGGVRRRK' WHEN 'fr' THEN 'GHSAGRNPXKG' ELSE '' END AS seq FROM documents)"
