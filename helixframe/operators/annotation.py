@@ -179,3 +179,55 @@ def marker_completeness(df: DataFrame, group: list[str], seq: str = "seq", marke
 
     single, duplicated, part = how_many(lambda n, p: n == 1), how_many(lambda n, p: n > 1), how_many(lambda n, p: (n == 0) & p)
     return counts.select(*group, (single + duplicated).alias("complete"), single.alias("single"), duplicated.alias("duplicated"), part.alias("fragmented"), (F.lit(len(markers)) - single - duplicated - part).alias("missing"), F.lit(len(markers)).cast("long").alias("total"))
+
+
+def cluster_similarity(members: DataFrame, similar: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(cluster1, cluster2, matched, similarity) of given pairs of clusters, from members (cluster, gene) and gene similarities (gene1, gene2, score).
+
+    matched: genes of the first cluster with a gene of the second more similar than the threshold, in either order of the two genes (the order of
+    the table first, the other only where that has no score or 0). The similarity is matched of both sizes less matched; 0 for empty clusters.
+    """
+    genes = members.where("gene IS NOT NULL").select("cluster", "gene").distinct()
+    sizes = genes.groupBy("cluster").agg(F.count("*").alias("n"))
+    turned = similar.select(F.col("gene2").alias("gene1"), F.col("gene1").alias("gene2"), F.lit(0.0).alias("first"), F.col("score").alias("second"))
+    scores = similar.select("gene1", "gene2", F.col("score").alias("first"), F.lit(0.0).alias("second")).unionByName(turned).groupBy("gene1", "gene2").agg(F.max("first").alias("first"), F.max("second").alias("second"))
+    close = scores.where(F.when(F.col("first") != 0, F.col("first")).otherwise(F.col("second")) > threshold).select("gene1", "gene2")
+    one = pairs.select("cluster1", "cluster2").distinct().join(genes.select(F.col("cluster").alias("cluster1"), F.col("gene").alias("gene1")), "cluster1").join(close, "gene1")
+    found = one.join(genes.select(F.col("cluster").alias("cluster2"), F.col("gene").alias("gene2")), ["cluster2", "gene2"], "left_semi").groupBy("cluster1", "cluster2").agg(F.count_distinct("gene1").alias("matched"))
+    out = pairs.select("cluster1", "cluster2").distinct().join(found, ["cluster1", "cluster2"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
+    for side in ("1", "2"):
+        out = out.join(sizes.select(F.col("cluster").alias(f"cluster{side}"), F.col("n").alias(f"n{side}")), f"cluster{side}", "left")
+    union = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) - F.col("matched")
+    return out.select("cluster1", "cluster2", "matched", F.when(union > 0, F.col("matched") / union).otherwise(0.0).alias("similarity"))
+
+
+def fatty_acids(long: DataFrame) -> DataFrame:
+    """(sample, saturated, monounsaturated, polyunsaturated): values of lipids named like PC(16:0/18:2), added once for each chain by its double bonds."""
+    bonds = F.transform(F.regexp_extract_all("feature", F.lit(r"[0-9]+:([0-9]+)"), F.lit(1)), lambda b: b.cast("int"))
+    chains = long.select("sample", "value", bonds.alias("b"))
+
+    def total(condition) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter("b", condition)) * F.col("value")), F.lit(0.0))
+
+    return chains.groupBy("sample").agg(total(lambda b: b == 0).alias("saturated"), total(lambda b: b == 1).alias("monounsaturated"), total(lambda b: b > 1).alias("polyunsaturated"))
+
+
+def methylation_age(long: DataFrame, clock: DataFrame) -> DataFrame:
+    """(sample, age): 21 and 50 times the hyperbolic tangent of values times the clock's weights (feature, weight), scaled to length 1; from 0 to 110.
+
+    Probes that the clock lacks or a sample misses count nothing.
+    """
+    length = clock.agg((F.sqrt(F.sum(F.pow("weight", F.lit(2.0)))) + 1e-9).alias("_length"))  # one row
+    scores = long.join(clock, "feature").groupBy("sample").agg(F.sum(F.col("value") * F.col("weight")).alias("_s"))
+    return scores.crossJoin(F.broadcast(length)).select("sample", F.greatest(F.lit(0.0), F.least(F.lit(110.0), 21.0 + 50.0 * F.tanh(F.col("_s") / F.col("_length")))).alias("age"))
+
+
+def bibtex(articles: DataFrame) -> DataFrame:
+    """(pmid, entry) from articles (pmid, title, authors as an array of (last_name, first_name), journal, year, doi); no year: n.d., no DOI: no such line."""
+    names = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<struct<last_name:string,first_name:string>>")), lambda a: F.concat(a["last_name"], F.lit(", "), a["first_name"])), " and ")
+
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"\n  {name} = {{"), value, F.lit("},"))
+
+    fields = [line("title", F.coalesce("title", F.lit(""))), line("author", names), line("journal", F.coalesce("journal", F.lit(""))), line("year", F.coalesce(F.col("year").cast("string"), F.lit("n.d."))), line("pmid", F.col("pmid").cast("string"))]
+    return articles.select("pmid", F.concat(F.lit("@article{"), F.col("pmid").cast("string"), F.lit(","), *fields, F.coalesce(line("doi", F.col("doi")), F.lit("")), F.lit("\n}")).alias("entry"))

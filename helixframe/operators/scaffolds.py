@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as sq
-from helixframe.operators import graph
+from helixframe.operators import graph, sequences
 
 
 def tips(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
@@ -77,3 +77,15 @@ def polished(drafts: DataFrame, reads: DataFrame, key: str, read: str, k: int =
     changes = corrections(drafts, reads, key, read, k, least, share, seq).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("_m"))
     bases = F.transform(F.split(F.upper(seq), ""), lambda b, i: F.coalesce(F.try_element_at(F.col("_m"), i.cast("long")), b))
     return drafts.select(key, seq).join(changes, key, "left").select(key, F.when(F.col("_m").isNull(), F.upper(seq)).otherwise(F.array_join(bases, "")).alias(seq), F.coalesce(F.size("_m"), F.lit(0)).cast("long").alias("n_corrections"))
+
+
+def rank_assemblies(contigs: DataFrame, group: str, seq: str = "seq", n50: float = 0.3, total: float = 0.2, number: float = -0.1, unknown: float = -0.1) -> DataFrame:
+    """(group, n50, total, n, n_percent, score), the score weighing N50 in millions, length in billions, contigs in thousands and the percentage of N.
+
+    Contigs of null sequences do not count. Sort by falling score for the ranking.
+    """
+    sized = contigs.where(F.col(seq).isNotNull()).withColumn("length", F.length(seq).cast("long"))
+    gaps = sized.groupBy(group).agg((F.sum(sq.count_of(F.upper(seq), "N")) * 100 / F.sum("length")).alias("_p"))
+    x = sequences.nx(sized, [group], "length", (50,)).select(group, "n50", "total", "n").join(gaps, group).withColumn("n_percent", F.coalesce("_p", F.lit(0.0)))
+    score = F.col("n50") * n50 / 1e6 + F.col("total") * total / 1e9 + F.col("n") * number / 1e3 + F.col("n_percent") * unknown
+    return x.select(group, "n50", "total", "n", "n_percent", score.alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import annotation as an
 from helixframe.operators import scaffolds as sc
-from helixframe.plans.common import DNA, PROTEINS, TEXT_DNA, R, dna, proteins, query, rounded, table, text_dna
+from helixframe.plans.common import DNA, EXPRESSION, PROTEINS, TEXT_DNA, R, dna, expression, proteins, query, rounded, table, text_dna
 
 QUERIES: dict = {}
 
@@ -95,3 +95,41 @@ def _drafts(spark, sf_dir):
 
 add("polish_corrections", lambda s, d: sc.corrections(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, sql="SELECT min(doc_id) AS draft, 20::BIGINT AS pos, translate(substr(seq, 21, 1), 'ACGT', 'TGCA') AS old, substr(seq, 21, 1) AS new, 10 * count(*) AS weight FROM dna WHERE seq IS NOT NULL GROUP BY seq"))
 add("polish_drafts", lambda s, d: sc.polished(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, sql="SELECT min(doc_id) AS draft, seq, 1::BIGINT AS n_corrections FROM dna WHERE seq IS NOT NULL GROUP BY seq"))
+
+
+def _orders_of_parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), F.col("l_partkey").alias("gene"))
+
+
+def _alike(spark, sf_dir):
+    """Each part is alike itself and the part before it."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("gene1"), F.col("p_partkey").alias("gene2"), F.lit(1.0).alias("score")).union(p.select("p_partkey", F.col("p_partkey") - 1, (F.col("p_partkey") % 10) / 10))
+
+
+def _next_orders(spark, sf_dir):
+    return _orders_of_parts(spark, sf_dir).select(F.col("cluster").alias("cluster1"), (F.col("cluster") + 1).alias("cluster2")).distinct()
+
+
+_MEMBERS = "g AS (SELECT DISTINCT l_orderkey AS cluster, l_partkey AS gene FROM lineitem), z AS (SELECT cluster, count(*) AS n FROM g GROUP BY 1), p AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM lineitem), h AS (SELECT p.a, p.b, count(DISTINCT x.gene) AS matched FROM p JOIN g x ON x.cluster = p.a JOIN g y ON y.cluster = p.b WHERE (x.gene = y.gene AND EXISTS (SELECT 1 FROM part WHERE p_partkey = x.gene)) OR (y.gene = x.gene - 1 AND x.gene % 10 > 5 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = x.gene)) OR (x.gene = y.gene - 1 AND y.gene % 10 > 5 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = y.gene)) GROUP BY 1, 2)"
+add("cluster_similarity", lambda s, d: an.cluster_similarity(_orders_of_parts(s, d), _alike(s, d), _next_orders(s, d)), query(_MEMBERS, sql=f"SELECT p.a AS cluster1, p.b AS cluster2, coalesce(matched, 0)::BIGINT AS matched, {R('coalesce(matched, 0) / (x.n + coalesce(y.n, 0) - coalesce(matched, 0))')} AS similarity FROM p LEFT JOIN h USING (a, b) JOIN z x ON x.cluster = p.a LEFT JOIN z y ON y.cluster = p.b"), "similarity")
+
+
+def _lipids(spark, sf_dir):
+    name = F.concat(F.lit("PC(16:"), F.col("o_orderkey") % 3, F.lit("/18:"), F.col("o_orderkey") % 4, F.lit(")"))
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("sample"), name.alias("feature"), (F.col("o_orderkey") % 100).cast("double").alias("value"))
+
+
+_CHAIN = "sum(o_orderkey % 100 * (CASE WHEN o_orderkey % 3 {c} THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 4 {c} THEN 1 ELSE 0 END))::DOUBLE"
+add("fatty_acids", lambda s, d: an.fatty_acids(_lipids(s, d)), f"SELECT o_custkey % 50 AS sample, {_CHAIN.format(c='= 0')} AS saturated, {_CHAIN.format(c='= 1')} AS monounsaturated, {_CHAIN.format(c='> 1')} AS polyunsaturated FROM orders GROUP BY 1")
+add("methylation_age", lambda s, d: (lambda x: an.methylation_age(x, x.select("feature").distinct().withColumn("weight", (F.col("feature") % 5 - 2).cast("double"))))(expression(s, d)), query(EXPRESSION, "c AS (SELECT DISTINCT feature, (feature % 5 - 2)::DOUBLE AS weight FROM expression), t AS (SELECT sample, sum(value * weight) / (SELECT sqrt(sum(weight * weight)) + 1e-9 FROM c) AS s FROM expression JOIN c USING (feature) GROUP BY sample)", sql=f"SELECT sample, {R('greatest(0, least(110, 21 + 50 * (exp(2 * s) - 1) / (exp(2 * s) + 1)))')} AS age FROM t"), "age")
+
+
+def _articles(spark, sf_dir):
+    person = F.array(F.struct(F.col("source").alias("last_name"), F.col("lang").alias("first_name")), F.struct(F.lit("Roe").alias("last_name"), F.lit("R").alias("first_name")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pmid"), F.md5("text").alias("title"), person.alias("authors"), F.col("source").alias("journal"), F.when(F.col("doc_id") % 3 > 0, 2000 + F.col("doc_id") % 20).alias("year"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1/"), "doc_id")).alias("doi"))
+
+
+add("bibtex_entries", lambda s, d: an.bibtex(_articles(s, d)), "SELECT doc_id AS pmid, concat('@article{', doc_id, ',', chr(10), '  title = {', md5(text), '},', chr(10), '  author = {', source, ', ', lang, ' and Roe, R},', chr(10), '  journal = {', source, '},', chr(10), '  year = {', CASE WHEN doc_id % 3 > 0 THEN (2000 + doc_id % 20)::VARCHAR ELSE 'n.d.' END, '},', chr(10), '  pmid = {', doc_id, '},', CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '  doi = {10.1/', doc_id, '},') ELSE '' END, chr(10), '}') AS entry FROM documents")
+_LENGTHS = "c AS (SELECT lang, length(seq) AS len, row_number() OVER (PARTITION BY lang ORDER BY length(seq) DESC, doc_id) AS k, sum(length(seq)) OVER (PARTITION BY lang ORDER BY length(seq) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS cum, sum(length(seq)) OVER (PARTITION BY lang) AS total FROM text_dna WHERE seq IS NOT NULL), r AS (SELECT lang, max(len) FILTER (WHERE cum >= total * 0.5) AS n50, max(total)::BIGINT AS total, count(*) AS n FROM c GROUP BY lang)"
+add("assembly_ranking", lambda s, d: sc.rank_assemblies(text_dna(s, d), "lang"), query(TEXT_DNA, _LENGTHS, sql=f"SELECT lang, n50, total, n, 0.0::DOUBLE AS n_percent, {R('n50 * 0.3 / 1000000 + total * 0.2 / 1000000000 - n * 0.1 / 1000')} AS score FROM r"), "n_percent", "score")

@@ -87,3 +87,26 @@ def test_polished(spark):
     drafts = spark.createDataFrame([(1, wrong), (2, "ACGT" * 10), (3, None)], "id long, seq string")
     got = {r.id: (r.seq, r.n_corrections) for r in sc.polished(drafts, spark.createDataFrame(reads, "read long, seq string"), "id", "read").collect()}
     assert got == {1: (true, 1), 2: ("ACGT" * 10, 0), 3: (None, 0)}
+
+
+def test_cluster_similarity(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "d"), (3, None)], "cluster long, gene string")
+    similar = spark.createDataFrame([("a", "c", 0.9), ("d", "b", 0.6), ("a", "d", 0.5)], "gene1 string, gene2 string, score double")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "cluster1 long, cluster2 long")
+    assert rows(an.cluster_similarity(members, similar, pairs), "cluster1", "cluster2", "matched", "similarity") == [(1, 2, 2, 1.0), (1, 3, 0, 0.0), (2, 1, 2, 1.0)]
+
+
+def test_lipids_ages_and_entries(spark):
+    lipids = spark.createDataFrame([("s", "PC(16:0/18:2)", 2.0), ("s", "TG(18:1/18:1/20:4)", 3.0), ("s", "none", 5.0), ("s", None, 1.0)], "sample string, feature string, value double")
+    assert rows(an.fatty_acids(lipids), "sample", "saturated", "monounsaturated", "polyunsaturated") == [("s", 2.0, 6.0, 5.0)]
+    long = spark.createDataFrame([("s", "p", 1.0), ("s", "q", 9.0), ("t", "p", -9.0)], "sample string, feature string, value double")
+    ages = dict(rows(an.methylation_age(long, spark.createDataFrame([("p", 2.0)], "feature string, weight double")), "sample", "age"))
+    assert abs(ages["s"] - (21 + 50 * 0.7615941559)) < 1e-5 and ages["t"] == 0.0
+    one = spark.createDataFrame([(7, "T", [("Roe", "J"), ("Poe", "E")], "J", None, None)], "pmid long, title string, authors array<struct<last_name:string,first_name:string>>, journal string, year int, doi string")
+    assert an.bibtex(one).first().entry == "@article{7,\n  title = {T},\n  author = {Roe, J and Poe, E},\n  journal = {J},\n  year = {n.d.},\n  pmid = {7},\n}"
+
+
+def test_rank_assemblies(spark):
+    got = sc.rank_assemblies(spark.createDataFrame([("a", "ACGTN"), ("a", "ACG"), ("a", None), ("b", "A" * 10)], "name string, seq string"), "name")
+    found = {r.name: (r.n50, r.n, r.n_percent, round(r.score, 9)) for r in got.collect()}
+    assert found == {"a": (5, 2, 12.5, round(5 * 0.3e-6 + 8 * 0.2e-9 - 2e-4 - 1.25, 9)), "b": (10, 1, 0.0, round(3e-6 + 2e-9 - 1e-4, 9))}
