@@ -133,3 +133,15 @@ def _articles(spark, sf_dir):
 add("bibtex_entries", lambda s, d: an.bibtex(_articles(s, d)), "SELECT doc_id AS pmid, concat('@article{', doc_id, ',', chr(10), '  title = {', md5(text), '},', chr(10), '  author = {', source, ', ', lang, ' and Roe, R},', chr(10), '  journal = {', source, '},', chr(10), '  year = {', CASE WHEN doc_id % 3 > 0 THEN (2000 + doc_id % 20)::VARCHAR ELSE 'n.d.' END, '},', chr(10), '  pmid = {', doc_id, '},', CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '  doi = {10.1/', doc_id, '},') ELSE '' END, chr(10), '}') AS entry FROM documents")
 _LENGTHS = "c AS (SELECT lang, length(seq) AS len, row_number() OVER (PARTITION BY lang ORDER BY length(seq) DESC, doc_id) AS k, sum(length(seq)) OVER (PARTITION BY lang ORDER BY length(seq) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS cum, sum(length(seq)) OVER (PARTITION BY lang) AS total FROM text_dna WHERE seq IS NOT NULL), r AS (SELECT lang, max(len) FILTER (WHERE cum >= total * 0.5) AS n50, max(total)::BIGINT AS total, count(*) AS n FROM c GROUP BY lang)"
 add("assembly_ranking", lambda s, d: sc.rank_assemblies(text_dna(s, d), "lang"), query(TEXT_DNA, _LENGTHS, sql=f"SELECT lang, n50, total, n, 0.0::DOUBLE AS n_percent, {R('n50 * 0.3 / 1000000 + total * 0.2 / 1000000000 - n * 0.1 / 1000')} AS score FROM r"), "n_percent", "score")
+
+
+def _gapped(spark, sf_dir):
+    """One scaffold for each different DNA: its first 24 bases, 8 unknown ones, and its last 32, turned for every other scaffold."""
+    one = dna(spark, sf_dir).groupBy("seq").agg(F.min("doc_id").alias("scaffold"))
+    turned = F.col("scaffold") % 2 == 1
+    second = F.substring("seq", 33, 32)
+    first = one.select("scaffold", F.lit(0).alias("i"), F.substring("seq", 1, 24).alias("seq"), F.lit("+").alias("orientation"), F.lit(0).alias("gap"))
+    return first.union(one.select("scaffold", F.lit(1), F.when(turned, F.reverse(F.translate(second, "ACGT", "TGCA"))).otherwise(second), F.when(turned, "-").otherwise("+"), F.lit(8)))
+
+
+add("fill_gaps", lambda s, d: sc.fill_gaps(_gapped(s, d), dna(s, d), "doc_id"), query(DNA, sql="SELECT min(doc_id) AS scaffold, 1 AS i, min(doc_id) AS doc_id, substr(seq, 25, 8) AS fill FROM dna WHERE seq IS NOT NULL GROUP BY seq"))

@@ -110,3 +110,13 @@ def test_rank_assemblies(spark):
     got = sc.rank_assemblies(spark.createDataFrame([("a", "ACGTN"), ("a", "ACG"), ("a", None), ("b", "A" * 10)], "name string, seq string"), "name")
     found = {r.name: (r.n50, r.n, r.n_percent, round(r.score, 9)) for r in got.collect()}
     assert found == {"a": (5, 2, 12.5, round(5 * 0.3e-6 + 8 * 0.2e-9 - 2e-4 - 1.25, 9)), "b": (10, 1, 0.0, round(3e-6 + 2e-9 - 1e-4, 9))}
+
+
+def test_fill_gaps(spark):
+    rng = random.Random(11)
+    true = "".join(rng.choice("ACGT") for _ in range(160))
+    turned = true[70:120][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    parts = [(1, 0, true[:50], "+", 0), (1, 1, turned, "-", 20), (1, 2, true[125:], "+", 5), (2, 0, true[:50], "+", 0), (2, 1, true[70:120], "+", 100), (3, 0, "ACGT", "+", 0), (3, 1, None, "+", 9)]
+    reads = [(5, true[20:100].lower()), (4, true[60:90]), (6, true), (7, None), (8, "")]
+    df = sc.fill_gaps(spark.createDataFrame(parts, "scaffold long, i int, seq string, orientation string, gap int"), spark.createDataFrame(reads, "read long, seq string"), "read")
+    assert rows(df, "scaffold", "i", "read", "fill") == [(1, 1, 5, true[50:70]), (1, 2, 6, true[120:125])]
