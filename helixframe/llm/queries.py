@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, warc
+from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, repair, warc
 from helixframe.llm.common import LOWER, UPPER, read_table
 
 
@@ -58,6 +58,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(repair.rows(read_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, op11_repair, pipeline)}
 
 
 WARC_SQL = """
@@ -88,6 +92,39 @@ FROM c GROUP BY conv_id
 """
 
 
+# the checksum goes through the bits of the key's bytes; states of the grammar are start, s, u and a, and each keeps its least (cost, audit)
+REPAIR_SQL = r"""
+WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+     hashed AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 20 AS h FROM keyed),
+     damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                        unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+     ranked AS (SELECT *, row_number() OVER o AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, E' \t\n\x0b\x0c\r') AS bare, role[1] AS ini
+                FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+     judged AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, lead(ini) OVER (PARTITION BY conv_id ORDER BY pos) AS after FROM ranked),
+     per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                    count(*) FILTER (after IS NOT NULL AND ini || after NOT IN ('su', 'ua', 'au')) AS illegal, list(ini || fault ORDER BY pos) AS steps, list({role: role, text: text} ORDER BY pos) AS turns FROM judged GROUP BY conv_id),
+     walked AS (SELECT *, list_reduce(list_concat([[{c: 0, a: ''}, {c: 999999, a: ''}, {c: 5, a: 'I'}, {c: 10, a: 'II'}]], list_transform(steps, lambda x: [{c: 0, a: x}])), lambda best, step:
+                    list_transform([list_transform([1, 2, 3, 4], lambda to_state: list_min(list_concat([{c: best[to_state].c + 2, a: best[to_state].a || 'D'}],
+                        CASE WHEN step[1].a[2] IN ('b', 'd') THEN [] ELSE list_concat(
+                            list_transform(list_filter([1, 2, 3, 4], lambda f: (to_state = 2 AND step[1].a[1] = 's' AND f = 1) OR (to_state = 3 AND step[1].a[1] = 'u' AND f <> 3) OR (to_state = 4 AND step[1].a[1] = 'a' AND f = 3)),
+                                lambda f: {c: best[f].c + CASE WHEN step[1].a[2] = 't' THEN 5 ELSE 0 END, a: best[f].a || 'K'}),
+                            list_transform(list_filter([1, 2, 3, 4], lambda f: (to_state = 3 AND f <> 3) OR (to_state = 4 AND f = 3)),
+                                lambda f: {c: best[f].c + 1 + CASE WHEN step[1].a[2] = 't' THEN 5 ELSE 0 END, a: best[f].a || 'R'})) END)))],
+                        lambda m: list_transform([[m[1], m[2], list_min([m[3], {c: m[1].c + 5, a: m[1].a || 'I'}, {c: m[2].c + 5, a: m[2].a || 'I'}, {c: m[4].c + 5, a: m[4].a || 'I'}]), m[4], m[3]]],
+                            lambda w: [w[1], w[2], w[3], list_min([w[4], {c: w[3].c + 5, a: w[3].a || 'I'}])])[1])[1]) AS ends FROM per),
+     found AS (SELECT *, list_min([ends[1], ends[4]]) AS least FROM walked),
+     edits AS (SELECT conv_id, turns, least.a AS audit, unnest(range(1, length(least.a) + 1)) AS i FROM found),
+     lines AS (SELECT conv_id, i, audit[i] AS e, turns[i - length(replace(audit[1:i], 'I', 'xx')) + length(audit[1:i])] AS was, length(replace(audit[1:i - 1], 'D', '')) AS place FROM edits WHERE audit[i] <> 'D'),
+     starts AS (SELECT conv_id, max(CASE WHEN place = 0 AND e = 'K' AND was.role[1] = 's' THEN 1 ELSE 0 END) AS s FROM lines GROUP BY conv_id),
+     repaired AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN was.role WHEN (place + s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE was.text END, chr(10) ORDER BY i)) AS digest
+                  FROM lines AS l JOIN starts AS t ON l.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY l.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(least.c, 0)::BIGINT AS cost, coalesce(least.a, '') AS audit,
+       coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN found AS f ON a.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN repaired AS r ON a.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -116,4 +153,4 @@ FROM w LEFT JOIN base USING (uid) LEFT JOIN more USING (uid)
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries whose rows SQL can express."""
-    return {"op5_licenses": licenses_sql(), "op8_warc": WARC_SQL, "op10_chat": CHAT_SQL}
+    return {"op5_licenses": licenses_sql(), "op8_warc": WARC_SQL, "op10_chat": CHAT_SQL, "op11_repair": REPAIR_SQL}
