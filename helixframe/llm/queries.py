@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, repair, warc
+from helixframe.llm import bpe, chat, divergence, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, repair, warc
 from helixframe.llm.common import LOWER, UPPER, read_table
 
 
@@ -62,6 +62,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(repair.rows(read_table(spark, sf_dir, "conversations"))))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, op11_repair, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, op11_repair, op13_divergence, pipeline)}
 
 
 WARC_SQL = """
@@ -125,6 +129,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN found AS f ON a
 """
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     w AS (SELECT uid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT uid) >= 10),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+     whole AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, kept.n AS lang_n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+     t AS (SELECT lang, source, sum(n)::BIGINT AS total, sum(lang_n)::BIGINT AS lang_total, count(*) AS v FROM whole GROUP BY lang, source),
+     x AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (total + 2 * v) AS p, 1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v) AS q FROM whole JOIN t USING (lang, source)),
+     sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM x AS a JOIN x AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -153,4 +174,4 @@ FROM w LEFT JOIN base USING (uid) LEFT JOIN more USING (uid)
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries whose rows SQL can express."""
-    return {"op5_licenses": licenses_sql(), "op8_warc": WARC_SQL, "op10_chat": CHAT_SQL, "op11_repair": REPAIR_SQL}
+    return {"op5_licenses": licenses_sql(), "op8_warc": WARC_SQL, "op10_chat": CHAT_SQL, "op11_repair": REPAIR_SQL, "op13_divergence": DIVERGENCE_SQL}
