@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, divergence, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, repair, warc
+from helixframe.llm import bpe, chat, divergence, licenses, line_rules, near_dedup, neighbours, packing, pii, quality, repair, toxicity, warc
 from helixframe.llm.common import LOWER, UPPER, read_table
 
 
@@ -62,6 +62,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(repair.rows(read_table(spark, sf_dir, "conversations"))))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, op11_repair, op13_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_dedup, op3_quality, op4_neighbours, op5_licenses, op6_pii, op7_line_rules, op8_warc, op9_packing, op10_chat, op11_repair, op12_toxicity, op13_divergence, pipeline)}
 
 
 WARC_SQL = """
