@@ -32,8 +32,8 @@ def parsed(messages: DataFrame, column: str = "value") -> DataFrame:
 
 
 def mutation_alerts(rows: DataFrame) -> DataFrame:
-    """(sample_id, gene, mutation, type, severity): alerts for actionable genes, else status updates."""
-    acted = F.upper("gene").isin(*ACTIONABLE)
+    """(sample_id, gene, mutation, type, severity): alerts for actionable genes (symbols as they are written), else status updates."""
+    acted = F.col("gene").isin(*ACTIONABLE)
     return rows.where("type = 'mutation_detected'").select("sample_id", "gene", "mutation", F.when(acted, "alert").otherwise("status_update").alias("type"), F.when(acted, "high").otherwise("info").alias("severity"))
 
 
@@ -43,7 +43,7 @@ def accepted_requests(rows: DataFrame) -> DataFrame:
 
 def processed(rows: DataFrame) -> DataFrame:
     """(type, sample_id, payload): what each message becomes; errors are rows too."""
-    kind = F.when(F.col("error").isNotNull(), "error").when((F.col("type") == "mutation_detected") & F.upper("gene").isin(*ACTIONABLE), "alert").otherwise("status_update")
+    kind = F.when(F.col("error").isNotNull(), "error").when((F.col("type") == "mutation_detected") & F.col("gene").isin(*ACTIONABLE), "alert").otherwise("status_update")
     return rows.select(kind.alias("type"), "sample_id", F.coalesce("error", F.concat_ws(" ", "gene", "mutation")).alias("payload"))
 
 
@@ -63,4 +63,4 @@ def deduplicated(rows: DataFrame, keys: list[str], time: str = "timestamp", late
 
 
 def actionable(gene: Column) -> Column:
-    return F.upper(gene).isin(*ACTIONABLE)
+    return gene.isin(*ACTIONABLE)
