@@ -6,8 +6,9 @@ taken only if no other entity has it and the corpus holds no such entity itself;
 same entity is replaced by the same surrogate everywhere (coreference), and different ones stay different. Names are replaced
 word by word, whatever the title before them, and are found again in the rest of their document without one.
 
-The pattern runs once over each text, and all rows are stored with what it found; only entities are shuffled for the
-surrogates, and the pieces between them once, by row, to be put together again.
+The pattern runs over each text that can hold an entity, and all rows are stored with what it found; texts with entities are
+searched again with the names of their own, and cut by what is found. A name that its document also uses in lower case is an
+ordinary word there when it stands alone. Only entities are shuffled for the surrogates, and the pieces between them once, by row, to be put together again.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ INTRODUCED, LABELLED = ("My name is ", "my name is ", "Ich heiße ", "Me llamo "
 #: Repetitions are bounded by the format, or of one class and possessive, and start at borders, so long texts take linear time. In the order in which they are tried at a place. The kinds' names are those of the result.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{5,}[^\s\"'.,;:!?)])",
-    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}+\b",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\s\"']{5,}[^\s\"'.,;:!?)])",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}+\b|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[-.]\d{4}(?!\d)|(?<![\w.-])\d{3}([-.])\d{3}\1\d{4}(?![\d-])|(?<![\w.,/-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-])",
@@ -53,8 +55,12 @@ PATTERNS = {
     "person_han": rf"[\u4e00-\u9fff]{{1,3}}(?:{_HONORIFICS})",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: What a text must hold for any of the patterns; cheap.
-MAYBE = rf"[0-9@]|[=:]|\b(?:{_TITLES})\b|{_HONORIFICS}|" + "|".join(x.strip() for x in INTRODUCED)
+#: What each pattern cannot match without; a text that holds none of it is not searched.
+NEEDED = {
+    "email": "@", "secret": "[=:]", "key": "AKIA|ASIA|gh[pousr]_|sk-|eyJ", "key_block": "-----BEGIN ", "iban": "[0-9]", "ip": "[0-9]", "phone": "[0-9]", "ssn": "[0-9]", "card": "[0-9]",
+    "person": rf"\b(?:{_TITLES})\b|{'|'.join(x.strip() for x in INTRODUCED + LABELLED)}", "person_han": _HONORIFICS,
+}
+MAYBE = "|".join(dict.fromkeys(NEEDED[kind] for kind in PATTERNS))
 ATTEMPTS, KEY = 24, "helixframe"
 
 
@@ -143,7 +149,8 @@ def _surrogate(attempt: int) -> F.Column:
         F.when(F.col("kind") == "local", local)
         .when(F.col("kind") == "domain", F.concat(F.lit("host-"), F.substring("h", 100, 6 + attempt), F.lit(".example.org")))
         .when(F.col("kind") == "secret", behind(r"^([A-Za-z_-]+[\"']?\s*[=:]\s*[\"']?)"))
-        .when(F.col("kind") == "key", behind(r"^(AKIA|ASIA|gh[pousr]_|sk-)"))
+        .when(F.col("kind") == "key", behind(r"^(AKIA|ASIA|gh[pousr]_|sk-|eyJ)"))
+        .when(F.col("kind") == "key_block", F.concat(_kept(r"^(-----[A-Z ]+-----)"), _same_format(_kept(r"^-----[A-Z ]+-----([^-]*)")), _kept(r"(-----END [A-Z ]+-----)$")))
         .when(F.col("kind") == "iban", F.concat(country, digits, account))
         .when(F.col("kind") == "phone", behind(r"^(\+\d{1,3}|0|)"))
         .when(F.col("kind") == "ip", octets)
@@ -198,6 +205,12 @@ def _names(entities) -> F.Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(entities, words))))
 
 
+def _no_words(names, text) -> F.Column:
+    """The names that the text does not also use as ordinary words, in lower case."""
+    used = F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit(r"(?<!\p{L})(?:"), F.lower(F.array_join(names, "|")), F.lit(r")(?!\p{L})")), F.lit(0)))
+    return F.when(F.size(names) > 0, F.array_except(names, F.filter(names, lambda n: F.array_contains(used, F.lower(n)) & (F.lower(n) != n)))).otherwise(names)
+
+
 def _pattern(names) -> F.Column:
     """ENTITY, and the document's names where they stand alone. They hold letters, hyphens and apostrophes only."""
     han, other = (F.array_join(F.filter(names, lambda n: n.rlike(r"^[\u4e00-\u9fff]") == is_han), "|") for is_han in (True, False))
@@ -228,8 +241,8 @@ def _parts() -> F.Column:
     return F.when(F.col("kind") == "person", spaced).when(F.col("kind") == "person_han", han).when(F.col("kind") == "email", mail).otherwise(F.array(piece(F.col("kind"), entity, True)))
 
 
-def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = False) -> DataFrame:
-    """`docs` with surrogates in `text`; with `counts` also n_entities and entity_kinds (array of kinds in order).
+def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool = False, lengths: str | None = None) -> DataFrame:
+    """`docs` with surrogates in `text`; with `counts` also n_entities and entity_kinds (array of kinds in order); the column `lengths` gets the length of texts that change.
 
     All other columns and rows stay, repeated ones too (they get the same surrogates); null and empty texts stay as they are, an
     empty table stays empty. With `counts`, columns of `docs` named n_entities or entity_kinds give way to the new ones.
@@ -243,7 +256,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counts
     first = stored(source.withColumn("entities", F.coalesce(found, none)), "found")
     same = first.where(F.size("entities") == 0).select("others", "text", F.lit(0).cast("long").alias("n_entities"), F.col("entities").alias("entity_kinds"))
     # texts with names are searched again for these
-    again = first.where(F.size("entities") > 0).withColumn("pattern", _pattern(_names(F.col("entities")))).withColumn("entities", F.when(F.col("pattern") == ENTITY, F.col("entities")).otherwise(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
+    again = first.where(F.size("entities") > 0).withColumn("pattern", _pattern(_no_words(_names(F.col("entities")), F.col("text")))).withColumn("entities", F.when(F.col("pattern") == ENTITY, F.col("entities")).otherwise(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
     hits = stored(again.select(F.monotonically_increasing_id().alias("uid"), "others", "entities", F.split("text", F.col("pattern"), -1).alias("between")), "hits")
     parts = hits.select("uid", F.posexplode("entities").alias("at", "entity")).withColumn("kind", _kind(F.col("entity"))).select("uid", "at", F.col("kind").alias("whole"), F.posexplode(_parts()).alias("part", "p")).select("uid", "at", "whole", "part", "p.*")
     parts = stored(parts, "parts")
@@ -260,5 +273,6 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counts
     middle = F.zip_with("between", "x", lambda s, e: F.concat(s, F.coalesce(e["new"], F.lit(""))))
     done = put.select("others", F.array_join(middle, "").alias("text"), F.size("entities").cast("long").alias("n_entities"), F.transform("x", lambda e: e["whole"]).alias("entity_kinds"))
     both = same.unionAll(done)
-    out = [F.col("text").alias(text) if c == text else F.col(f"others.`{c}`").alias(c) for c in names]
+    put_in = lambda c: F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"others.`{c}`")) if c == lengths else F.col(f"others.`{c}`")
+    out = [F.col("text").alias(text) if c == text else put_in(c).alias(c) for c in names]
     return both.select(*out, *(["n_entities", "entity_kinds"] if counts else []))
