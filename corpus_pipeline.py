@@ -1,13 +1,16 @@
 """The corpus pipeline: documents to packed token sequences, in stages that are each written and read again.
 
-Every stage works on all rows its predecessor kept. All but the last return the columns of `documents`; the last returns the
-placed pieces (see helixframe.llm.packing).
+Every stage works on all rows its predecessor kept. All but the last return the columns of `documents`, with any others that
+these have and whatever their names; the last returns the placed pieces (see helixframe.llm.packing).
+
+Null and empty texts have no words: the rules drop them, and where a stage is used alone they are like any text. Repeated rows are
+judged alike and are near duplicates of each other; of equal ids and texts one row stays. Ties go to the smaller id. An empty
+table passes every stage empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixframe.llm import line_rules, near_dedup, packing, pii, quality
 from helixframe.llm.common import read_table, stored
@@ -31,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates for personal data and secrets; n_chars follows the new text."""
-    replaced = pii.replace_entities(docs, counts=True)
-    return replaced.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return pii.replace_entities(docs, lengths="n_chars")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
