@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.plans.annotation import QUERIES as ANNOTATION
+from helixframe.plans.assembly import QUERIES as ASSEMBLY
 from helixframe.plans.intervals import QUERIES as INTERVALS
 from helixframe.plans.matrix import QUERIES as MATRIX
 from helixframe.plans.networks import QUERIES as NETWORKS
@@ -15,7 +16,7 @@ from helixframe.plans.statistics import QUERIES as STATISTICS
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: name -> (query, SQL or None)
-REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX, **STATISTICS, **SEQUENCES, **INTERVALS, **NETWORKS, **ANNOTATION}
+REGISTRY: dict[str, tuple[Query, str | None]] = {**MATRIX, **STATISTICS, **SEQUENCES, **INTERVALS, **NETWORKS, **ANNOTATION, **ASSEMBLY}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
