@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as sq
+from helixframe.operators import assembly as am
 from helixframe.operators import mapping as mp
-from helixframe.plans.common import TEXT_DNA, query, rounded, text_dna
+from helixframe.plans.common import TEXT_DNA, query, rounded, table, text_dna
 
 QUERIES: dict = {}
 
@@ -80,3 +81,15 @@ add("map_spliced", lambda s, d: mp.spliced(_transcripts(s, d), _contigs(s, d)),
 SELECT read_id, b.contig AS contig, b.start AS start, b.start + 48 AS intron_start, b.e AS intron_end, '48M' || (b.e - b.start - 48) || 'N48M' AS cigar, b.m AS mismatches FROM
  (SELECT read_id, min({'m': p.mismatches + q.mismatches, 'contig': contig, 'start': p.start, 'e': q.start}) AS b FROM p JOIN q USING (read_id, contig) JOIN text_dna ON doc_id = contig
   WHERE q.start - p.start - 48 > 50 AND q.start - p.start - 48 < 500000 AND substr(seq, p.start::INT + 49, 2) = 'GT' AND substr(seq, q.start::INT - 1, 2) = 'AG' GROUP BY read_id)"""))
+
+
+def planted_reads(spark, sf_dir):
+    """Reads of 60 bases at every sixth base of the DNA of all benchmark passages, every eighth with a wrong base: read_id, seq, truth."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    genome = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"))).alias("g")).where(F.length("g") >= 60)
+    cut = genome.select("item_id", "g", F.explode(F.sequence(F.lit(0), F.length("g") - 60, F.lit(6))).alias("i")).select(F.concat_ws(":", "item_id", "i").alias("read_id"), (F.col("i") / 6).cast("int").alias("n"), F.explode(F.array(F.col("g").substr(F.col("i") + 1, F.lit(60)))).alias("truth"))
+    return cut.select("read_id", F.when(F.col("n") % 8 == 3, _changed(F.col("truth"), F.col("n") % 17 + 20)).otherwise(F.col("truth")).alias("seq"), "truth")
+
+
+add("correct_reads", lambda s, d: am.correct_reads(planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None)
+add("assemble_contigs", lambda s, d: am.assemble(planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None, "coverage")
