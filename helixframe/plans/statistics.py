@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import moderated as md
 from helixframe.operators import statistics as st
 from helixframe.plans.common import COUNTS, EXPRESSION, R, counts, expression, integers, query, rounded, table
 
@@ -44,6 +45,26 @@ add("de_full", lambda s, d: st.volcano(st.differential(expression(s, d), "grp",
 add("de_full_mann_whitney", lambda s, d: st.differential(expression(s, d), "grp", 0, 1, "mann_whitney").select("feature", "statistic", "p_value", "adjusted"), None, "p_value", "adjusted")
 add("de_ranking", lambda s, d: st.gene_ranking(st.t_test(_pair(s, d)).withColumn("p_value", F.lit(0.5)).withColumn("log2fc", F.lit(0.0)), "statistic").select("feature", "score"), query(_MOMENTS, sql=f"SELECT feature::BIGINT AS feature, {R('(mean2 - mean1) / sqrt(var1 / n1 + var2 / n2)')} AS score FROM moments"), "score", ints=("feature",))
 
+# digamma and trigamma by their series of 50 terms and Euler's tail, the inverse of trigamma by halving
+_PSI = "ln({x} + 50) - 1 / (2 * ({x} + 50)) - 1 / (12 * ({x} + 50) ^ 2) - list_sum(list_transform(range(0, 50), lambda k: 1 / ({x} + k)))"
+_TRI = "1 / ({x} + 50) + 1 / (2 * ({x} + 50) ^ 2) + 1 / (6 * ({x} + 50) ^ 3) + list_sum(list_transform(range(0, 50), lambda k: 1 / ({x} + k) ^ 2))"
+_MODERATED = f"""s AS (SELECT *, (n1 + n2 - 2)::DOUBLE AS df, ((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) AS var FROM moments),
+ e AS (SELECT avg(ln(var) - ({_PSI.format(x='(df / 2)')}) + ln(df / 2)) AS m, var_samp(ln(var) - ({_PSI.format(x='(df / 2)')}) + ln(df / 2)) - avg({_TRI.format(x='(df / 2)')}) AS v, sum(df) AS most FROM s),
+ h AS (SELECT m, most, v, list_reduce(list_concat([[0.000000001::DOUBLE, 1000000000.0]], list_transform(range(0, 200), lambda i: [0.0::DOUBLE, 0.0])),
+   lambda a, i: CASE WHEN ({_TRI.format(x='sqrt(a[1] * a[2])')}) > v THEN [sqrt(a[1] * a[2]), a[2]] ELSE [a[1], sqrt(a[1] * a[2])] END)[1] AS half FROM e),
+ p AS (SELECT most, v, 2 * half AS d0, exp(m + ({_PSI.format(x='half')}) - ln(half)) AS s0, exp(m) AS flat FROM h),
+ post AS (SELECT *, CASE WHEN v <= 0 THEN flat ELSE (d0 * s0 + df * var) / (d0 + df) END AS var_post, CASE WHEN v <= 0 THEN most ELSE least(df + d0, most) END AS df_total FROM s, p)"""
+add("de_moderated", lambda s, d: md.moderated_t(_pair(s, d)).select("feature", "var_post", "statistic", "df_total"), query(_MOMENTS, _MODERATED, sql=f"SELECT feature::BIGINT AS feature, {R('var_post')} AS var_post, {R('(mean2 - mean1) / sqrt(var_post * (1.0 / n1 + 1.0 / n2))')} AS statistic, round(df_total, 3) AS df_total FROM post"), "var_post", "statistic", ints=("feature",))
+QUERIES["de_moderated"] = (lambda s, d, make=QUERIES["de_moderated"][0]: make(s, d).withColumn("df_total", F.round("df_total", 3)), QUERIES["de_moderated"][1])
+
+
+def _expression_counts(spark, sf_dir):
+    """Embeddings as counts: hundredths of their absolute values, every feature of every sample a row."""
+    return expression(spark, sf_dir).select("sample", "feature", "grp", F.floor(F.abs("value") * 100).alias("value"))
+
+
+add("de_negative_binomial", lambda s, d: md.negative_binomial(_expression_counts(s, d), "grp", 0, 1, _expression_counts(s, d).groupBy("sample").agg((F.sum("value") / 500).alias("size_factor"))), None, "mean1", "mean2", "log2fc")
+
 
 # p-values for the corrections: a rank of the order's price, so that every engine has the same numbers
 def _tests(spark, sf_dir):
