@@ -3,13 +3,14 @@
 Documents are encoded, ended with id 0 and cut only if they are longer than a sequence: into full pieces, before which one
 shorter piece holds the rest. Full pieces are sequences of their own; the shorter pieces are packed. They are dealt into
 blocks of about `BLOCK` items, so a task never holds more, however large the corpus. For each block `ISLANDS` populations
-evolve in separate tasks, from groupings in random order: crossover injects whole well-filled bins of one parent into the
+evolve in separate tasks, from best-fit groupings in the order of noisy sizes: crossover injects whole well-filled bins of one parent into the
 other, drops the bins that hold duplicates and places the displaced items best fit, largest first. After each epoch every
 island's best packing migrates to the next island. In the end poorly filled bins of all blocks are dissolved and packed again together, until that saves nothing.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import sys
 import zlib
@@ -28,7 +29,9 @@ from helixframe.llm.bpe import Memo, encoder
 from helixframe.llm.common import slices, stored
 
 CAPACITY, END_ID = 2048, 0
-BLOCK, ISLANDS, POPULATION, CHILDREN, GENERATIONS, EPOCHS = 8192, 3, 3, 3, 8, 2
+BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 3, 3, 2
+#: Generations of an epoch at most; items in the children of generations that save no bin, after which it ends; spread of the logarithm of the sizes that order the first groupings.
+GENERATIONS, EFFORT, NOISE = 40, 60_000, 0.3
 #: Bins filled less than this share are packed again with those of other blocks; at most so many rounds.
 POOR, ROUNDS = 0.97, 4
 _PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long"
@@ -160,21 +163,24 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
 def evolve(sizes: list[int], seed: int, elites: list[Bins], capacity: int = CAPACITY) -> Bins:
     """One epoch of one island: its best packing, with the number of generations.
 
-    It starts from groupings in random order. At least one generation runs; the lower bound ends it.
+    It starts from the elites and from best-fit groupings, largest first by sizes with random noise, so that no two are alike. At
+    least one generation runs; the lower bound ends the epoch, or generations with `EFFORT` items in their children that save no bin.
     """
     rng, least, n = random.Random(seed), lower_bound(sizes, capacity), len(sizes)
     population = [*elites]
     while len(population) < POPULATION + bool(elites):
-        population.append(best_fit(sizes, rng.sample(range(n), n), capacity))
+        noisy = [-size * math.exp(rng.gauss(0, NOISE)) for size in sizes]
+        population.append(best_fit(sizes, sorted(range(n), key=noisy.__getitem__), capacity))
+    fewest, since = min(len(p.bins) for p in population), 0
     for generation in range(1, GENERATIONS + 1):
-        if generation == GENERATIONS:  # best fit with the largest first comes in as an immigrant if nothing else has reached the bound
-            population.append(best_fit(sizes, sorted(range(n), key=lambda i: -sizes[i]), capacity))
         for _ in range(CHILDREN):
             child = crossover(*rng.sample(population, 2), sizes, rng)
             worst = max(range(len(population)), key=lambda k: fitness(population[k]))
             if fitness(child) < fitness(population[worst]):
                 population[worst] = child
-        if min(len(p.bins) for p in population) <= least:
+        now = min(len(p.bins) for p in population)
+        fewest, since = (now, 0) if now < fewest else (fewest, since + 1)
+        if now <= least or since * CHILDREN * n >= EFFORT:
             break
     best = min(population, key=fitness)
     best.generations = generation
