@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as sq
 from helixframe.operators import assembly as am
+from helixframe.operators import genes as gn
 from helixframe.operators import mapping as mp
 from helixframe.plans.common import TEXT_DNA, query, rounded, table, text_dna
 
@@ -93,3 +94,5 @@ def planted_reads(spark, sf_dir):
 
 add("correct_reads", lambda s, d: am.correct_reads(planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None)
 add("assemble_contigs", lambda s, d: am.assemble(planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None, "coverage")
+add("gene_prediction", lambda s, d: gn.predict(_long(s, d), "doc_id"), None, "score", "coding")
+add("gene_fragments", lambda s, d: gn.predict(_long(s, d), "doc_id", least=60, fragments=True).groupBy("doc_id", "strand").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum(F.col("end") - F.col("start") + 1).alias("bases")), None, "best")
