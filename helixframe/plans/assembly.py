@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequence as sq
 from helixframe.operators import assembly as am
 from helixframe.operators import genes as gn
+from helixframe.operators import layout as ly
 from helixframe.operators import mapping as mp
 from helixframe.plans.common import TEXT_DNA, query, rounded, table, text_dna
 
@@ -84,11 +85,15 @@ SELECT read_id, b.contig AS contig, b.start AS start, b.start + 48 AS intron_sta
   WHERE q.start - p.start - 48 > 50 AND q.start - p.start - 48 < 500000 AND substr(seq, p.start::INT + 49, 2) = 'GT' AND substr(seq, q.start::INT - 1, 2) = 'AG' GROUP BY read_id)"""))
 
 
+def _passages(spark, sf_dir):
+    """The DNA of all benchmark passages: item_id, g."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"))).alias("g"))
+
+
 def planted_reads(spark, sf_dir):
     """Reads of 60 bases at every sixth base of the DNA of all benchmark passages, every eighth with a wrong base: read_id, seq, truth."""
-    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    genome = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"))).alias("g")).where(F.length("g") >= 60)
-    cut = genome.select("item_id", "g", F.explode(F.sequence(F.lit(0), F.length("g") - 60, F.lit(6))).alias("i")).select(F.concat_ws(":", "item_id", "i").alias("read_id"), (F.col("i") / 6).cast("int").alias("n"), F.explode(F.array(F.col("g").substr(F.col("i") + 1, F.lit(60)))).alias("truth"))
+    cut = _passages(spark, sf_dir).where(F.length("g") >= 60).select("item_id", "g", F.explode(F.sequence(F.lit(0), F.length("g") - 60, F.lit(6))).alias("i")).select(F.concat_ws(":", "item_id", "i").alias("read_id"), (F.col("i") / 6).cast("int").alias("n"), F.explode(F.array(F.col("g").substr(F.col("i") + 1, F.lit(60)))).alias("truth"))
     return cut.select("read_id", F.when(F.col("n") % 8 == 3, _changed(F.col("truth"), F.col("n") % 17 + 20)).otherwise(F.col("truth")).alias("seq"), "truth")
 
 
@@ -96,3 +101,32 @@ add("correct_reads", lambda s, d: am.correct_reads(planted_reads(s, d).select("r
 add("assemble_contigs", lambda s, d: am.assemble(planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None, "coverage")
 add("gene_prediction", lambda s, d: gn.predict(_long(s, d), "doc_id"), None, "score", "coding")
 add("gene_fragments", lambda s, d: gn.predict(_long(s, d), "doc_id", least=60, fragments=True).groupBy("doc_id", "strand").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum(F.col("end") - F.col("start") + 1).alias("bases")), None, "best")
+
+
+def _pieces(spark, sf_dir):
+    """Contigs of 90 bases at every 110th base of the passages, some reversed: contig, seq."""
+    rows = _passages(spark, sf_dir).where(F.length("g") >= 90).select("item_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 90) / 110).cast("int"))).alias("k"))
+    piece = F.col("g").substr(F.col("k") * 110 + 1, F.lit(90))
+    return rows.select(F.concat_ws(":", "item_id", "k").alias("contig"), F.when((F.col("item_id") + 7 * F.col("k")) % 3 == 0, sq.reverse_complement(piece)).otherwise(piece).alias("seq")).withColumn("seq", F.explode(F.array("seq")))
+
+
+def _long_reads(spark, sf_dir):
+    """Reads of 250 bases at every 40th base of the passages."""
+    rows = _passages(spark, sf_dir).where(F.length("g") >= 250).select("item_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - 250) / 40).cast("int"))).alias("i"))
+    return rows.select(F.concat_ws(":", "item_id", "i").alias("read_id"), F.col("g").substr(F.col("i") * 40 + 1, F.lit(250)).alias("seq")).withColumn("seq", F.explode(F.array("seq")))
+
+
+_PASSAGES = "passages AS (SELECT item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS g FROM benchmark)"
+_NEXT = """pieces AS (SELECT item_id, length(g) AS n, unnest(range(0, (length(g) - 90) // 110 + 1)) AS k FROM passages WHERE length(g) >= 90),
+ starts AS (SELECT item_id, unnest(range(0, (length(g) - 250) // 40 + 1)) * 40 AS i FROM passages WHERE length(g) >= 250),
+ pairs AS (SELECT x.item_id, x.k, (SELECT count(*) FROM starts AS s WHERE s.item_id = x.item_id AND i <= x.k * 110 + 60 AND i + 250 >= (x.k + 1) * 110 + 30) AS weight FROM pieces AS x JOIN pieces AS y ON x.item_id = y.item_id AND y.k = x.k + 1),
+ named AS (SELECT item_id || ':' || k || '|' || CASE WHEN (item_id + 7 * k) % 3 = 0 THEN '5' ELSE '3' END AS x, item_id || ':' || (k + 1) || '|' || CASE WHEN (item_id + 7 * (k + 1)) % 3 = 0 THEN '3' ELSE '5' END AS y, weight FROM pairs WHERE weight >= 2)"""
+
+
+def _links(spark, sf_dir):
+    return ly.long_read_links(_long_reads(spark, sf_dir), _pieces(spark, sf_dir), anchor=30, most=0)
+
+
+add("scaffold_joins", lambda s, d: ly.matched(_links(s, d)).select("a", "b", "weight", F.col("gap").cast("long").alias("gap")), query(_PASSAGES, _NEXT, sql="SELECT least(x, y) AS a, greatest(x, y) AS b, weight::DOUBLE AS weight, 20::BIGINT AS gap FROM named"))
+add("scaffold_walks", lambda s, d: ly.scaffolds(_pieces(s, d), _links(s, d)), None)
+add("overlap_contigs", lambda s, d: ly.overlap_consensus(ly.overlap_layout(planted_reads(s, d).select("read_id", F.col("truth").alias("seq")), 30), planted_reads(s, d).select("read_id", F.col("truth").alias("seq"))), None, "coverage")

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from helixframe import catalog
 from helixframe.operators import layout as ly
+from helixframe.plans.assembly import _passages
 from tests.test_mapping import bases, changed, reverse
 
 
@@ -115,3 +117,22 @@ def test_overlap_layout_consensus(spark):
     assert len({r.scaffold for r in rows}) == 2 and {r.gap for r in rows} == {None, -75}
     (c,) = ly.overlap_consensus(placed, df).collect()
     assert c.seq in (genome, reverse(genome)) and c.n_reads == 45 and c.coverage == pytest.approx(45 * 100 / 1200)
+
+
+def test_the_queries_bring_passages_back(spark):
+    sf = "/root/testdata/sf0.001"
+    genomes = {r.item_id: r.g for r in _passages(spark, sf).collect()}
+    whole = "|".join(genomes.values())
+    made = [r.seq for r in catalog.queries()["overlap_contigs"](spark, sf).collect()]
+    right = [s for s in made if s in whole or reverse(s) in whole]
+    assert len(right) >= 0.95 * len(made) and sum(map(len, right)) >= 0.9 * sum(len(g) for g in genomes.values() if len(g) >= 120)
+    by = {}
+    for r in catalog.queries()["scaffold_walks"](spark, sf).collect():
+        by.setdefault(r.scaffold, []).append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r.position)
+        at = [tuple(map(int, r.contig.split(":"))) for r in rows]
+        ways = {("-" if (i + 7 * k) % 3 == 0 else "+") == r.strand for (i, k), r in zip(at, rows)}
+        assert len({i for i, _ in at}) == 1 and len(ways) == 1  # one passage, read one way
+        ks = [k for _, k in at]
+        assert ks == list(range(min(ks), max(ks) + 1)) or ks == list(range(max(ks), min(ks) - 1, -1))
