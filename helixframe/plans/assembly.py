@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as sq
 from helixframe.operators import assembly as am
+from helixframe.operators import chaining as ch
 from helixframe.operators import genes as gn
 from helixframe.operators import layout as ly
 from helixframe.operators import mapping as mp
@@ -130,3 +131,4 @@ def _links(spark, sf_dir):
 add("scaffold_joins", lambda s, d: ly.matched(_links(s, d)).select("a", "b", "weight", F.col("gap").cast("long").alias("gap")), query(_PASSAGES, _NEXT, sql="SELECT least(x, y) AS a, greatest(x, y) AS b, weight::DOUBLE AS weight, 20::BIGINT AS gap FROM named"))
 add("scaffold_walks", lambda s, d: ly.scaffolds(_pieces(s, d), _links(s, d)), None)
 add("overlap_contigs", lambda s, d: ly.overlap_consensus(ly.overlap_layout(planted_reads(s, d).select("read_id", F.col("truth").alias("seq")), 30), planted_reads(s, d).select("read_id", F.col("truth").alias("seq"))), None, "coverage")
+add("chain_reads", lambda s, d: ch.best_chains(ch.chains(ch.anchors(_passages(s, d).select(F.col("item_id").alias("read_id"), F.col("g").alias("seq")), _contigs(s, d)))), None)
