@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import moderated as md
+from helixframe.operators import selection as sl
 from helixframe.operators import statistics as st
 from helixframe.plans.common import COUNTS, EXPRESSION, R, counts, expression, integers, query, rounded, table
 
@@ -135,3 +136,11 @@ _SCORES = EXPRESSION + ", s0 AS (SELECT feature, var_samp(value) AS v, max(value
 for _name, _expr in {"weighted": "avg(CASE WHEN mx > 0 THEN score / mx ELSE 0 END)", "rank_product": "1 / exp(avg(ln(r + 1)))", "borda": "sum(m - r + 1)"}.items():
     add(f"consensus_{_name}", lambda s, d, how=_name: st.consensus(_scores(s, d), how).select("feature", "consensus"), query(_SCORES, sql=f"SELECT feature::BIGINT AS feature, {R(f'({_expr})::DOUBLE')} AS consensus FROM rk GROUP BY feature"), "consensus", ints=("feature",))
 add("selection_frequency", lambda s, d: st.selection_frequency(_scores(s, d)), query(_SCORES, sql=f"SELECT feature::BIGINT AS feature, {R('avg(CASE WHEN score > c THEN 1.0 ELSE 0.0 END)')} AS frequency FROM (SELECT feature, score, quantile_cont(score, 0.75) OVER (PARTITION BY method) AS c FROM scores) GROUP BY feature"), "frequency", ints=("feature",))
+
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("target"))
+
+
+add("selection_stability", lambda s, d: sl.stability(_labelled(s, d), 64, 20), None)
+add("selection_elimination", lambda s, d: sl.recursive_elimination(_labelled(s, d), 64), None)
