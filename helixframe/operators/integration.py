@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.fusion import fused_network
+from helixframe.operators.graph import settled
 from helixframe.operators.matrix import zscore
 
 
@@ -111,14 +113,12 @@ def snf(blocks: list[np.ndarray], k: int = 20, rounds: int = 20) -> np.ndarray:
 
 
 def similarity_network(fused: DataFrame, cohort: str | None = None, k: int = 20, rounds: int = 20, most: int = 1000) -> DataFrame:
-    """(cohort, src, dst, weight) of an early-fused matrix: each cohort's samples in one task, cohorts side by side.
+    """(cohort, src, dst, weight) of an early-fused matrix: all links between the samples of each cohort.
 
-    Fusion is quadratic in a cohort, so one of more than `most` samples is dealt into parts of about that size, named cohort/part.
+    A cohort of up to `most` samples is fused in one task, cohorts side by side; a larger one in blocks (`fusion`), with the same result.
     """
-    rows = fused.withColumn("cohort", F.col(cohort).cast("string") if cohort else F.lit("all"))
-    sizes = rows.groupBy("cohort").agg(F.ceil(F.count_distinct("sample") / most).alias("parts"))
-    part = F.pmod(F.xxhash64(F.col("sample").cast("string")), F.col("parts"))
-    rows = rows.join(sizes, "cohort").withColumn("cohort", F.when(F.col("parts") > 1, F.concat_ws("/", "cohort", part.cast("string"))).otherwise(F.col("cohort")))
+    rows = fused.withColumn("cohort", F.col(cohort).cast("string") if cohort else F.lit("all")).select("cohort", "sample", "block", "feature", "value")
+    sizes = settled(rows.groupBy("cohort").agg(F.count_distinct("sample").alias("n")))
 
     def fuse(part: pd.DataFrame) -> pd.DataFrame:
         samples = np.sort(part["sample"].unique())
@@ -128,7 +128,11 @@ def similarity_network(fused: DataFrame, cohort: str | None = None, k: int = 20,
         return pd.DataFrame({"cohort": part["cohort"].iloc[0], "src": samples[i], "dst": samples[j], "weight": w[i, j]})
 
     kind = dict(fused.dtypes)["sample"]
-    return rows.select("cohort", "sample", "block", "feature", "value").groupBy("cohort").applyInPandas(fuse, f"cohort string, src {kind}, dst {kind}, weight double")
+    small = rows.join(sizes.where(F.col("n") <= most).select("cohort"), "cohort", "left_semi").groupBy("cohort").applyInPandas(fuse, f"cohort string, src {kind}, dst {kind}, weight double")
+    large = sizes.where(F.col("n") > most).select("cohort")
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(fused_network(rows.join(large, "cohort", "left_semi"), k, rounds))
 
 
 def spectral_coordinates(w: np.ndarray, k: int = 2) -> np.ndarray:
