@@ -117,29 +117,31 @@ def adjust(tests: DataFrame, method: str = "fdr_bh", p: str = "p_value", family:
     Tests are results, not measurements; a family is ordered in one task, as every step-up or step-down rule asks for.
     """
     family = family or []
-    order = Window.partitionBy(*family).orderBy(p, tie)
+    order = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), tie)
     every = Window.partitionBy(*family)
-    up = Window.partitionBy(*family).orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the last rank backwards: a frame that ends at the last row would be gone through anew for each row
+    up = Window.partitionBy(*family).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*family).orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)
-    known = tests.where(F.col(p).isNotNull()).withColumn("__rank", F.row_number().over(order)).withColumn("__n", F.count("*").over(every))
+    # null p-values rank last and are not counted; what is taken over a frame leaves them out
+    rows = tests.withColumn("__rank", F.row_number().over(order)).withColumn("__n", F.count(p).over(every))
     x, n, rank = F.col(p), F.col("__n"), F.col("__rank")
     one = lambda c: F.least(c, F.lit(1.0))
     if method == "bonferroni":
-        done = known.withColumn(out, one(x * n))
+        done = rows.withColumn(out, one(x * n))
     elif method == "sidak":
-        done = known.withColumn(out, 1 - F.pow(1 - x, n))
+        done = rows.withColumn(out, 1 - F.pow(1 - x, n))
     elif method == "holm":
-        done = known.withColumn(out, one(F.max(x * (n - rank + 1)).over(down)))
+        done = rows.withColumn(out, one(F.max(x * (n - rank + 1)).over(down)))
     elif method == "holm_sidak":
-        done = known.withColumn(out, one(F.max(1 - F.pow(1 - x, n - rank + 1)).over(down)))
+        done = rows.withColumn(out, one(F.max(1 - F.pow(1 - x, n - rank + 1)).over(down)))
     elif method == "fdr_bh":
-        done = known.withColumn(out, one(F.min(x * n / rank).over(up)))
+        done = rows.withColumn(out, one(F.min(x * n / rank).over(up)))
     elif method == "fdr_by":
-        done = known.withColumn("__c", F.sum(1 / rank).over(every)).withColumn(out, one(F.min(x * n * F.col("__c") / rank).over(up))).drop("__c")
+        done = rows.withColumn("__c", F.sum(F.when(x.isNotNull(), 1 / rank)).over(every)).withColumn(out, one(F.min(x * n * F.col("__c") / rank).over(up))).drop("__c")
     elif method in ("fdr_tsbh", "fdr_tsbky"):
         # two stages: the rejections of the first estimate how many hypotheses hold
         alpha = 0.05 / 1.05 if method == "fdr_tsbky" else 0.05
-        first = known.withColumn("__a", one(F.min(x * n / rank).over(up)))
+        first = rows.withColumn("__a", one(F.min(x * n / rank).over(up)))
         m0 = n - F.count_if(F.col("__a") <= alpha).over(every)
         scaled = first.withColumn("__m", F.when(m0 > 0, m0 / n).otherwise(1.0 / n))
         done = scaled.withColumn(out, one(F.col("__a") * F.col("__m") * (1.05 if method == "fdr_tsbky" else 1.0))).drop("__a", "__m")
@@ -148,10 +150,10 @@ def adjust(tests: DataFrame, method: str = "fdr_bh", p: str = "p_value", family:
         shares = [F.count_if(x > s).over(every) / (n * (1 - s)) for s in steps]
         middle = F.array_sort(F.array(*shares))
         pi0 = one((F.element_at(middle, 9) + F.element_at(middle, 10)) / 2)
-        done = known.withColumn("__pi", pi0).withColumn(out, one(F.min(x * n / rank).over(up) * F.col("__pi"))).drop("__pi")
+        done = rows.withColumn("__pi", pi0).withColumn(out, one(F.min(x * n / rank).over(up) * F.col("__pi"))).drop("__pi")
     else:
         raise ValueError(f"unknown correction {method!r}")
-    return done.drop("__rank", "__n").unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    return done.withColumn(out, F.when(x.isNotNull(), F.col(out))).drop("__rank", "__n")
 
 
 # --- differential analysis ------------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def _reads(spark, sf_dir):
 _READS = "reads AS (SELECT l_suppkey % 4 AS ref, l_orderkey * 3 AS start, l_orderkey * 3 + l_quantity::BIGINT AS \"end\", l_orderkey * 8 + l_linenumber AS name, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, l_partkey % 60 AS mapq, l_orderkey % 4096 AS flag FROM lineitem)"
 _MERGED = "m AS (SELECT ref, start, \"end\", sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY ref ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, max(\"end\") OVER (PARTITION BY ref ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}))"
 add("merge_intervals", lambda s, d: iv.merged(_reads(s, d), "ref"), query(_READS, _MERGED.format(src="reads"), sql="SELECT ref, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM m GROUP BY ref, k"))
-add("range_overlap", lambda s, d: iv.overlaps(_reads(s, d).where("strand = '-'").withColumn("id", F.col("name")), _reads(s, d).where("strand = '+'").withColumn("id", F.col("name")), "ref", 1000), query(_READS, sql="SELECT a.name AS a_id, b.name AS b_id, least(a.\"end\", b.\"end\") - greatest(a.start, b.start) AS overlap FROM reads a JOIN reads b ON a.ref = b.ref AND a.start < b.\"end\" AND b.start < a.\"end\" WHERE a.strand = '-' AND b.strand = '+'"))
+add("range_overlap", lambda s, d: iv.overlaps(_reads(s, d).where("strand = '-'").withColumn("id", F.col("name")), _reads(s, d).where("strand = '+'").withColumn("id", F.col("name")), "ref", 64), query(_READS, sql="SELECT a.name AS a_id, b.name AS b_id, least(a.\"end\", b.\"end\") - greatest(a.start, b.start) AS overlap FROM reads a JOIN reads b ON a.ref = b.ref AND a.start < b.\"end\" AND b.start < a.\"end\" WHERE a.strand = '-' AND b.strand = '+'"))
 _STEPS = "ev AS (SELECT ref, pt, sum(d) AS d FROM (SELECT ref, start AS pt, 1 AS d FROM reads UNION ALL SELECT ref, \"end\", -1 FROM reads) GROUP BY 1, 2), steps AS (SELECT * FROM (SELECT ref, pt AS start, lead(pt) OVER (PARTITION BY ref ORDER BY pt) AS \"end\", (sum(d) OVER (PARTITION BY ref ORDER BY pt))::BIGINT AS depth FROM ev) WHERE \"end\" IS NOT NULL)"
 add("coverage_depth", lambda s, d: iv.depth_steps(_reads(s, d), "ref"), query(_READS, _STEPS, sql="SELECT ref, start, \"end\", depth FROM steps"))
 add("coverage_summary", lambda s, d: iv.coverage_summary(iv.depth_steps(_reads(s, d), "ref"), "ref", levels=(1, 10)), query(_READS, _STEPS, sql="SELECT ref, sum(n)::BIGINT AS span, " + ", ".join(f"{R(e)} AS {n}" for n, e in {"breadth": "sum(CASE WHEN depth > 0 THEN n ELSE 0 END) / sum(n)", "mean_depth": "sum(n * depth) / sum(n)", "at_least_1": "sum(CASE WHEN depth >= 1 THEN n ELSE 0 END) / sum(n)", "at_least_10": "sum(CASE WHEN depth >= 10 THEN n ELSE 0 END) / sum(n)"}.items()) + ", max(depth) AS max_depth FROM (SELECT *, \"end\" - start AS n FROM steps) GROUP BY ref"), "breadth", "mean_depth", "at_least_1", "at_least_10")
