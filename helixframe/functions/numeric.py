@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,14 +92,24 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers above 0, by Stirling's series beyond 8 steps."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - sum(np.log(x + k) for k in range(8))
+
+
 def hypergeom_sf(k: int, population: int, successes: int, draws: int) -> float:
     """P(X >= k)."""
 
-    def choose(n: int, r: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+    def choose(n: float, r: np.ndarray) -> np.ndarray:
+        return log_gamma(np.float64(n + 1)) - log_gamma(r + 1.0) - log_gamma(n - r + 1.0)
 
     low, high = max(k, draws + successes - population, 0), min(successes, draws)
-    return min(1.0, sum(math.exp(choose(successes, i) + choose(population - successes, draws - i) - choose(population, draws)) for i in range(low, high + 1)))
+    if low > high:
+        return 0.0
+    i = np.arange(low, high + 1)
+    return min(1.0, float(np.exp(choose(successes, i) + choose(population - successes, draws - i) - choose(population, np.float64(draws))).sum()))
 
 
 def _tail(function, *columns: pd.Series) -> pd.Series:
