@@ -152,3 +152,41 @@ def correct_reads(reads: DataFrame, key: str, k: int, seq: str = "seq", least: i
         done, open_ = still if done is None else done.unionAll(still), mended.where("moved").drop("moved")
         if not open_.limit(1).count():
             return done.select(F.col("read").alias(key), "seq", F.col("changes").cast("long").alias("changes"))
+
+
+def fill_gaps_by_graph(parts: DataFrame, reads: DataFrame, key: str, k: int = 31, least: int = 2, over: int = 50, steps: int = 8, seq: str = "seq") -> DataFrame:
+    """(scaffold, i, fill, edges, coverage): gaps of more than `over` bases of scaffold parts (scaffold, i, seq, orientation, gap: the length before the part) filled from the cleaned graph of all reads, which may be shorter than the gaps.
+
+    A walk leaves the edge that holds the last k-mer before the gap and goes along edges to the one with the first k-mer behind it. It takes at most `steps`
+    edges and must differ from the gap's length by less than half of it; of several the one closest to the length wins, then the better covered, then the smaller
+    text. A k-mer is on one edge alone, so common ones do not multiply. Parts shorter than k take no part; a gap without a walk has no row.
+    """
+    strand = F.when(F.col("orientation") == "-", sq.reverse_complement(seq)).otherwise(F.upper(seq))
+    before = F.lag("_s").over(Window.partitionBy("scaffold").orderBy("i"))
+    flanks = parts.select("scaffold", "i", "gap", strand.alias("_s")).withColumn("_b", before).where((F.col("gap") > over) & (F.length("_b") >= k) & (F.length("_s") >= k))
+    gaps = settled(flanks.select("scaffold", "i", "gap", F.right("_b", F.lit(k)).alias("left"), F.substring("_s", 1, k).alias("right")))
+    edges = cleaned(edges_of(reads, key, k, seq, least), k).select("edge", "src", "dst", "seq", (F.col("weight") / F.col("n_kmers")).alias("coverage"))
+    words = edges.select("edge", "dst", F.col("seq").alias("text"), "coverage", F.posexplode(sq.windows(F.col("seq"), k)).alias("at", "kmer"))
+    asked = gaps.select(F.explode(F.array("left", "right")).alias("kmer")).distinct()
+    held = settled(words.join(asked, "kmer", "left_semi"))
+    goal = gaps.join(held.select(F.col("kmer").alias("right"), F.col("edge").alias("goal"), F.col("at").alias("goal_at")), "right")
+    # text: what follows the last k-mer before the gap, to the end of the edges walked so far
+    walk = settled(goal.join(held.select(F.col("kmer").alias("left"), "edge", "dst", "at", F.col("text").alias("whole"), "coverage"), "left").select(
+        "scaffold", "i", "gap", "goal", "goal_at", "edge", "dst", F.lit(1).alias("edges"), "coverage", F.col("whole").substr(F.col("at") + k + 1, F.length("whole")).alias("text"), (F.length("whole") - k - F.col("at")).alias("reach"), (F.length("whole") - k).alias("last"), F.col("at").alias("first")))
+    found = None
+    for step in range(steps):
+        # the goal lies `last - goal_at` places before the end of the text, and its k-mer ends the walk
+        size = F.col("reach") - (F.col("last") - F.col("goal_at")) - k
+        here = walk.where((F.col("edge") == F.col("goal")) & ((F.col("edges") > 1) | (F.col("goal_at") > F.col("first")))).withColumn("size", F.greatest(size, F.lit(0)))
+        hits = here.where((size > -k) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap") * 0.5)).select("scaffold", "i", "gap", F.expr("substring(text, 1, size)").alias("fill"), "edges", "coverage")
+        found = hits if found is None else found.unionAll(hits)
+        if step + 1 == steps:
+            break
+        onward = edges.select(F.col("edge").alias("next"), F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("seq").alias("more"), F.col("coverage").alias("over"))
+        walk = settled(walk.join(onward, "dst").where(F.col("reach") <= F.col("gap") * 1.5 + k).select(
+            "scaffold", "i", "gap", "goal", "goal_at", F.col("next").alias("edge"), F.col("to").alias("dst"), (F.col("edges") + 1).alias("edges"), F.least("coverage", "over").alias("coverage"),
+            F.concat("text", F.substring("more", k, 1 << 30)).alias("text"), (F.col("reach") + F.length("more") - k + 1).alias("reach"), (F.length("more") - k).alias("last"), F.lit(-1).alias("first")))
+        if not walk.limit(1).count():
+            break
+    best = F.min(F.struct(F.abs(F.length("fill") - F.col("gap")).alias("off"), (-F.col("coverage")).alias("c"), "fill", "edges"))
+    return settled(found.groupBy("scaffold", "i").agg(best.alias("b")).select("scaffold", "i", "b.fill", "b.edges", (-F.col("b.c")).alias("coverage")))

@@ -132,3 +132,13 @@ add("scaffold_joins", lambda s, d: ly.matched(_links(s, d)).select("a", "b", "we
 add("scaffold_walks", lambda s, d: ly.scaffolds(_pieces(s, d), _links(s, d)), None)
 add("overlap_contigs", lambda s, d: ly.overlap_consensus(ly.overlap_layout(planted_reads(s, d).select("read_id", F.col("truth").alias("seq")), 30), planted_reads(s, d).select("read_id", F.col("truth").alias("seq"))), None, "coverage")
 add("chain_reads", lambda s, d: ch.best_chains(ch.chains(ch.anchors(_passages(s, d).select(F.col("item_id").alias("read_id"), F.col("g").alias("seq")), _contigs(s, d)))), None)
+
+
+def _gapped(spark, sf_dir):
+    """Passages of 260 bases or more as two parts with a gap of 100 bases before the second."""
+    rows = _passages(spark, sf_dir).where(F.length("g") >= 260)
+    part = F.struct(F.lit(0).alias("i"), F.substring("g", 1, 80).alias("seq"), F.lit(0).alias("gap")), F.struct(F.lit(1).alias("i"), F.substring("g", 181, 80).alias("seq"), F.lit(100).alias("gap"))
+    return rows.select(F.col("item_id").alias("scaffold"), F.explode(F.array(*part)).alias("p")).select("scaffold", "p.i", "p.seq", F.lit("+").alias("orientation"), "p.gap")
+
+
+add("fill_gaps_by_graph", lambda s, d: am.fill_gaps_by_graph(_gapped(s, d), planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None, "coverage")

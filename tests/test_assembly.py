@@ -6,7 +6,7 @@ import pytest
 
 from helixframe import catalog
 from helixframe.operators import assembly as am
-from helixframe.plans.assembly import planted_reads
+from helixframe.plans.assembly import _passages, planted_reads
 from tests.test_mapping import bases, reverse
 
 
@@ -113,3 +113,25 @@ def test_the_queries_undo_planted_errors(spark):
     words = {w for r in reads.values() for w in (r.truth[i : i + 21] for i in range(40))}
     found = [s[i : i + 21] for s in (r.seq for r in catalog.queries()["assemble_contigs"](spark, sf).collect()) for i in range(len(s) - 20)]
     assert sum(w in words or reverse(w) in words for w in found) >= 0.99 * len(found) and len(found) >= 0.9 * len({canonical(w) for w in words})
+
+
+def test_gaps_longer_than_reads_are_filled(spark):
+    rng = random.Random(15)
+    genome, other, repeat = bases(rng, 1500), bases(rng, 600), bases(rng, 40)
+    genome = genome[:600] + repeat + genome[640:760] + repeat + genome[800:]  # a repeat that the graph cannot tell apart by itself
+    reads, _ = sampled(rng, genome + other, 60, 3, 9)
+    df = spark.createDataFrame(reads, "read_id long, seq string")
+    parts = [
+        ("s", 0, genome[:200], "+", 0), ("s", 1, reverse(genome[420:560]), "-", 220), ("s", 2, genome[820:1000], "+", 260), ("s", 3, genome[1010:1100], "+", 10),
+        ("t", 0, other[:100], "+", 0), ("t", 1, other[300:400], "+", 900), ("u", 0, genome[1200:1300], "+", 0), ("u", 1, other[450:550], "+", 150), ("v", 0, "ACG", "+", 0), ("v", 1, genome[1300:1400], "+", 100),
+    ]
+    got = {(r.scaffold, r.i): r for r in am.fill_gaps_by_graph(spark.createDataFrame(parts, "scaffold string, i long, seq string, orientation string, gap long"), df, "read_id", 21).collect()}
+    assert set(got) == {("s", 1), ("s", 2)}
+    assert got["s", 1].fill == genome[200:420] and got["s", 2].fill == genome[560:820] and got["s", 2].edges > 1
+
+
+def test_the_query_fills_gaps_of_passages(spark):
+    sf = "/root/testdata/sf0.001"
+    genomes = {r.item_id: r.g for r in _passages(spark, sf).collect() if len(r.g) >= 260}
+    got = {r.scaffold: r.fill for r in catalog.queries()["fill_gaps_by_graph"](spark, sf).collect()}
+    assert len(got) >= 0.9 * len(genomes) > 0 and sum(got[i] == genomes[i][80:180] for i in got) >= 0.95 * len(got)
