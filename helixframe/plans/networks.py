@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import clinical as cl
+from helixframe.operators import centrality as ce
 from helixframe.operators import graph as g
 from helixframe.operators import integration as ig
 from helixframe.plans.common import EXPRESSION, R, expression, integers, query, rounded, table
@@ -34,6 +35,9 @@ add("graph_components", lambda s, d: g.components(_edges(s, d)), None)  # the cl
 add("graph_distances", lambda s, d: g.distances(g.both_ways(_edges(s, d)), 1), "WITH RECURSIVE " + _EDGES + ", walk AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT links.dst, distance + 1 FROM walk JOIN links ON links.src = walk.node WHERE distance < 20) SELECT node, min(distance)::BIGINT AS distance FROM walk GROUP BY node", ints=("distance",))
 add("graph_pagerank", lambda s, d: g.pagerank(_edges(s, d)), None, "rank")
 add("graph_communities", lambda s, d: g.large_communities(g.label_communities(_edges(s, d), 3)), None)
+add("graph_closeness", lambda s, d: ce.closeness(_edges(s, d)), None, "closeness")
+add("graph_hubs", lambda s, d: ce.hubs_and_authorities(_edges(s, d)), None, "hub", "authority")
+add("graph_eigenvector", lambda s, d: ce.eigenvector(_edges(s, d)), None, "centrality")
 
 add("integration_early_fusion", lambda s, d: ig.early_fusion(_blocks(s, d)).groupBy("block").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares")), query(EXPRESSION, "z AS (SELECT CASE WHEN feature < 32 THEN 'rna' ELSE 'protein' END AS block, (value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature) AS z FROM expression)", sql=f"SELECT block, count(*) AS n, {R('sum(z)')} AS total, {R('sum(z * z)')} AS squares FROM z GROUP BY block"), "total", "squares")
 add("integration_variance_shares", lambda s, d: ig.variance_shares(ig.early_fusion(_blocks(s, d), scale=False)), query(EXPRESSION, "v AS (SELECT feature, var_pop(value) AS v FROM expression GROUP BY feature), b AS (SELECT CASE WHEN feature < 32 THEN 'rna' ELSE 'protein' END AS block, sum(v) AS v FROM v GROUP BY 1)", sql=f"SELECT block, {R('v / (SELECT sum(v) FROM b)')} AS share FROM b"), "share")
