@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from helixframe.functions import sequence as sq
 from helixframe.operators.annotation import chunks
+from helixframe.operators.graph import settled
 
 #: Lengths of seeds; a read gets the longest of which it holds enough.
 SEED_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -84,10 +86,7 @@ def placements(reads: DataFrame, contigs: DataFrame, read: str = "read_id", cont
     met = offers.withColumn("offset", F.col("start") - F.col("start") % size).join(cut, ["contig", "offset"]).join(rows, ["read", "strand"])
     here = F.col("part").substr(F.col("start") - F.col("offset") + 1, F.col("size"))
     met = met.select(F.col("read").alias(read), F.col("contig").alias(contig), F.col("start").cast("long").alias("start"), "strand", "size", here.alias("here"), "seq").where(F.length("here") == F.col("size"))
-    schema = [f for f in met.schema.fields[:5]]
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return met.mapInArrow(_differences, StructType([*schema, StructField("mismatches", LongType())])).where(F.col("mismatches") <= most)
+    return met.mapInArrow(_differences, StructType([*met.schema.fields[:5], StructField("mismatches", LongType())])).where(F.col("mismatches") <= most)
 
 
 def mapping_quality(mismatches) -> Column:
@@ -122,7 +121,7 @@ def spliced(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig:
     contig, start and intron. Forward strand only. Halves meet by bins of the larger bound.
     """
     whole = placements(reads, contigs, read, contig, seq, most, both=False).select(F.col(read).alias("placed")).distinct()
-    rest = reads.join(whole, F.col(read) == F.col("placed"), "left_anti").select(F.col(read), F.upper(seq).alias("s"), F.floor(F.length(seq) / 2).cast("int").alias("half"))
+    rest = settled(reads.join(whole, F.col(read) == F.col("placed"), "left_anti").select(F.col(read), F.upper(seq).alias("s"), F.floor(F.length(seq) / 2).cast("int").alias("half")))
     left, right = (placements(rest.select(read, s.alias("seq")), contigs, read, contig, seq, most, both=False) for s in (F.substring("s", F.lit(1), F.col("half")), F.col("s").substr(F.col("half") + 1, F.length("s"))))
     wide = intron[1]
     a = left.select(read, contig, "start", (F.col("start") + F.col("size")).alias("intron_start"), F.col("size").alias("n1"), F.col("mismatches").alias("m1"))
