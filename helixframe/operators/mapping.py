@@ -136,3 +136,18 @@ def spliced(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig:
     cigar = F.concat(F.col("n1").cast("string"), F.lit("M"), length.cast("string"), F.lit("N"), F.col("n2").cast("string"), F.lit("M"))
     best = F.min(F.struct((F.col("m1") + F.col("m2")).alias("mismatches"), contig, "start", "intron_start", "intron_end", cigar.alias("cigar")))
     return met.groupBy(read).agg(best.alias("b")).select(read, f"b.{contig}", "b.start", "b.intron_start", "b.intron_end", "b.cigar", "b.mismatches")
+
+
+def guided_contigs(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig: str = "contig", seq: str = "seq", most: int = 2, depth: int = 2, least: int = 200) -> DataFrame:
+    """(contig, start, end, coverage, seq): stretches of at least `least` bases of the reference that `depth` reads or more cover at each place, from 0, with the commonest base of the reads (the smallest of equals).
+
+    A read stands at its best place (see `best_placements`), on the strand that fits. Bases are counted before they are shuffled on; a stretch is put together as one row.
+    """
+    placed = best_placements(placements(reads, contigs, read, contig, seq, most), read, contig).select(F.col(read).alias("r"), F.col(contig).alias("contig"), "start", "strand")
+    rows = placed.join(reads.select(F.col(read).alias("r"), F.upper(seq).alias("s")), "r").withColumn("s", F.when(F.col("strand") == "+", F.col("s")).otherwise(sq.reverse_complement("s")))
+    bases = rows.select("contig", "start", F.posexplode(F.split("s", "")).alias("i", "base")).groupBy("contig", (F.col("start") + F.col("i")).alias("pos"), "base").agg(F.count("*").alias("n"))
+    won = bases.groupBy("contig", "pos").agg(F.sum("n").alias("depth"), F.min(F.struct((-F.col("n")).alias("n"), "base")).alias("b")).where(F.col("depth") >= depth)
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("contig").orderBy("pos"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b.base"))), lambda x: x["base"]), "")
+    made = won.withColumn("island", island).groupBy("contig", "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.avg("depth").alias("coverage"), text.alias("seq"))
+    return made.where(F.col("end") - F.col("start") >= least).select(F.col("contig").alias(contig), "start", "end", "coverage", "seq")

@@ -10,7 +10,7 @@ from helixframe.operators import chaining as ch
 from helixframe.operators import genes as gn
 from helixframe.operators import layout as ly
 from helixframe.operators import mapping as mp
-from helixframe.plans.common import TEXT_DNA, query, rounded, table, text_dna
+from helixframe.plans.common import TEXT_DNA, R, query, rounded, table, text_dna
 
 QUERIES: dict = {}
 
@@ -142,3 +142,6 @@ def _gapped(spark, sf_dir):
 
 
 add("fill_gaps_by_graph", lambda s, d: am.fill_gaps_by_graph(_gapped(s, d), planted_reads(s, d).select("read_id", "seq"), "read_id", 21), None, "coverage")
+_COVERED = """p AS (SELECT item_id, g, (length(g) - 60) // 6 * 6 AS last FROM passages WHERE length(g) >= 60), r AS (SELECT item_id, last, unnest(range(0, last + 1, 6)) AS i FROM p WHERE last + 48 >= 200),
+ d AS (SELECT item_id, pos, count(*) AS n FROM (SELECT item_id, unnest(range(i, i + 60)) AS pos FROM r) GROUP BY ALL HAVING count(*) >= 2), y AS (SELECT item_id, min(pos) AS a, max(pos) + 1 AS b, avg(n) AS coverage FROM d GROUP BY item_id)"""
+add("guided_contigs", lambda s, d: mp.guided_contigs(planted_reads(s, d).select("read_id", "seq"), _passages(s, d).select(F.col("item_id").alias("contig"), F.col("g").alias("seq"))), query(_PASSAGES, _COVERED, sql=f"SELECT item_id AS contig, a AS start, b AS \"end\", {R('coverage')} AS coverage, substr(g, a::INT + 1, (b - a)::INT) AS seq FROM y JOIN passages USING (item_id)"), "coverage")

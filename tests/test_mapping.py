@@ -103,3 +103,34 @@ def test_pairs_and_introns(spark, genome):
     r, c = frames(spark, reads, [("g", gene), ("h", None)])
     got = {x.read_id: (x.start, x.intron_start, x.intron_end, x.cigar, x.mismatches) for x in mp.spliced(r, c).collect()}
     assert got == {1: (60, 80, 484, "20M404N20M", 0), 4: (55, 80, 484, "25M404N25M", 2)}
+
+
+def test_contigs_guided_by_a_reference(spark):
+    rng = random.Random(16)
+    reference = bases(rng, 1200)
+    sample = list(reference)
+    for i in range(50, 1200, 90):  # the sample differs here and there
+        sample[i] = "A" if sample[i] != "A" else "C"
+    sample = "".join(sample)
+    reads = []
+    for k, i in enumerate([*range(0, 500, 7), *range(560, 640, 40), *range(700, 1150, 9)]):
+        s = sample[i : i + 50]
+        reads.append((k, reverse(s) if k % 3 == 0 else s))
+    reads += [(900, bases(rng, 50)), (901, None)]
+    r, c = frames(spark, reads, [("ref", reference), ("none", "")])
+    piles = {}
+    places = {(q, i, s) for q, n, i, s, d in brute(reads, [("ref", reference)], 2)}
+    for q, i, s in places:
+        text = dict(reads)[q]
+        for j, b in enumerate(reverse(text) if s == "-" else text):
+            piles.setdefault(i + j, []).append(b)
+    want, run = [], []
+    for p in range(1202):
+        if len(piles.get(p, [])) >= 2:
+            run.append(p)
+        else:
+            if len(run) >= 200:
+                want.append((run[0], run[-1] + 1, "".join(min(set(piles[x]), key=lambda b: (-piles[x].count(b), b)) for x in run)))
+            run = []
+    got = sorted((x.start, x.end, x.seq) for x in mp.guided_contigs(r, c).collect())
+    assert len(places) == len({q for q, _, _ in places}) and got == want and len(got) == 2 and all(s == sample[a:b] for a, b, s in got)
