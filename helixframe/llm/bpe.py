@@ -113,6 +113,11 @@ class ForcedBoundaryEncoder:
         encode = self._core.encode_single_piece
         return encode(parts[0]) if len(parts) == 1 else [i for part in parts for i in encode(part)]
 
+    def merged(self, pretoken: str) -> list[int]:
+        """The same ids by one merge of the whole pre-token: cheaper where pre-tokens are short words."""
+        data = pretoken.encode()
+        return self._core.encode_single_piece(data + _END if self.suffix else data)
+
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens, normalised."""
         if not _RARE.search(text):

@@ -46,7 +46,7 @@ def _bytes(path: str) -> Memo:
     swap = sys.byteorder != "little"
 
     def make(key: str | tuple[str]) -> bytes:
-        ids = array("I", enc.ids_for(key))
+        ids = array("I", enc.merged(key) if isinstance(key, str) else enc.ids_for(key))
         if swap:
             ids.byteswap()
         return ids.tobytes()
