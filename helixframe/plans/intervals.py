@@ -35,7 +35,7 @@ add("mark_duplicates", lambda s, d: iv.with_duplicates(_reads(s, d)).groupBy("re
 add("alignment_statistics", lambda s, d: iv.alignment_statistics(_reads(s, d)), query(_READS, sql="SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE flag & {b} <> 0) AS {n}" for n, b in {"proper_pairs": 2, "secondary": 256, "supplementary": 2048, "duplicates": 1024, "reverse": 16}.items()) + f", count(*) FILTER (WHERE flag & 4 = 0) AS mapped, {R('avg(mapq) FILTER (WHERE flag & 4 = 0)')} AS mean_mapq, {R('''avg("end" - start) FILTER (WHERE flag & 4 = 0)''')} AS mean_length FROM reads"), "mean_mapq", "mean_length")
 add("insert_size_stats", lambda s, d: iv.insert_sizes(table(s, d, "orders").select((F.col("o_orderkey") % 5).alias("lib"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("insert_size")), "insert_size", "lib").select("lib", "q1", "median", "q3", "n", "mean", "sd"), query("x AS (SELECT o_orderkey % 5 AS lib, floor(o_totalprice / 1000)::BIGINT AS s FROM orders WHERE floor(o_totalprice / 1000) <> 0), q AS (SELECT lib, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.5) AS median, quantile_cont(s, 0.75) AS q3 FROM x GROUP BY lib)", sql=f"SELECT lib, q1, median, q3, count(*) AS n, {R('avg(s)')} AS mean, {R('stddev_samp(s)')} AS sd FROM x JOIN q USING (lib) WHERE s BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL"), "mean", "sd")
 add("pileup_consensus", lambda s, d: iv.pileup_consensus(iv.pileup(table(s, d, "benchmark").select((F.col("item_id") % 3).alias("ref"), (F.col("item_id") * 2).alias("start"), F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq")), "seq", "ref"), "ref"), query("p AS (SELECT ref, start + i - 1 AS pos, substr(seq, i, 1) AS base, count(*) AS n FROM (SELECT item_id % 3 AS ref, item_id * 2 AS start, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM benchmark), (SELECT unnest(range(1, 33)) AS i) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY ref, pos ORDER BY n DESC, base) AS k, sum(n) OVER (PARTITION BY ref, pos)::BIGINT AS depth FROM p)", sql=f"SELECT ref, pos, depth, CASE WHEN n / depth >= 0.5 THEN base ELSE 'N' END AS base, {R('n / depth')} AS share FROM r WHERE k = 1"), "share")
-add("gene_clusters", lambda s, d: iv.clusters(_reads(s, d), "ref", 5).groupBy("ref", "cluster").agg(F.count("*").alias("n")).where("n >= 5"), query(_READS, sql="SELECT ref, cluster::BIGINT AS cluster, count(*) AS n FROM (SELECT ref, sum(b) OVER (PARTITION BY ref ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN start - lag(\"end\") OVER (PARTITION BY ref ORDER BY start, \"end\") > 5 THEN 1 ELSE 0 END AS b FROM reads)) GROUP BY 1, 2 HAVING count(*) >= 5"))
+add("gene_clusters", lambda s, d: iv.clusters(_reads(s, d), "ref", 5).groupBy("ref", "cluster").agg(F.count("*").alias("n")).where("n >= 5"), query(_READS, sql="SELECT ref, cluster::BIGINT AS cluster, count(*) AS n FROM (SELECT ref, sum(b) OVER (PARTITION BY ref ORDER BY start, \"end\") AS cluster FROM (SELECT *, CASE WHEN start - lag(\"end\") OVER (PARTITION BY ref ORDER BY start, \"end\") > 5 THEN 1 ELSE 0 END AS b FROM reads)) GROUP BY 1, 2 HAVING count(*) >= 5"))
 add("misassembly_gaps", lambda s, d: iv.misassemblies(_reads(s, d).withColumnRenamed("ref", "contig"), 20), query(_READS, sql="SELECT * FROM (SELECT ref AS contig, start, start - lag(\"end\") OVER (PARTITION BY ref ORDER BY start, \"end\") AS gap FROM reads) WHERE abs(gap) > 20"))
 add("length_histogram", lambda s, d: iv.histogram(table(s, d, "documents"), "n_chars", 20, 0, 10000), "SELECT CASE WHEN n_chars < 0 THEN 0 WHEN n_chars >= 10000 THEN 21 ELSE floor(n_chars / 500)::BIGINT + 1 END AS bin, count(*) AS n FROM documents GROUP BY 1")
 add("length_percentiles", lambda s, d: table(s, d, "documents").groupBy("lang").agg(*iv.percentiles("n_chars")), "SELECT lang, " + ", ".join(f"floor(quantile_cont(n_chars, {x / 100}))::BIGINT AS p{x}" for x in (10, 25, 50, 75, 90, 95, 99)) + " FROM documents GROUP BY lang")
