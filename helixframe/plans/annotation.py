@@ -93,8 +93,17 @@ def _drafts(spark, sf_dir):
     return one.select("draft", F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "TGCA"), F.substring("seq", 22, 43)).alias("seq"))
 
 
-add("polish_corrections", lambda s, d: sc.corrections(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, sql="SELECT min(doc_id) AS draft, 20::BIGINT AS pos, translate(substr(seq, 21, 1), 'ACGT', 'TGCA') AS old, substr(seq, 21, 1) AS new, 10 * count(*) AS weight FROM dna WHERE seq IS NOT NULL GROUP BY seq"))
-add("polish_drafts", lambda s, d: sc.polished(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, sql="SELECT min(doc_id) AS draft, seq, 1::BIGINT AS n_corrections FROM dna WHERE seq IS NOT NULL GROUP BY seq"))
+_SHARED = """drafts AS (SELECT min(doc_id) AS draft, substr(seq, 1, 20) || translate(substr(seq, 21, 1), 'ACGT', 'TGCA') || substr(seq, 22, 43) AS seq FROM dna GROUP BY dna.seq), places AS (SELECT unnest(range(1, 65)) AS i),
+ dw AS (SELECT draft, length(seq) AS size, i AS p, substr(seq, i, 15) AS kmer FROM drafts JOIN places ON i <= length(seq) - 14), rw AS (SELECT doc_id, length(seq) AS size, i, substr(seq, i, 15) AS kmer FROM dna JOIN places ON i <= length(seq) - 14),
+ hits AS (SELECT doc_id, draft, p - i AS start, count(*) AS n FROM dw JOIN rw USING (kmer) WHERE p - i BETWEEN 0 AND dw.size - rw.size GROUP BY ALL),
+ placed AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, draft ORDER BY n DESC, start) = 1)"""
+_AGREED = """w AS (SELECT draft, start + i - 1 AS pos, substr(seq, i, 1) AS base, 10 * count(*) AS w FROM placed JOIN dna USING (doc_id) JOIN places ON i <= length(seq) GROUP BY ALL),
+ won AS (SELECT draft, pos, base, w, sum(w) OVER (PARTITION BY draft, pos)::BIGINT AS weight FROM w QUALIFY row_number() OVER (PARTITION BY draft, pos ORDER BY w DESC, base) = 1),
+ old AS (SELECT draft, i - 1 AS pos, substr(seq, i, 1) AS old FROM drafts JOIN places ON i <= length(seq)),
+ changes AS (SELECT draft, pos, old, base AS new, weight FROM won JOIN old USING (draft, pos) WHERE weight >= 3 AND w >= weight * 0.6 AND old <> base)"""
+add("polish_corrections", lambda s, d: sc.corrections(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, _SHARED, _AGREED, sql="SELECT * FROM changes"))
+add("polish_drafts", lambda s, d: sc.polished(_drafts(s, d), dna(s, d), "draft", "doc_id"), query(DNA, _SHARED, _AGREED, "mended AS (SELECT draft, string_agg(coalesce(new, old), '' ORDER BY pos) AS seq, count(new) AS n FROM old LEFT JOIN changes USING (draft, pos, old) GROUP BY draft)", sql="SELECT draft, mended.seq AS seq, coalesce(n, 0) AS n_corrections FROM drafts LEFT JOIN mended USING (draft)"))
+
 
 
 def _orders_of_parts(spark, sf_dir):
