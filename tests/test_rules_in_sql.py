@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe import catalog
+from helixframe.functions import sequence as sq
 from helixframe.operators import intervals as iv
 
 
@@ -35,3 +37,12 @@ def test_a_word_shared_by_chance_keeps_drafts_from_being_mended(spark, tmp_path,
     rows = [(1, "text 1238"), (2, "text 10658"), (3, "text 1"), (4, "text 1"), (5, None)]
     spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert differences(spark, tmp_path, name) == []
+
+
+def test_structure_propensity_takes_up_its_sequence_once(spark):
+    # written out for each residue, a protein that is computed on the way was computed over a hundred times a row
+    df = spark.createDataFrame([(1, "AAAA"), (2, ""), (3, None), (4, "aX")], "id long, seq string")
+    made = df.select("id", sq.structure_propensity(F.concat(F.reverse("seq"), F.lit(""))).alias("s"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 2
+    got = {r.id: r.s and tuple(round(x, 9) for x in r.s) for r in made.collect()}
+    assert got == {1: (1.42, 0.83, 0.75), 2: None, 3: None, 4: (1.21, 0.915, 0.875)}
