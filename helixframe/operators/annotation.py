@@ -5,12 +5,17 @@ Proteins and contigs of null sequences have no hits and null terms; letter case
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from helixframe.functions import sequence as sq
+from helixframe.operators.graph import settled
 
 # Fixed values, all tables down to MARKERS: screening motifs of domains (identifier, name, description, motif, score, e-value), of orthology groups and
 # enzymes, pathways of orthology groups, category names, conserved stretches of ribosomal genes with their least lengths, marker stretches of assemblies.
@@ -146,18 +151,44 @@ def ribosomal_rna(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     return _placed(found.withColumn("score", score), key, "product", "score")
 
 
+def near_heads(parts: DataFrame, key: str, size: int, within: int) -> DataFrame:
+    """(key, head): the words of `size` letters that recur at most `within` places on in a part (column s). Told apart by hashes, so a few others may be among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for k, s in enumerate(batch.column(1).to_pylist()):
+                letters = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                n = len(letters) - size + 1
+                if n < 2:
+                    continue
+                code = np.zeros(n, dtype=np.uint64)
+                for j in range(size):
+                    code = code * np.uint64(0x9E3779B97F4A7C15) + letters[j : j + n]
+                order = np.argsort(code, kind="stable")
+                again = (code[order][1:] == code[order][:-1]) & (np.diff(order) <= within)
+                words = {s[i : i + size] for i in order[1:][again]}
+                keys += [k] * len(words)
+                found += sorted(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=[key, "head"])
+
+    return parts.select(key, "s").mapInArrow(run, StructType([parts.schema[key], StructField("head", StringType())])).distinct()
+
+
 def crispr_arrays(df: DataFrame, key: str, seq: str = "seq", repeat: tuple[int, int] = (23, 55), spacer: tuple[int, int] = (26, 72), least: int = 3, chunk: int = 2000) -> DataFrame:
     """(key, repeat, first, last, n_repeats): words without N found `least` times or more in a contig, with every gap between neighbours a spacer's length.
 
-    A longer word repeats only where its first letters do, so only places of repeated shortest words are widened to the other lengths.
+    A longer word repeats only where its first letters do, and its neighbours are no further apart than its length and a spacer. So only places of
+    shortest words that recur so near (`near_heads`) are widened to the other lengths, and contigs without such words are not shuffled.
     """
     short, longest = repeat
-    cut = chunks(df.select(key, F.upper(seq).alias("s"), F.length(seq).alias("n")), "s", chunk, longest - 1)
+    named = df.select(key, F.upper(seq).alias("s"), F.length(seq).alias("n")).where(F.col(key).isNotNull())
+    heads = settled(near_heads(chunks(named, "s", chunk, spacer[1] + longest + short), key, short, spacer[1] + longest))
+    cut = chunks(named.join(heads.select(key).distinct(), key, "left_semi"), "s", chunk, longest - 1)
     starts = sq.positions(F.least(F.lit(chunk), F.col("n") - F.col("offset") - short + 1))
     places = cut.select(key, "offset", F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), F.substring(F.col("s"), i, F.lit(longest)).alias("w")))).alias("h"))
     places = places.select(key, (F.col("offset") + F.col("h.i") - 1).alias("at"), "h.w").where(~F.substring("w", 1, short).contains("N"))
-    often = places.groupBy(key, F.substring("w", 1, short).alias("head")).count().where(F.col("count") >= least).drop("count")
-    seen = places.withColumn("head", F.substring("w", 1, short)).join(often, [key, "head"], "left_semi")
+    seen = places.withColumn("head", F.substring("w", 1, short)).join(heads, [key, "head"], "left_semi")
     sizes = F.sequence(F.lit(short), F.length("w"))
     words = seen.select(key, "at", F.explode(F.transform(sizes, lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("repeat")).where(~F.col("repeat").contains("N"))
     gap = F.col("at") - F.lag("at").over(Window.partitionBy(key, "repeat").orderBy("at")) - F.length("repeat")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe import catalog
 from helixframe.functions import sequence as sq
+from helixframe.operators import annotation as an
 from helixframe.operators import intervals as iv
 
 
@@ -46,3 +47,14 @@ def test_structure_propensity_takes_up_its_sequence_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 2
     got = {r.id: r.s and tuple(round(x, 9) for x in r.s) for r in made.collect()}
     assert got == {1: (1.42, 0.83, 0.75), 2: None, 3: None, 4: (1.21, 0.915, 0.875)}
+
+
+def test_only_words_that_recur_nearby_are_widened(spark):
+    unit, far = "ACGTTGCAAGTCCATGACGGTATCG", "TTGACCGGATATCCGCATGGTACCA"
+    array = "C".join(unit + g for g in ("GATTACA" * 5, "CCGTAGA" * 5, ""))
+    rows = [(1, array), (2, far + "AC" * 10 + "G" * 9 + "AT" * 300 + "C" + far), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    heads = {(r.id, r["head"]) for r in an.near_heads(df.where("s IS NOT NULL"), "id", 23, 127).collect()}
+    assert (1, unit[:23]) in heads and (2, far[:23]) not in heads
+    found = [tuple(r) for r in an.crispr_arrays(df.withColumnRenamed("s", "seq"), "id").collect()]
+    assert {f[0] for f in found} == {1} and (1, unit, 1, 25 * 3 + 35 * 2 + 2, 3) in found
