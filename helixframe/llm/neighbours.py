@@ -30,7 +30,7 @@ LIST, REVERSE, ROUNDS, SETTLED = 32, 12, 8, 0.02
 #: Projections of the start, their windows; beam, nodes expanded a round.
 PROJECTIONS, WINDOW, BEAM, EXPAND = 3, 128, 192, 48
 #: Nodes that are brought together in one task's group, nodes of a task of the start and of the search, queries of a group.
-NODES_PER_BLOCK, NODES_PER_TASK, QUERIES_PER_BLOCK = 300, 5000, 500
+NODES_PER_BLOCK, NODES_PER_TASK, QUERIES_PER_BLOCK = 300, 5000, 100
 #: Offers that a task holds before it drops all but the best of each node.
 HELD = 200_000
 _LISTS = "id long, ids array<long>, scores array<double>, fresh array<boolean>"
