@@ -1,7 +1,9 @@
 """Reads on contigs: all places within a number of mismatches, pairs of mates, spliced reads, and chains of shared minimizers.
 
 A read that fits with `most` mismatches matches in one of any `most` + 1 parts of it. Of a read's disjoint seeds the rarest in the contigs
-are taken, so common seeds are looked up only for reads that have no others; every place that a seed offers is verified on the bases.
+are taken, so common seeds are looked up only for reads that have no others. Windows of the contigs are hashed where they are read and only
+those that some seed may equal (a filter of bits) are shuffled, with two bits of each of the bases beside them: what a seed offers is dropped in
+its join when these differ too often, so a repeat's windows do not pass it, and every place that is left is verified on the bases.
 Contigs are cut into overlapping chunks: no task holds a chromosome, and long joins are by seed, by chunk and by bins of places.
 """
 
@@ -22,7 +24,9 @@ from helixframe.operators.graph import settled
 
 #: Lengths of seeds; a read gets the longest of which it holds enough.
 SEED_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-CHUNK = 2000
+CHUNK = 20_000
+#: Characters before and behind a seed that its join compares; logarithm of the bits of the filter of seeds at most (16 MB).
+BESIDE, FILTER = 32, 27
 
 
 def _strands(reads: DataFrame, read: str, seq: str, both: bool) -> DataFrame:
@@ -32,22 +36,97 @@ def _strands(reads: DataFrame, read: str, seq: str, both: bool) -> DataFrame:
     return rows.withColumn("size", F.length("seq")).where("size > 0")
 
 
-def _seeds(rows: DataFrame, parts: int) -> DataFrame:
-    """(read, strand, width, offset, seed): the disjoint seeds of each read."""
-    width = reduce(lambda found, w: found.when(F.col("size") >= w * parts, w), sorted(SEED_SIZES, reverse=True), F)
-    sized = rows.withColumn("width", width).where("width IS NOT NULL")
-    cut = F.transform(F.sequence(F.lit(0), F.col("size") - F.col("width"), F.col("width")), lambda o: F.struct(o.alias("offset"), F.substring(F.col("seq"), o + 1, F.col("width")).alias("seed")))
-    return sized.select("read", "strand", "width", F.explode(cut).alias("s")).select("read", "strand", "width", "s.*")
-
-
-def _places(contigs: DataFrame, contig: str, seq: str, widths: list[int]) -> DataFrame:
-    """(width, seed, contig, at): every window of the contigs in each of the widths (at most as many as SEED_SIZES)."""
-    named = contigs.select(F.col(contig).alias("contig"), F.upper(seq).alias("seq"))
-    parts = []
-    for w in widths:
-        cut = chunks(named, "seq", CHUNK, w - 1)
-        parts.append(cut.select(F.lit(w).alias("width"), F.posexplode(sq.windows(F.col("seq"), w)).alias("i", "seed"), "contig", "offset").select("width", "seed", "contig", (F.col("offset") + F.col("i")).alias("at")))
-    return reduce(DataFrame.unionAll, parts)
+def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each window of so many characters, put together from those of half as long ones."""
+    if width == 1:
+        return codes.astype(np.uint64) + np.uint64(1)
+    left = width // 2
+    a, b = _hashes(codes, left), _hashes(codes, width - left)
+    n = max(0, codes.shape[-1] - width + 1)
+    mixed = (a[..., :n] * np.uint64(0x9E3779B97F4A7C15) ^ (b[..., left : left + n] + np.uint64(width))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _packed(pairs: np.ndarray) -> np.ndarray:
+    """For each place the pairs of bits of the BESIDE places from there, as one number."""
+    found, n = pairs.astype(np.uint64), 1
+    while n < BESIDE:
+        found = found[..., :-n] << np.uint64(2 * n) | found[..., n:]
+        n *= 2
+    return found
+
+
+def _beside(codes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each of the BESIDE characters before and behind the windows at these places; equal characters have equal bits, outside there are none."""
+    packed = _packed(np.pad(codes >> 1 & 3, [(0, 0)] * (codes.ndim - 1) + [(BESIDE, BESIDE)])).view(np.int64)
+    return packed[..., at], packed[..., at + BESIDE + width]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - size)
+
+
+def _seeds(rows: DataFrame, size: int) -> DataFrame:
+    """(read, strand, width, offset, seed, bit, left, right, left_mask, right_mask): the disjoint seeds of each read by their hashes, what is beside them, and which of it belongs to the read."""
+    kind = rows.schema["read"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, widths = batch.column(3).to_pylist(), batch.column(2).to_pylist()
+            alike: dict[tuple[int, int], list[int]] = {}
+            for row, shape in enumerate(zip(map(len, texts), widths)):
+                alike.setdefault(shape, []).append(row)
+            for (length, width), owners in alike.items():
+                codes = _codes("".join(texts[row] for row in owners)).reshape(len(owners), length)
+                at = np.arange(0, length - width + 1, width)
+                seeds = np.ascontiguousarray(_hashes(codes, width)[:, at])
+                masks = _beside(np.full((1, length), 2, dtype=np.uint32), at, width)  # code 2 has the bits 01
+                columns = np.broadcast_to(at, seeds.shape), seeds.view(np.int64), _bits(seeds, size).astype(np.int64), *_beside(codes, at, width), *(np.broadcast_to(m, seeds.shape) for m in masks)
+                owner = pa.array(np.repeat(owners, len(at)))
+                yield pa.RecordBatch.from_arrays([*(c.take(owner) for c in batch.columns[:3]), *(pa.array(np.ravel(c)) for c in columns)], names=names)
+
+    names = ["read", "strand", "width", "offset", "seed", "bit", "left", "right", "left_mask", "right_mask"]
+    return rows.select("read", "strand", "width", "seq").mapInArrow(cut, f"read {kind}, strand string, width int, " + ", ".join(f"{x} long" for x in names[3:]))
+
+
+def _held(seeds: DataFrame, size: int) -> np.ndarray:
+    """The filter of all seeds: 2 ** size bits (16 MB at most, see FILTER), those of a seed's hash set."""
+    rows = seeds.groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()
+    held = np.zeros(max(1, 2**size // 8), dtype=np.uint8)
+    for row in rows:
+        part = np.frombuffer(row.bits, dtype=np.uint8)[: len(held)]
+        held[row.part * 4096 : row.part * 4096 + len(part)] = part
+    return held
+
+
+def _places(contigs: DataFrame, contig: str, seq: str, widths: list[int], held: np.ndarray, size: int) -> DataFrame:
+    """(width, seed, contig, at, left, right): the windows of the contigs in each of the widths that pass the filter of the seeds, by their hashes, and what is beside them."""
+    kind = contigs.schema[contig].dataType.simpleString()
+    cut = chunks(contigs.select(F.col(contig).alias("contig"), F.upper(seq).alias("seq")), "seq", CHUNK, 2 * BESIDE + max(widths) - 1)
+    chunk, shared = CHUNK, contigs.sparkSession.sparkContext.broadcast(held)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for row, (offset, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                codes = _codes(text)
+                for width in widths:
+                    hashes = _hashes(codes, width)
+                    first, last = BESIDE if offset else 0, min(chunk + BESIDE, len(hashes))
+                    if first >= last:
+                        continue
+                    bits = _bits(hashes[first:last], size)
+                    at = first + np.flatnonzero(held[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        columns = np.full(len(at), width, dtype=np.int32), hashes[at].view(np.int64), at + offset, *_beside(codes, at, width)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), row))), *map(pa.array, columns)], names=names)
+
+    names = ["contig", "width", "seed", "at", "left", "right"]
+    return cut.select("contig", "offset", "seq").mapInArrow(windows, f"contig {kind}, width int, seed long, at long, left long, right long")
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,22 +148,28 @@ def placements(reads: DataFrame, contigs: DataFrame, read: str = "read_id", cont
     everywhere and are left out, as are null and empty ones. Equal reads have their own rows.
     """
     kinds = {contig: contigs.schema[contig].dataType, read: reads.schema[read].dataType}
-    rows = _strands(reads, read, seq, both)
-    seeds = _seeds(rows, most + 1)
-    widths = sorted(r.width for r in seeds.select("width").distinct().collect())  # at most as many as SEED_SIZES
-    if not widths:
+    parts = most + 1
+    width = reduce(lambda found, w: found.when(F.col("size") >= w * parts, w), sorted(SEED_SIZES, reverse=True), F)
+    rows = settled(_strands(reads, read, seq, both).withColumn("width", width).where("width IS NOT NULL"))
+    kept = rows.groupBy("width").agg(F.max("size").alias("longest"), F.sum(F.floor(F.col("size") / F.col("width"))).alias("n")).collect()  # at most as many as SEED_SIZES
+    if not kept:
         empty = F.lit(None)
         return reads.where("false").select(F.col(read), empty.cast(kinds[contig]).alias(contig), empty.cast("long").alias("start"), empty.cast("string").alias("strand"), empty.cast("int").alias("size"), empty.cast("long").alias("mismatches"))
-    places = _places(contigs, contig, seq, widths)
-    known = places.groupBy("width", "seed").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("read", "strand").orderBy("n", "offset")
-    rare = seeds.join(known, ["width", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(order)).where(f"rank <= {most + 1} AND n > 0")
-    offers = rare.select("read", "strand", "width", "offset", "seed").join(places, ["width", "seed"]).select("read", "strand", "contig", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
-    longest = rows.agg(F.max("size")).first()[0]
+    bits = min(FILTER, max(15, (16 * sum(r.n for r in kept)).bit_length()))
+    seeds = settled(_seeds(rows, bits))
+    places = _places(contigs, contig, seq, sorted(r.width for r in kept), _held(seeds, bits), bits)
+    if any(r.longest // r.width > parts for r in kept):  # some reads have a choice of seeds
+        known = places.groupBy("width", "seed").agg(F.count("*").alias("n"))
+        order = Window.partitionBy("read", "strand").orderBy("n", "offset")
+        seeds = seeds.join(known, ["width", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(order)).where(f"rank <= {parts} AND n > 0")
+    offered = places.select("width", "seed", "contig", "at", F.col("left").alias("l"), F.col("right").alias("r")).join(seeds, ["width", "seed"])
+    unlike = reduce(lambda a, b: a + b, (F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.col(m))) for x, m in ((F.col("left").bitwiseXOR(F.col("l")), "left_mask"), (F.col("right").bitwiseXOR(F.col("r")), "right_mask"))))
+    offers = offered.where(unlike <= most).select("read", "strand", "contig", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    longest = max(r.longest for r in kept)
     size = max(CHUNK, longest)
     cut = chunks(contigs.select(F.col(contig).alias("contig"), F.upper(seq).alias("part")), "part", size, longest - 1)
-    met = offers.withColumn("offset", F.col("start") - F.col("start") % size).join(cut, ["contig", "offset"]).join(rows, ["read", "strand"])
-    here = F.col("part").substr(F.col("start") - F.col("offset") + 1, F.col("size"))
+    met = offers.join(rows.select("read", "strand", "size", "seq"), ["read", "strand"]).withColumn("offset", F.col("start") - F.col("start") % size).join(cut.withColumn("offset", F.col("offset").cast("long")), ["contig", "offset"])
+    here = F.col("part").substr((F.col("start") - F.col("offset") + 1).cast("int"), F.col("size"))
     met = met.select(F.col("read").alias(read), F.col("contig").alias(contig), F.col("start").cast("long").alias("start"), "strand", "size", here.alias("here"), "seq").where(F.length("here") == F.col("size"))
     return met.mapInArrow(_differences, StructType([*met.schema.fields[:5], StructField("mismatches", LongType())])).where(F.col("mismatches") <= most)
 

@@ -134,3 +134,25 @@ def test_contigs_guided_by_a_reference(spark):
             run = []
     got = sorted((x.start, x.end, x.seq) for x in mp.guided_contigs(r, c).collect())
     assert len(places) == len({q for q, _, _ in places}) and got == want and len(got) == 2 and all(s == sample[a:b] for a, b, s in got)
+
+
+def test_only_windows_that_seeds_may_equal_are_shuffled(spark):
+    """Windows without a seed never leave their task, and a repeat's windows are dropped in the join unless what is beside them fits."""
+    rng = random.Random(11)
+    odd = "AC" * 8 + bases(rng, 32)
+    reads, contigs = [(1, odd), (2, "AC" * 24)], [("c1", "AC" * 300 + odd + bases(rng, 3000)), ("c2", bases(rng, 5000))]
+    r, c = frames(spark, reads, contigs)
+    rows = mp._strands(r, "read_id", "seq", True).selectExpr("*", "16 AS width")
+    seeds = mp._seeds(rows, 20)
+    places = mp._places(c, "contig", "seq", [16], mp._held(seeds, 20), 20).cache()
+    at = {(x.contig, x.at) for x in places.collect()}
+    assert len(at) < 700 and {("c1", 0), ("c1", 600), ("c1", 616), ("c1", 632)} <= at
+    assert {(x.read_id, x.contig, x.start, x.strand, x.mismatches) for x in mp.placements(r, c).collect()} == brute(reads, contigs, 2)
+
+
+def test_characters_of_any_kind_count_as_themselves(spark):
+    text = "ÄNA*ÄNN\U0001f9ecAC" * 3 + "ACGTNNÖÄ*A" * 3
+    reads, contigs = [(1, text[5:41]), (2, text[20:56].replace("*", "A", 1))], [("c1", text), ("c2", "G" * 40 + text)]
+    r, c = frames(spark, reads, contigs)
+    got = {(x.read_id, x.contig, x.start, x.strand, x.mismatches) for x in mp.placements(r, c, both=False).collect()}
+    assert got == brute(reads, contigs, 2, both=False) and got
