@@ -7,30 +7,67 @@ ends in each, so a read of any length takes the memory of these. Chains need no
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import sequence as sq
-from helixframe.operators.sequences import minimizers
-
 #: Anchors before an anchor that may come before it in a chain; bases of a step at most; by how many bases the steps on read and contig may differ; anchors of a chain at least.
 LOOK_BACK, STEP, SLIP, LEAST = 50, 5000, 1000, 3
 #: A new base is worth so much, a base of difference between the steps costs one.
 GAIN = 4
 
 
+_COMPLEMENT = str.maketrans("ACGTUN", "TGCAAN")
+
+
+def sequence_minimizers(seq: str, k: int, w: int) -> list[tuple[int, str, bool]]:
+    """(pos, kmer, as_is): of every w consecutive k-mers without N the smallest on either strand (first of equals), once; as it stands or as its reverse complement."""
+    back = re.sub("[^ACGTN]", "N", seq.translate(_COMPLEMENT))[::-1]
+    size, n, unknown, last, picked, held = len(seq), 0, seq.find("N"), -1, [], deque()
+    for i in range(size - k + 1):
+        if 0 <= unknown < i:
+            unknown = seq.find("N", i)
+        if 0 <= unknown < i + k:
+            continue
+        forward, other = seq[i : i + k], back[size - k - i : size - i]
+        as_is = forward <= other
+        kmer = forward if as_is else other
+        while held and held[-1][1][1] > kmer:
+            held.pop()
+        held.append((n, (i, kmer, as_is)))
+        if held[0][0] <= n - w:
+            held.popleft()
+        n += 1
+        if n >= w and held[0][0] != last:
+            last = held[0][0]
+            picked.append(held[0][1])
+    return picked
+
+
+def _picked(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, seq in enumerate(batch.column(1).to_pylist()):
+            found = sequence_minimizers(seq, k, w)
+            if found:
+                pos, kmers, as_is = zip(*found)
+                columns = pa.array(pos, pa.int64()), pa.array(kmers), pa.array(as_is), pa.array(np.full(len(found), len(seq), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), row))), *columns], names=["key", "pos", "kmer", "as_is", "size"])
+
+
 def anchors(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig: str = "contig", seq: str = "seq", k: int = 15, w: int = 10) -> DataFrame:
     """(read, contig, strand, q, r): shared minimizers (the least k-mer on either strand of w places), from 0; q counts from the read's end if it matches the other strand, so that chains rise in both."""
 
     def of(df: DataFrame, key: str) -> DataFrame:
         rows = df.select(F.col(key), F.upper(seq).alias("seq")).where(F.length("seq") >= k)
-        found = minimizers(rows, key, k, w).join(rows, key)
-        return found.select(key, "pos", "kmer", (F.col("seq").substr((F.col("pos") + 1).cast("int"), F.lit(k)) == F.col("kmer")).alias("as_is"), F.length("seq").alias("size"))
+        kind = df.schema[key].dataType.simpleString()
+        return rows.mapInArrow(partial(_picked, k=k, w=w), f"key {kind}, pos long, kmer string, as_is boolean, size int").withColumnRenamed("key", key)
 
     a, b = of(reads, read), of(contigs, contig).select(contig, F.col("pos").alias("r"), "kmer", F.col("as_is").alias("there"))
     met = a.join(b, "kmer")

@@ -92,3 +92,15 @@ def test_the_query_against_the_recurrence(spark):
         best[a] = min(best.get(a, (1,)), (-v, c, s, r0, q0, q1, r1, n))
     got = {r.read_id: (-r.score, r.contig, r.strand, r.r_start, r.q_start, r.q_end, r.r_end, r.n) for r in catalog.queries()["chain_reads"](spark, sf).collect()}
     assert got == best and got
+
+
+def test_minimizers_of_a_sequence_are_those_of_spark(spark):
+    from helixframe.operators.sequences import minimizers
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ACGT", "AT", "ACGTNU*Ä") for n in (3, 7, 8, 30, 90)] + ["AC" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    want = sorted(tuple(r) for r in minimizers(rows, "id", 5, 4).select("id", "pos", "kmer").collect())
+    got = sorted((i, pos, kmer) for i, t in enumerate(texts) for pos, kmer, _ in ch.sequence_minimizers(t, 5, 4))
+    assert got == want
+    assert all(as_is == (t[pos : pos + 5] == kmer) for t in texts for pos, kmer, as_is in ch.sequence_minimizers(t, 5, 4))
