@@ -54,3 +54,47 @@ def test_many_short_sequences_take_little_time(spark):
     began = time.perf_counter()
     assert ops.find_stem_loops(df, "id", stem=6).count() > 20_000
     assert time.perf_counter() - began < 20
+
+
+SIGNED = [t for t in TEXTS if t] + ["A$B", "$", "$$!$$", "ABAB" * 40, "x" * 90]
+
+
+@pytest.mark.parametrize("together", [1, 100, 200_000])
+def test_suffixes(spark, monkeypatch, together):
+    monkeypatch.setattr(ops, "TOGETHER", together)
+    df = spark.createDataFrame([*enumerate([*SIGNED, ""]), (-1, None)], "id long, seq string")
+
+    def ranked(s):  # places by their characters and the end sign, a rest before what goes on from it
+        return sorted(range(len(s) + 1), key=lambda i: [ord(c) for c in s[i:] + "$"])
+
+    got = sorted((r.id, r.rank, r.pos, r.bwt) for r in ops.suffix_array(df, "id").collect())
+    assert got == [(k, rank, i, (s + "$")[i - 1]) for k, s in enumerate([*SIGNED, ""]) for rank, i in enumerate(ranked(s))]
+    want = {}
+    for k, s in enumerate(SIGNED):
+        n = max(n for n in range(len(s)) if n == 0 or any(s.find(s[i : i + n], i + 1) >= 0 for i in range(len(s) - n)))
+        want[k] = (n, min(s[i : i + n] for i in range(len(s) - n + 1) if n == 0 or s.find(s[i : i + n], i + 1) >= 0))
+    assert {r.id: (r.length, r.repeat) for r in ops.longest_repeat(df, "id").collect()} == want
+
+
+def test_suffixes_are_not_shuffled(spark):
+    df = spark.createDataFrame(list(enumerate(SIGNED)), "id long, seq string")
+    assert "Exchange" not in ops.longest_repeat(df, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least, seed", [(2, 4), (3, 3), (4, 2), (6, 16)])
+def test_overlaps(spark, least, seed):
+    core = "".join(RNG.choice("ACGT") for _ in range(80))
+    reads = {k: s for k, s in enumerate([*TEXTS, *(core[i : i + RNG.randint(5, 40)] for i in range(0, 60, 3)), core, core])}
+    df = spark.createDataFrame([*reads.items(), (-1, None)], "id long, seq string")
+    want = {}
+    for a, s in reads.items():
+        for b, t in reads.items():
+            n = [n for n in range(least, min(len(s), len(t))) if a != b and s.endswith(t[:n])]
+            want |= {(a, b): max(n)} if n else {}
+    assert {(r.a, r.b): r.overlap for r in ops.overlap_edges(df, "id", least, seed=seed).collect()} == want
+
+
+def test_overlaps_meet_by_whole_suffixes(spark):
+    df = spark.createDataFrame([(k, "C" + "A" * 12 + f"{k:06}".translate(str.maketrans("0123456789", "GTGTGTGTGT"))) for k in range(50)] + [(99, "AAAAAAT")], "id long, seq string")
+    plan = ops.overlap_edges(df, "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "k#" in plan[plan.index("Join Inner") :].split("\n")[0] and "bases#" in plan[plan.index("Join Inner") :].split("\n")[0]
