@@ -98,3 +98,10 @@ def test_overlaps_meet_by_whole_suffixes(spark):
     df = spark.createDataFrame([(k, "C" + "A" * 12 + f"{k:06}".translate(str.maketrans("0123456789", "GTGTGTGTGT"))) for k in range(50)] + [(99, "AAAAAAT")], "id long, seq string")
     plan = ops.overlap_edges(df, "id", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "k#" in plan[plan.index("Join Inner") :].split("\n")[0] and "bases#" in plan[plan.index("Join Inner") :].split("\n")[0]
+
+
+def test_equal_cigars_are_counted_first(spark):
+    from helixframe import catalog
+
+    plan = catalog.queries()["aligned_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]
