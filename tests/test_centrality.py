@@ -1,5 +1,6 @@
 """Centralities against breadth-first search and eigenvectors of whole matrices."""
 
+import os
 import random
 from collections import deque
 
@@ -7,7 +8,9 @@ import numpy as np
 import pytest
 
 from helixframe import catalog
+from helixframe.operators import adjacency
 from helixframe.operators import centrality as ce
+from helixframe.operators import graph as graph_module
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +81,43 @@ def test_the_query_on_whole_tables(spark):
     near, want = breadth(edges)
     got = {r.node: r for r in catalog.queries()["graph_closeness"](spark, sf).collect()}
     assert set(got) == set(want) and all(got[v].reached == pytest.approx(want[v][0], rel=0.08) and got[v].closeness == pytest.approx(want[v][1], rel=0.08) for v in want)
+
+
+def test_closeness_by_slices_of_registers_leaves_no_sketches(spark, graph, monkeypatch):
+    edges, df = graph
+    _, want = breadth(edges)
+    monkeypatch.setattr(ce, "LEAST_SLICE", 1024)
+    monkeypatch.setattr(ce, "SLICE_BYTES", 1)
+    tables, settled = [], graph_module.settled
+    for module in (ce, adjacency):
+        monkeypatch.setattr(module, "settled", lambda *a, **k: tables.append(settled(*a, **k)) or tables[-1])
+    near = {r.node: (r.reached, r.closeness) for r in ce.closeness(df).collect()}
+    assert set(near) == set(want) and all(near[v] == pytest.approx(want[v], rel=0.05) for v in want)
+    sketches = [t for t in tables if "sketch" in t.columns]
+    left = [t for t in sketches if os.path.exists(t.inputFiles()[0].removeprefix("file:"))]
+    assert len(sketches) > 4 and not left
+
+
+def test_values_travel_along_blocks_of_links(spark, monkeypatch):
+    monkeypatch.setattr(adjacency, "LEAST", 16)
+    monkeypatch.setattr(adjacency, "PIECE", 5)
+    rng = np.random.default_rng(4)
+    a = np.triu(rng.random((50, 50)) < 0.2, 1) | (rng.random((50, 50)) < 0.05)
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(a))]
+    links, nodes = spark.createDataFrame(pairs, "src long, dst long"), spark.range(50).withColumnRenamed("id", "node")
+    packed, _ = adjacency.packed(links, nodes)
+    assert packed.blocks.count() == 4
+    rows = packed.nodes.collect()
+    chunks = {c: sorted((r.at, r.node) for r in rows if r.chunk == c) for c in {r.chunk for r in rows}}
+    values = spark.createDataFrame([(c, np.array([float(v) for _, v in x]).tobytes()) for c, x in chunks.items()], "chunk int, data binary")
+
+    def add(held, x, takers, givers):
+        np.add.at(held, takers, x[givers])
+
+    def own(held, x):
+        held += 1000 * x
+
+    got = adjacency.travelled(values, packed, lambda row: np.frombuffer(row.data), np.zeros, own, add, lambda held: (held.tobytes(),), "chunk int, data binary").collect()
+    sums = {v: s for r in got for (_, v), s in zip(chunks[r.chunk], np.frombuffer(r.data))}
+    want = a.T.astype(float) @ np.arange(50) + 1000 * np.arange(50)
+    assert [sums[v] for v in range(50)] == pytest.approx(want.tolist())
