@@ -121,3 +121,14 @@ def test_values_travel_along_blocks_of_links(spark, monkeypatch):
     sums = {v: s for r in got for (_, v), s in zip(chunks[r.chunk], np.frombuffer(r.data))}
     want = a.T.astype(float) @ np.arange(50) + 1000 * np.arange(50)
     assert [sums[v] for v in range(50)] == pytest.approx(want.tolist())
+
+
+def test_rounds_of_hubs_do_not_move_links(spark, graph, monkeypatch):
+    _, df = graph
+    tables, settled = [], graph_module.settled
+    for module in (ce, adjacency):
+        monkeypatch.setattr(module, "settled", lambda *a, **k: tables.append(settled(*a, **k)) or tables[-1])
+    n = ce.hubs_and_authorities(df, 1e-5).count()
+    assert n and len([t for t in tables if "links" in t.columns]) == 2
+    left = [t for t in tables if "data" in t.columns and t.inputFiles() and os.path.exists(t.inputFiles()[0].removeprefix("file:"))]
+    assert not left  # values of rounds are deleted
