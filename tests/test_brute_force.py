@@ -163,3 +163,21 @@ def test_choice_of_test(spark):
     normal = lambda sd: rng.normal(0, sd, 400)
     assert chosen(normal(1), normal(1)) == "student" and chosen(normal(1), normal(1), normal(1)) == "anova"
     assert chosen(rng.exponential(1, 400), rng.exponential(1, 400)) == "mann_whitney" and chosen(*rng.exponential(1, (3, 300))) == "kruskal"
+
+
+def test_neighbours_of_many_equal_vectors(spark, monkeypatch):
+    """More copies than are kept, with equal distances: ties go to the smaller sample; what blocks keep does not grow with their number or with copies."""
+    tables, settled = [], g.settled
+    monkeypatch.setattr(g, "settled", lambda *a, **k: tables.append(settled(*a, **k)) or tables[-1])
+    rng = np.random.default_rng(9)
+    x = np.vstack([np.zeros((70, 3)), np.ones((4, 3)), rng.integers(-1, 2, (40, 3))]).astype(float)
+    names = rng.permutation(len(x))
+    rows = [(int(s), j, float(v)) for s, r in zip(names, x) for j, v in enumerate(r)]
+    found = {(r.src, r.dst, r.distance) for r in g.sample_network(spark.createDataFrame(rows, "sample long, feature int, value double"), 3, block=7).collect()}
+    want = set()
+    for a, v in zip(names, x):
+        for d, b in sorted((float(np.sqrt(((v - w) ** 2).sum())), int(b)) for b, w in zip(names, x) if b != a)[:3]:
+            want |= {(int(a), b, d), (b, int(a), d)}
+    assert found == want
+    kept = [t.count() for t in tables if "asking" in t.columns]
+    assert len(kept) == 1 and kept[0] <= 4 * len(np.unique(x, axis=0))
