@@ -58,3 +58,9 @@ def test_only_words_that_recur_nearby_are_widened(spark):
     assert (1, unit[:23]) in heads and (2, far[:23]) not in heads
     found = [tuple(r) for r in an.crispr_arrays(df.withColumnRenamed("s", "seq"), "id").collect()]
     assert {f[0] for f in found} == {1} and (1, unit, 1, 25 * 3 + 35 * 2 + 2, 3) in found
+
+
+def test_lengths_of_zero_and_null_are_counted(spark, tmp_path):
+    rows = [(1, "en", 0), (2, "en", 7), (3, "en", 3), (4, "de", 0), (5, "de", 0), (6, "fr", None), (7, "fr", 10), (8, "fr", 0), (9, "fr", 10), (10, "es", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, tmp_path, "n50_by_language") == []
