@@ -94,18 +94,23 @@ def rank_assemblies(contigs: DataFrame, group: str, seq: str = "seq", n50: float
 def fill_gaps(parts: DataFrame, reads: DataFrame, read: str, overlap: int = 20, seq: str = "seq") -> DataFrame:
     """(scaffold, i, read, fill) of gaps that a read spans, from scaffold parts (scaffold, i, seq, orientation, gap: the length before the part).
 
-    A read spans a gap if the first place of the last `overlap` bases before it lies left of the first place of the first ones behind it, and the
-    bases between differ from the gap's length by less than half of it. Of several reads the smallest wins. Parts shorter than `overlap`
-    take no part; a gap that no read spans has no row.
+    A read spans a gap if the last `overlap` bases before it have a place left of one of the first ones behind it, and the bases between differ from the
+    gap's length by less than half of it. Of a read's several places those nearest to the gap's length win, then the leftmost; of several reads the smallest.
+    Parts shorter than `overlap` take no part; a gap that no read spans has no row.
     """
     strand = F.when(F.col("orientation") == "-", sq.reverse_complement(seq)).otherwise(F.upper(seq))
     before = F.lag("_s").over(Window.partitionBy("scaffold").orderBy("i"))
     flanks = parts.select("scaffold", "i", "gap", strand.alias("_s")).withColumn("_b", before).where((F.col("gap") > 0) & (F.length("_b") >= overlap) & (F.length("_s") >= overlap))
     sides = F.array(F.struct(F.lit("left").alias("side"), F.right("_b", F.lit(overlap)).alias("kmer")), F.struct(F.lit("right").alias("side"), F.left("_s", F.lit(overlap)).alias("kmer")))
     words = reads.select(read, F.posexplode(sq.windows(F.upper(seq), overlap)).alias("at", "kmer"))
-    places = words.join(flanks.select("scaffold", "i", "gap", F.inline(sides)), "kmer").groupBy("scaffold", "i", "gap", read).agg(*(F.min(F.when(F.col("side") == s, F.col("at"))).alias(s) for s in ("left", "right")))
-    size = F.col("right") - F.col("left") - overlap  # flanks that overlap leave nothing between
-    size = F.greatest(size, F.lit(0))
-    spans = places.where((F.col("left") < F.col("right")) & (F.abs(size - F.col("gap")) < F.col("gap") * 0.5)).groupBy("scaffold", "i").agg(F.min(F.struct(F.col(read), (F.col("left") + overlap + 1).alias("start"), size.alias("size"))).alias("_x"))
+    hits = words.join(flanks.select("scaffold", "i", "gap", F.inline(sides)), "kmer")
+    # a place before the gap stands where the one behind it is expected: the nearest are next to it
+    spots = hits.withColumn("spot", F.when(F.col("side") == "left", F.col("at") + overlap + F.col("gap")).otherwise(F.col("at")))
+    behind, line = F.when(F.col("side") == "right", F.col("at")), Window.partitionBy("scaffold", "i", "gap", read).orderBy("spot")
+    near = F.array(F.last(behind, True).over(line.rangeBetween(Window.unboundedPreceding, 0)), F.first(behind, True).over(line.rangeBetween(0, Window.unboundedFollowing)))
+    pairs = spots.withColumn("_near", near).where("side = 'left'").select("scaffold", "i", "gap", read, "at", F.explode("_near").alias("right"))
+    size = F.col("right") - F.col("at") - overlap
+    off = F.abs(size - F.col("gap"))
+    spans = pairs.where(off < F.col("gap") * 0.5).groupBy("scaffold", "i").agg(F.min(F.struct(F.col(read), off.alias("off"), (F.col("at") + overlap + 1).alias("start"), size.alias("size"))).alias("_x"))
     chosen = spans.select("scaffold", "i", F.col(f"_x.{read}").alias(read), "_x.start", "_x.size")
     return chosen.join(reads.select(read, F.upper(seq).alias("_r")), read).select("scaffold", "i", read, F.substring(F.col("_r"), F.col("start"), F.col("size")).alias("fill"))

@@ -64,3 +64,10 @@ def test_lengths_of_zero_and_null_are_counted(spark, tmp_path):
     rows = [(1, "en", 0), (2, "en", 7), (3, "en", 3), (4, "de", 0), (5, "de", 0), (6, "fr", None), (7, "fr", 10), (8, "fr", 0), (9, "fr", 10), (10, "es", None)]
     spark.createDataFrame(rows, "doc_id long, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert differences(spark, tmp_path, "n50_by_language") == []
+
+
+def test_gaps_are_filled_between_flanks_with_several_places(spark, tmp_path):
+    # the DNA of a text that reads the same backwards is one half twice, so both flanks have two places in it
+    rows = [(1, ""), (2, ""), (3, "anna"), (4, "text"), (5, None), (6, "x")]
+    spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, tmp_path, "fill_gaps") == []
