@@ -5,6 +5,7 @@ are taken, so common seeds are looked up only for reads that have no others. Win
 those that some seed may equal (a filter of bits) are shuffled, with two bits of each of the bases beside them: what a seed offers is dropped in
 its join when these differ too often, so a repeat's windows do not pass it, and every place that is left is verified on the bases.
 Contigs are cut into overlapping chunks: no task holds a chromosome, and long joins are by seed, by chunk and by bins of places.
+`placements` lists all places, whose number grows with the square of a repeat's copies; what needs only the best ones goes by distinct windows (see `sites`).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from helixframe.functions import sequence as sq
+from helixframe.operators import sites
 from helixframe.operators.annotation import chunks
 from helixframe.operators.graph import settled
 
@@ -179,12 +181,27 @@ def mapping_quality(mismatches) -> Column:
 
 
 def best_placements(found: DataFrame, read: str = "read_id", contig: str = "contig") -> DataFrame:
-    """A row per placed read: its place with the fewest mismatches (ties: smaller contig, start, strand), quality, CIGAR, and how many places it has in all and as good as this one."""
+    """A row per placed read: its place with the fewest mismatches (ties: smaller contig, start, strand), quality, CIGAR, and how many places it has in all and as good as this one.
+
+    A row of `found` stands for `_places` of them, if it says so, of which it has the first.
+    """
     place = F.struct("mismatches", contig, "start", "strand", "size")
-    fewest = found.groupBy(read, "mismatches").agg(F.count("*").alias("n"), F.min(place).alias("p")).groupBy(read).agg(F.sum("n").alias("n_places"), F.min(F.struct("mismatches", "n", "p")).alias("b"))
+    fewest = found.groupBy(read, "mismatches").agg((F.sum("_places") if "_places" in found.columns else F.count("*")).alias("n"), F.min(place).alias("p")).groupBy(read).agg(F.sum("n").alias("n_places"), F.min(F.struct("mismatches", "n", "p")).alias("b"))
     return fewest.select(read, f"b.p.{contig}", "b.p.start", "b.p.strand", "b.mismatches", mapping_quality("b.mismatches").alias("quality"), F.concat(F.col("b.p.size").cast("string"), F.lit("M")).alias("cigar"), "n_places", F.col("b.n").alias("n_best"))
 
 
+def best_places(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig: str = "contig", seq: str = "seq", most: int = 2, both: bool = True) -> DataFrame:
+    """`best_placements` of all `placements`, without a list of them."""
+    rows = settled(_strands(reads, read, seq, both))
+    told = sites.told("seq", most + 1)
+    first = sites.first_places(rows.where(told).select("seq").distinct(), contigs, contig, seq, most)
+    names = F.col("read").alias(read), F.col("place.contig").alias(contig), "place.start", "strand", "size", "mismatches", F.col("n").alias("_places")
+    found = [rows.join(first, "seq").select(*names)] if first is not None else []
+    if (rest := rows.where(~told & (F.col("strand") == "+"))).take(1) or not found:
+        found.append(placements(rest.select(F.col("read").alias(read), F.col("seq").alias(seq)), contigs, read, contig, seq, most, both).withColumn("_places", F.lit(1).cast("long")))
+    return best_placements(reduce(DataFrame.unionAll, found), read, contig)
+
+
 def concordant_pairs(first: DataFrame, second: DataFrame, pair: str = "read_id", contig: str = "contig", least: int = 100, most: int = 1000, opposite: bool = True) -> DataFrame:
     """(pair, contig, start1, strand1, start2, strand2, mismatches, template): of the places of two mates on one contig, `least` to `most` bases apart, those with the fewest mismatches.
 
@@ -199,15 +216,72 @@ def concordant_pairs(first: DataFrame, second: DataFrame, pair: str = "read_id",
     return met.groupBy(pair).agg(best.alias("b")).select(pair, f"b.{contig}", "b.start1", "b.strand1", "b.start2", "b.strand2", "b.mismatches", "b.template")
 
 
+def best_pairs(mates: DataFrame, contigs: DataFrame, pair: str = "read_id", one: str = "one", two: str = "two", contig: str = "contig", seq: str = "seq", most: int = 2, least: int = 100, apart: int = 1000, opposite: bool = True) -> DataFrame:
+    """`concordant_pairs` of all `placements` of the mates (pair, one, two), without a list of them: windows that mates fit meet instead of their places."""
+    rows = settled(mates.select(F.col(pair).alias("pair"), F.upper(one).alias("one"), F.upper(two).alias("two")).where("one IS NOT NULL AND two IS NOT NULL"))
+    strange = rows.where(~(sites.told("one", most + 1) & sites.told("two", most + 1))).select("pair").distinct()
+    odd = bool(strange.take(1))
+    plain = rows.join(strange, "pair", "left_anti") if odd else rows
+    a, b = (_strands(plain, "pair", x, True) for x in ("one", "two"))
+    fits = sites.matches(a.select("seq").unionAll(b.select("seq")).distinct(), contigs, contig, seq, most)
+    found = []
+    if fits is not None:
+        fits = settled(fits)
+        x = a.join(fits, "seq").select(F.col("read").alias("pair"), F.col("strand").alias("strand1"), F.col("mismatches").alias("m1"), F.col("window").alias("one"))
+        y = b.join(fits, "seq").select(F.col("read").alias("pair"), F.col("strand").alias("strand2"), F.col("mismatches").alias("m2"), F.col("window").alias("two"))
+        met = settled(x.join(y, "pair").where(F.col("strand1") != F.col("strand2") if opposite else F.lit(True)).distinct())
+        size = F.length("two")
+        near, far = F.greatest(least - size, F.lit(0)), apart - size
+        wanted = met.select("one", "two").distinct().select("one", "two", (-far).alias("low"), (-near).alias("high"), near.alias("low2"), far.alias("high2"))
+        windows = met.select(F.explode(F.array("one", "two")).alias("window")).distinct()
+        placed = sites.nearest(wanted.select("one", "two", *(F.col(c).cast("long") for c in ("low", "high", "low2", "high2"))), settled(sites.sites(windows, contigs, contig, seq, max(apart, CHUNK))))
+        best = F.min(F.struct((F.col("m1") + F.col("m2")).alias("mismatches"), "at.contig", "at.start1", "at.start2", "strand1", "strand2", (F.col("at.start2") - F.col("at.start1") + size).alias("template")))
+        found.append(met.join(placed, ["one", "two"]).groupBy("pair").agg(best.alias("b")).select(F.col("pair").alias(pair), F.col("b.contig").alias(contig), "b.start1", "b.strand1", "b.start2", "b.strand2", "b.mismatches", "b.template"))
+    if odd or not found:
+        kept = rows.join(strange, "pair", "left_semi")
+        first, second = (placements(kept.select(F.col("pair").alias(pair), F.col(x).alias(seq)), contigs, pair, contig, seq, most) for x in ("one", "two"))
+        found.append(concordant_pairs(first, second, pair, contig, least, apart, opposite))
+    return reduce(DataFrame.unionAll, found)
+
+
 def spliced(reads: DataFrame, contigs: DataFrame, read: str = "read_id", contig: str = "contig", seq: str = "seq", most: int = 2, intron: tuple[int, int] = (50, 500_000)) -> DataFrame:
     """(read, contig, start, intron_start, intron_end, cigar, mismatches) of reads that do not fit as a whole: both halves fit with at most `most` mismatches each, around an intron that starts with GT and ends with AG.
 
     Introns are longer than the smaller and shorter than the larger bound. Of several the one with the fewest mismatches, then the smaller
-    contig, start and intron. Forward strand only. Halves meet by bins of the larger bound.
+    contig, start and intron. Forward strand only. Windows that halves fit are sought with the signs beside them; they meet by bins of the larger bound.
     """
-    whole = placements(reads, contigs, read, contig, seq, most, both=False).select(F.col(read).alias("placed")).distinct()
-    rest = settled(reads.join(whole, F.col(read) == F.col("placed"), "left_anti").select(F.col(read), F.upper(seq).alias("s"), F.floor(F.length(seq) / 2).cast("int").alias("half")))
-    left, right = (placements(rest.select(read, s.alias("seq")), contigs, read, contig, seq, most, both=False) for s in (F.substring("s", F.lit(1), F.col("half")), F.col("s").substr(F.col("half") + 1, F.length("s"))))
+    rows = settled(reads.select(F.col(read).alias("read"), F.upper(seq).alias("seq")).where("seq IS NOT NULL"))
+    told = sites.told("seq", most + 1)
+    whole = sites.matches(rows.where(told).select("seq").distinct(), contigs, contig, seq, most)
+    rest = rows.join(whole.select("seq").distinct(), "seq", "left_anti") if whole is not None else rows
+    if (others := rows.where(~told)).take(1):
+        fitting = placements(others.select("read", F.col("seq").alias(seq)), contigs, "read", contig, seq, most, both=False)
+        rest = rest.join(fitting.select("read").distinct(), "read", "left_anti")
+    half = F.floor(F.length("seq") / 2).cast("int")
+    rest = settled(rest.select("read", F.col("seq").substr(F.lit(1), half).alias("one"), F.col("seq").substr(half + 1, F.length("seq")).alias("two")))
+    both = sites.told("one", most + 1) & sites.told("two", most + 1)
+    fits = sites.matches(rest.where(both).select(F.explode(F.array("one", "two")).alias("seq")).distinct(), contigs, contig, seq, most)
+    found = []
+    if fits is not None:
+        fits = settled(fits)
+        x = rest.where(both).select("read", F.col("one").alias("seq")).join(fits, "seq").select("read", F.concat("window", F.lit("GT")).alias("one"), F.length("seq").alias("n1"), F.col("mismatches").alias("m1"))
+        y = rest.where(both).select("read", F.col("two").alias("seq")).join(fits, "seq").select("read", F.concat(F.lit("AG"), "window").alias("two"), F.length("seq").alias("n2"), F.col("mismatches").alias("m2"))
+        met = settled(x.join(y, "read").distinct())
+        ways = (F.col("n1") + intron[0] - 1).cast("long").alias("low"), (F.col("n1") + intron[1] - 3).cast("long").alias("high"), F.lit(1).cast("long").alias("low2"), F.lit(0).cast("long").alias("high2")  # from GT to AG, signs included; no second range
+        windows = met.select(F.explode(F.array("one", "two")).alias("window")).distinct()
+        placed = sites.nearest(met.select("one", "two", *ways).distinct(), settled(sites.sites(windows, contigs, contig, seq, intron[1] + 2 * sites.BESIDE)))
+        opens, ends = F.col("at.start1") + F.col("n1"), F.col("at.start2") + 2
+        cigar = F.concat(F.col("n1").cast("string"), F.lit("M"), (ends - opens).cast("string"), F.lit("N"), F.col("n2").cast("string"), F.lit("M"))
+        best = F.min(F.struct((F.col("m1") + F.col("m2")).alias("mismatches"), "at.contig", F.col("at.start1").alias("start"), opens.alias("intron_start"), ends.alias("intron_end"), cigar.alias("cigar")))
+        found.append(met.join(placed, ["one", "two"]).groupBy("read").agg(best.alias("b")).select(F.col("read").alias(read), F.col("b.contig").alias(contig), "b.start", "b.intron_start", "b.intron_end", "b.cigar", "b.mismatches"))
+    if (strange := rest.where(~both & (F.length("two") > most))).take(1) or not found:
+        found.append(_spliced_by_places(strange, contigs, read, contig, seq, most, intron))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _spliced_by_places(halves: DataFrame, contigs: DataFrame, read: str, contig: str, seq: str, most: int, intron: tuple[int, int]) -> DataFrame:
+    """`spliced` of the halves of reads (read, one, two) by all of their places."""
+    left, right = (placements(halves.select(F.col("read").alias(read), F.col(x).alias(seq)), contigs, read, contig, seq, most, both=False) for x in ("one", "two"))
     wide = intron[1]
     a = left.select(read, contig, "start", (F.col("start") + F.col("size")).alias("intron_start"), F.col("size").alias("n1"), F.col("mismatches").alias("m1"))
     a = a.withColumn("bin", F.explode(F.array(F.floor(F.col("intron_start") / wide), F.floor(F.col("intron_start") / wide) + 1)))
@@ -228,7 +302,7 @@ def guided_contigs(reads: DataFrame, contigs: DataFrame, read: str = "read_id",
 
     A read stands at its best place (see `best_placements`), on the strand that fits. Bases are counted before they are shuffled on; a stretch is put together as one row.
     """
-    placed = best_placements(placements(reads, contigs, read, contig, seq, most), read, contig).select(F.col(read).alias("r"), F.col(contig).alias("contig"), "start", "strand")
+    placed = best_places(reads, contigs, read, contig, seq, most).select(F.col(read).alias("r"), F.col(contig).alias("contig"), "start", "strand")
     rows = placed.join(reads.select(F.col(read).alias("r"), F.upper(seq).alias("s")), "r").withColumn("s", F.when(F.col("strand") == "+", F.col("s")).otherwise(sq.reverse_complement("s")))
     bases = rows.select("contig", "start", F.posexplode(F.split("s", "")).alias("i", "base")).groupBy("contig", (F.col("start") + F.col("i")).alias("pos"), "base").agg(F.count("*").alias("n"))
     won = bases.groupBy("contig", "pos").agg(F.sum("n").alias("depth"), F.min(F.struct((-F.col("n")).alias("n"), "base")).alias("b")).where(F.col("depth") >= depth)

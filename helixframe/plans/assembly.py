@@ -43,10 +43,6 @@ def _contigs(spark, sf_dir):
     return _long(spark, sf_dir).select(F.col("doc_id").alias("contig"), "seq")
 
 
-def _placed(spark, sf_dir, column: str):
-    return mp.placements(_mates(spark, sf_dir).select("read_id", F.explode(F.array(column)).alias("seq")), _contigs(spark, sf_dir))
-
-
 _READS = """raw AS (SELECT doc_id, substr(seq, (doc_id * 37 % (length(seq) - 340) + 1)::INT, 48) AS s, substr(seq, (doc_id * 37 % (length(seq) - 340) + 81 + doc_id % 200)::INT, 48) AS t, (doc_id % 48 + 1)::INT AS i, ((doc_id * 7 + 11) % 48 + 1)::INT AS j FROM text_dna WHERE length(seq) >= 400),
  once AS (SELECT *, substr(s, 1, i - 1) || translate(substr(s, i, 1), 'ACGT', 'CGTA') || substr(s, i + 1) AS u FROM raw), twice AS (SELECT *, substr(u, 1, j - 1) || translate(substr(u, j, 1), 'ACGT', 'CGTA') || substr(u, j + 1) AS v FROM once),
  mates AS (SELECT doc_id AS read_id, CASE WHEN doc_id % 2 = 1 THEN reverse(translate(v, 'ACGT', 'TGCA')) ELSE v END AS one, CASE WHEN doc_id % 2 = 1 THEN t ELSE reverse(translate(t, 'ACGT', 'TGCA')) END AS two FROM twice)"""
@@ -61,10 +57,10 @@ def _places(name: str, reads: str, both: bool = True) -> str:
 
 
 _ONE, _TWO = "r1 AS (SELECT read_id, one AS s FROM mates)", "r2 AS (SELECT read_id, two AS s FROM mates)"
-add("map_reads", lambda s, d: mp.best_placements(_placed(s, d, "one")), query(TEXT_DNA, _READS, _WINDOWS, _ONE, _places("p", "r1"), sql="""
+add("map_reads", lambda s, d: mp.best_places(_mates(s, d).select("read_id", F.col("one").alias("seq")), _contigs(s, d)), query(TEXT_DNA, _READS, _WINDOWS, _ONE, _places("p", "r1"), sql="""
 SELECT read_id, b.contig AS contig, b.start AS start, b.strand AS strand, b.mismatches AS mismatches, (60 - 10 * b.mismatches)::INT AS quality, '48M' AS cigar, n_places, n_best FROM
  (SELECT read_id, min({'mismatches': mismatches, 'contig': contig, 'start': start, 'strand': strand}) AS b, count(*) AS n_places, count(*) FILTER (mismatches = least) AS n_best FROM (SELECT *, min(mismatches) OVER (PARTITION BY read_id) AS least FROM p) GROUP BY read_id)"""))
-add("map_pairs", lambda s, d: mp.concordant_pairs(_placed(s, d, "one"), _placed(s, d, "two")), query(TEXT_DNA, _READS, _WINDOWS, _ONE, _TWO, _places("p", "r1"), _places("q", "r2"), sql="""
+add("map_pairs", lambda s, d: mp.best_pairs(_mates(s, d), _contigs(s, d)), query(TEXT_DNA, _READS, _WINDOWS, _ONE, _TWO, _places("p", "r1"), _places("q", "r2"), sql="""
 SELECT read_id, b.contig AS contig, b.a AS start1, b.s AS strand1, b.b AS start2, b.t AS strand2, b.m AS mismatches, b.b - b.a + 48 AS template FROM
  (SELECT read_id, min({'m': p.mismatches + q.mismatches, 'contig': contig, 'a': p.start, 'b': q.start, 's': p.strand, 't': q.strand}) AS b FROM p JOIN q USING (read_id, contig) WHERE p.strand <> q.strand AND abs(q.start - p.start) + 48 BETWEEN 100 AND 1000 GROUP BY read_id)"""))
 
