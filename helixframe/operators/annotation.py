@@ -175,9 +175,86 @@ def near_heads(parts: DataFrame, key: str, size: int, within: int) -> DataFrame:
     return parts.select(key, "s").mapInArrow(run, StructType([parts.schema[key], StructField("head", StringType())])).distinct()
 
 
+#: Letters of a contig whose words one task compares; longer ones are cut and shuffled.
+WHOLE = 1 << 20
+
+
+def word_classes(letters: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """For the powers of two up to `longest` the words of so many letters at each place as numbers, equal ones for equal words only."""
+    found, size = {1: np.unique(letters, return_inverse=True)[1]}, 1
+    while size * 2 <= min(longest, len(letters)):
+        one = found[size]
+        found[size * 2] = np.unique(one[:-size] * len(letters) + one[size:], return_inverse=True)[1]
+        size *= 2
+    return found
+
+
+def spaced_words(s: str, repeat: tuple[int, int], spacer: tuple[int, int], least: int) -> list[tuple[str, int, int, int]]:
+    """(word, first, last, n) of the words without N found `least` times or more, all gaps between neighbours a spacer's length; places from 1."""
+    letters = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+    short, n = repeat[0], len(letters)
+    code = letters.astype(np.uint64)
+    for _ in range(short - 1):  # hashes of the shortest words, to leave out at once what does not recur nearby
+        code = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[n - len(code) + 1 :].astype(np.uint64)
+    if len(code) < 2:
+        return []
+    order = np.argsort(code, kind="stable")
+    new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
+    near = np.concatenate([[False], np.diff(order) <= spacer[1] + repeat[1]]) & ~new
+    if not near.any():
+        return []
+    group = np.cumsum(new) - 1
+    some = np.bincount(group, near) > 0
+    at = np.sort(order[some[group]])
+    classes, unknown = word_classes(letters, repeat[1]), np.concatenate([[0], np.cumsum(letters == ord("N"))])
+    found = []
+    for size in range(short, min(repeat[1], n) + 1):
+        at = at[at + size <= n]
+        at = at[unknown[at + size] == unknown[at]]
+        half = 1 << size.bit_length() - 1
+        word = classes[half][at] * n + classes[half][at + size - half]
+        order = np.argsort(word, kind="stable")
+        places, first = at[order], np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]])) if len(at) else np.zeros(0, int)
+        if not len(first):
+            break
+        count, gap = np.diff(np.append(first, len(places))), np.diff(places) - size
+        wrong = np.concatenate([[0], np.cumsum((gap < spacer[0]) | (gap > spacer[1]))])
+        last = first + count - 1
+        for a, b in zip(first, last):
+            if b - a + 1 >= least and wrong[b] == wrong[a]:
+                found.append((s[places[a] : places[a] + size], int(places[a]) + 1, int(places[b]) + size, int(b - a + 1)))
+    return found
+
+
 def crispr_arrays(df: DataFrame, key: str, seq: str = "seq", repeat: tuple[int, int] = (23, 55), spacer: tuple[int, int] = (26, 72), least: int = 3, chunk: int = 2000) -> DataFrame:
     """(key, repeat, first, last, n_repeats): words without N found `least` times or more in a contig, with every gap between neighbours a spacer's length.
 
+    Words of a contig of up to WHOLE letters are compared where it is read, nothing is shuffled for it; longer ones are cut (`arrays_in_parts`).
+    """
+    named = df.select(key, F.upper(seq).alias("s")).where(F.col(key).isNotNull() & F.col("s").isNotNull())
+    most = WHOLE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, rows = [], []
+            for k, s in enumerate(batch.column(1).to_pylist()):
+                found = [(None, 0, 0, 0)] if len(s) > most else spaced_words(s, repeat, spacer, least)  # a row without a word stands for a long contig
+                owners += [k] * len(found)
+                rows += found
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], names=[key, "repeat", "first", "last", "n_repeats"])
+
+    kind = named.schema[key].dataType.simpleString()
+    found = settled(named.mapInArrow(run, f"`{key}` {kind}, repeat string, first long, last long, n_repeats long"))
+    arrays, long = found.where("repeat IS NOT NULL"), found.where("repeat IS NULL").select(key).distinct()
+    if not long.take(1):
+        return arrays
+    return arrays.unionByName(arrays_in_parts(df.join(long, key, "left_semi"), key, seq, repeat, spacer, least, chunk))
+
+
+def arrays_in_parts(df: DataFrame, key: str, seq: str = "seq", repeat: tuple[int, int] = (23, 55), spacer: tuple[int, int] = (26, 72), least: int = 3, chunk: int = 2000) -> DataFrame:
+    """`crispr_arrays` of contigs of any length, by their parts.
+
     A longer word repeats only where its first letters do, and its neighbours are no further apart than its length and a spacer. So only places of
     shortest words that recur so near (`near_heads`) are widened to the other lengths, and contigs without such words are not shuffled.
     """

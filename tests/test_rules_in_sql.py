@@ -71,3 +71,20 @@ def test_gaps_are_filled_between_flanks_with_several_places(spark, tmp_path):
     rows = [(1, ""), (2, ""), (3, "anna"), (4, "text"), (5, None), (6, "x")]
     spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert differences(spark, tmp_path, "fill_gaps") == []
+
+
+def test_arrays_are_found_without_shuffles_as_by_parts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    text = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    unit, close = text(30), text(24)
+    rows = [text(20).join([unit] * 2) + text(9) + unit + text(40), text(40).join([unit] * 5) + text(300) + unit, (unit + text(30)) * 2 + unit[:25] + "N" + unit[26:] + text(28) + unit[:26], "".join(close + text(k) for k in (26, 72, 40, 73)) + close, (text(60) * 6).lower(), "AC" * 300, text(55) + "ñ" * 30 + text(50) + "ñ" * 30, "ACG", "", None, text(500, "AC")]
+    df = spark.createDataFrame([*enumerate(rows), (None, rows[1])], "id long, seq string").repartition(3)
+    want = sorted(map(tuple, an.arrays_in_parts(df, "id").collect()))
+    assert len(want) > 20 and sorted(map(tuple, an.crispr_arrays(df, "id").collect())) == want
+    with monkeypatch.context() as m:  # contigs that are too long for a task
+        m.setattr(an, "WHOLE", 250)
+        assert sorted(map(tuple, an.crispr_arrays(df, "id").collect())) == want
+    monkeypatch.setattr(an, "arrays_in_parts", lambda *a: pytest.fail("shuffled"))
+    assert "Exchange" not in an.crispr_arrays(df, "id")._jdf.queryExecution().executedPlan().toString()
