@@ -61,3 +61,23 @@ def test_rows_are_shuffled_not_pairs(spark):
     before = shuffled(spark)
     assert st.beta_diversity(df).count() == 100 * 780
     assert shuffled(spark) - before < 40_000
+
+
+def test_shuffle_files_go_before_pairs_are_taken(spark, samples, monkeypatch):
+    from helixframe.operators import graph
+
+    stored, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, *a, **k: stored.append(df.columns) or settled(df, *a, **k))
+    df = spark.createDataFrame([(s, f, v) for s, own in samples.items() for f, v in own.items()], "sample string, feature int, value double")
+    plan = st.beta_diversity(df, bundle=50)._jdf.queryExecution().executedPlan().toString()
+    # rows that are dealt out stand in a table, which frees what was shuffled for it: one shuffle is left
+    assert any("tasks" in c for c in stored) and plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_pairs_below_the_least_overlap_stay_in_their_task(samples):
+    import pandas as pd
+
+    rows = pd.DataFrame([(s, i, 1.0, f, v) for i, (s, own) in enumerate(samples.items()) for f, v in own.items()], columns=["sample", "place", "n", "feature", "value"])
+    later = rows.assign(sample=lambda x: "z" + x["sample"])
+    every, few = (st._Bundle(rows, st.np.multiply, least).pairs(later, False) for least in (None, 40.0))
+    assert 0 < len(few) < len(every) and few.reset_index(drop=True).equals(every[every["total"] >= 40].reset_index(drop=True))
